@@ -44,9 +44,18 @@ def parse_iso(col) -> Column:
     )
 
 
-def coerce_date(col) -> Column:
-    """Calendar date of a date/timestamp/string column; bad -> null."""
-    return F.try_to_timestamp(_c(col).cast("string")).cast("date")
+def coerce_date(col, dtype: str | None = None) -> Column:
+    """Calendar date of a date/timestamp/string column; bad -> null.
+
+    ``dtype`` (the column's simple type name) avoids a string round trip for
+    columns that already are dates or timestamps.
+    """
+    c = _c(col)
+    if dtype == "date":
+        return c
+    if dtype in ("timestamp", "timestamp_ntz"):
+        return c.cast("date")
+    return F.try_to_timestamp(c.cast("string")).cast("date")
 
 
 def session_day(ts_utc, zone: str = "America/New_York", close_hour: int = 16,

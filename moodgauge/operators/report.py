@@ -37,7 +37,8 @@ def prepare(df: DataFrame, date_col: str, score_col: str, id_col: str = "id",
             group: str | None = None) -> DataFrame:
     """Coerce the date (bad -> null), NaN -> null, drop rows without a
     date or a score. Output columns: day, score, id[, grp]."""
-    cols = [coerce_date(date_col).alias("day"), _score(score_col).alias("score"),
+    dtype = df.schema[date_col].dataType.simpleString()
+    cols = [coerce_date(date_col, dtype).alias("day"), _score(score_col).alias("score"),
             F.col(id_col).alias("id")]
     if group:
         cols.append(F.col(group).cast("string").alias("grp"))
@@ -175,7 +176,8 @@ def boxplot_outliers(df: DataFrame, date_col: str, score_col: str, n_days: int =
 def daily_features(df: DataFrame, ticker_col: str, ts_col: str, fields: list[str],
                    prefix: str = "") -> DataFrame:
     """Mean of each score field per ``(ticker, date)`` (1-day bucket)."""
-    return (df.withColumn("date", coerce_date(ts_col))
+    dtype = df.schema[ts_col].dataType.simpleString()
+    return (df.withColumn("date", coerce_date(ts_col, dtype))
               .where(F.col("date").isNotNull())
               .groupBy(F.col(ticker_col).alias("ticker"), "date")
               .agg(*[F.avg(f).alias(f"{prefix}{f}_mean") for f in fields],

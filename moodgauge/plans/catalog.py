@@ -35,3 +35,63 @@ def q_sentiment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep = report.sentiment_report(ev, date_col="ts", score_col="value",
                                   group="event_type", id_col="event_id", rows=5)
     return normalize(rep)
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events")
+
+
+@query("daily_stats")
+def q_daily_stats(spark, sf_dir):
+    return normalize(report.daily_stats(_events(spark, sf_dir), "ts", "value", "event_id"))
+
+
+@query("daily_stats_by_group")
+def q_daily_stats_by_group(spark, sf_dir):
+    return normalize(report.daily_stats(_events(spark, sf_dir), "ts", "value", "event_id",
+                                        group="event_type"))
+
+
+@query("rolling_std")
+def q_rolling_std(spark, sf_dir):
+    d = report.daily_stats(_events(spark, sf_dir), "ts", "value", "event_id", group="event_type")
+    r = report.rolling_mean(d, "score_std", group="grp", n=5, min_obs=2, unit="rows")
+    return normalize(r.select("grp", "day", "score_std", "score_std_roll"))
+
+
+@query("rolling_std_range")
+def q_rolling_std_range(spark, sf_dir):
+    # per user: days with data have gaps, so 5 rows and 5 calendar days differ
+    d = report.daily_stats(_events(spark, sf_dir), "ts", "value", "event_id", group="user_id")
+    r = report.rolling_mean(d, "score_std", group="grp", n=5, min_obs=2, unit="days")
+    return normalize(r.select("grp", "day", "score_std", "score_std_roll"))
+
+
+@query("mean_band")
+def q_mean_band(spark, sf_dir):
+    d = report.daily_stats(_events(spark, sf_dir), "ts", "value", "event_id", group="event_type")
+    return normalize(report.mean_band(d).select("grp", "day", "score_mean",
+                                                "band_lower", "band_upper"))
+
+
+@query("recent_days")
+def q_recent_days(spark, sf_dir):
+    return normalize(report.recent_days(_events(spark, sf_dir), "ts", "value", 14,
+                                        "event_type", "event_id"))
+
+
+@query("boxplot_summary")
+def q_boxplot_summary(spark, sf_dir):
+    return normalize(report.boxplot_summary(_events(spark, sf_dir), "ts", "value", 14,
+                                            "event_type", "event_id"))
+
+
+@query("boxplot_outliers")
+def q_boxplot_outliers(spark, sf_dir):
+    return normalize(report.boxplot_outliers(_events(spark, sf_dir), "ts", "value", 14,
+                                             "event_type", "event_id"))
+
+
+@query("daily_features")
+def q_daily_features(spark, sf_dir):
+    return normalize(report.daily_features(_events(spark, sf_dir), "event_type", "ts", ["value"]))

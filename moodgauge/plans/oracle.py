@@ -31,3 +31,96 @@ FROM agg WHERE is_overall = 1 OR grp IS NOT NULL
 WINDOW w AS (PARTITION BY is_overall, grp ORDER BY day
              ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
 """
+
+_EV_BASE = """
+b AS (SELECT event_type AS grp, CAST(ts AS DATE) AS day, value AS score, event_id AS id
+      FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value))"""
+
+ORACLE["daily_stats"] = """
+SELECT CAST(ts AS DATE) AS day, count(event_id) AS n_posts,
+       round(avg(value), 6) AS score_mean, round(stddev_samp(value), 6) AS score_std,
+       round(var_samp(value), 6) AS score_var, round(median(value), 6) AS score_median
+FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)
+GROUP BY 1
+"""
+
+ORACLE["daily_stats_by_group"] = """
+SELECT event_type AS grp, CAST(ts AS DATE) AS day, count(event_id) AS n_posts,
+       round(avg(value), 6) AS score_mean, round(stddev_samp(value), 6) AS score_std,
+       round(var_samp(value), 6) AS score_var, round(median(value), 6) AS score_median
+FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)
+  AND event_type IS NOT NULL
+GROUP BY 1, 2
+"""
+
+ORACLE["rolling_std"] = """
+WITH d AS (
+  SELECT event_type AS grp, CAST(ts AS DATE) AS day, stddev_samp(value) AS score_std
+  FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND event_type IS NOT NULL
+  GROUP BY 1, 2)
+SELECT grp, day, round(score_std, 6) AS score_std,
+       round(CASE WHEN count(score_std) OVER w >= 2 THEN avg(score_std) OVER w END, 6)
+         AS score_std_roll
+FROM d WINDOW w AS (PARTITION BY grp ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+"""
+
+ORACLE["rolling_std_range"] = """
+WITH d AS (
+  SELECT CAST(user_id AS VARCHAR) AS grp, CAST(ts AS DATE) AS day,
+         stddev_samp(value) AS score_std
+  FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND user_id IS NOT NULL
+  GROUP BY 1, 2)
+SELECT grp, day, round(score_std, 6) AS score_std,
+       round(CASE WHEN count(score_std) OVER w >= 2 THEN avg(score_std) OVER w END, 6)
+         AS score_std_roll
+FROM d WINDOW w AS (PARTITION BY grp ORDER BY (day - DATE '1970-01-01')
+                    RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)
+"""
+
+ORACLE["mean_band"] = """
+WITH d AS (
+  SELECT event_type AS grp, CAST(ts AS DATE) AS day, avg(value) AS m, stddev_samp(value) AS s
+  FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND event_type IS NOT NULL
+  GROUP BY 1, 2)
+SELECT grp, day, round(m, 6) AS score_mean, round(m - coalesce(s, 0), 6) AS band_lower,
+       round(m + coalesce(s, 0), 6) AS band_upper
+FROM d
+"""
+
+_RECENT = _EV_BASE + """,
+days AS (
+  SELECT grp, day, dense_rank() OVER (PARTITION BY grp ORDER BY day DESC) AS day_rank
+  FROM (SELECT DISTINCT grp, day FROM b WHERE grp IS NOT NULL)),
+r AS (SELECT b.grp, b.day, b.score, b.id, days.day_rank
+      FROM b JOIN days ON b.grp = days.grp AND b.day = days.day WHERE days.day_rank <= 14),
+q AS (
+  SELECT grp, day, count(score) AS n, quantile_cont(score, 0.25) AS q1,
+         quantile_cont(score, 0.5) AS med, quantile_cont(score, 0.75) AS q3
+  FROM r GROUP BY 1, 2),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)"""
+
+ORACLE["recent_days"] = "WITH " + _RECENT + """
+SELECT grp, day, round(score, 6) AS score, id, CAST(day_rank AS BIGINT) AS day_rank FROM r
+"""
+
+ORACLE["boxplot_summary"] = "WITH " + _RECENT + """
+SELECT f.grp, f.day, f.n, round(f.q1, 6) AS q1, round(f.med, 6) AS median,
+       round(f.q3, 6) AS q3, round(f.iqr, 6) AS iqr,
+       round(min(CASE WHEN r.score BETWEEN f.lo AND f.hi THEN r.score END), 6) AS whisker_lo,
+       round(max(CASE WHEN r.score BETWEEN f.lo AND f.hi THEN r.score END), 6) AS whisker_hi,
+       count(CASE WHEN NOT (r.score BETWEEN f.lo AND f.hi) THEN 1 END) AS n_outliers
+FROM f JOIN r ON f.grp = r.grp AND f.day = r.day
+GROUP BY f.grp, f.day, f.n, f.q1, f.med, f.q3, f.iqr
+"""
+
+ORACLE["boxplot_outliers"] = "WITH " + _RECENT + """
+SELECT r.grp, r.day, r.id, round(r.score, 6) AS score
+FROM f JOIN r ON f.grp = r.grp AND f.day = r.day
+WHERE NOT (r.score BETWEEN f.lo AND f.hi)
+"""
+
+ORACLE["daily_features"] = """
+SELECT event_type AS ticker, CAST(ts AS DATE) AS date, round(avg(value), 6) AS value_mean,
+       count(*) AS n
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2
+"""
