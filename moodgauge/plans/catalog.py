@@ -95,3 +95,119 @@ def q_boxplot_outliers(spark, sf_dir):
 @query("daily_features")
 def q_daily_features(spark, sf_dir):
     return normalize(report.daily_features(_events(spark, sf_dir), "event_type", "ts", ["value"]))
+
+
+# --------------------------------------------------------------------------
+# C / D / H5: text functions, normalisation, filters
+# --------------------------------------------------------------------------
+from ..functions import text as tx  # noqa: E402
+from ..functions import time as tm  # noqa: E402
+from ..operators import filters, posts  # noqa: E402
+from .tables import social_listing  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def _page_fields(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select(
+        "page_id", "url",
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"),
+        F.regexp_extract("html", "<p>([^<]*)", 1).alias("p1"),
+        F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("lang"),
+        # a clean https URL counts as the permalink; others fall back
+        F.regexp_extract("url", "^(https://[^?#]*)$", 1).alias("link"),
+    )
+
+
+@query("clean_text")
+def q_clean_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.clean_text("text").alias("text_clean"))
+
+
+@query("normalize_posts")
+def q_normalize_posts(spark, sf_dir):
+    p = posts.normalize_posts(social_listing(spark, sf_dir))
+    return normalize(p.select("id", "subreddit", "author", "created_utc", "date_utc",
+                              "title", "selftext", "text", "score", "num_comments",
+                              "permalink", "post_url", "over_18"))
+
+
+@query("epoch_to_date")
+def q_epoch_to_date(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    secs = tm.to_epoch_seconds("ts")
+    return normalize(ev.select("event_id", secs.alias("created_utc"),
+                               tm.epoch_to_date(secs).alias("date_utc")))
+
+
+def _iso_strings(ev):
+    base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    et = F.col("event_type")
+    s = (F.when(et == "click", F.concat(base, F.lit("Z")))
+          .when(et == "view", F.concat(base, F.lit("+00:00")))
+          .when(et == "purchase", F.concat(base, F.lit("+02:00")))
+          .when(et == "error", F.concat(F.lit("junk-"), base))
+          .otherwise(base))
+    return ev.select("event_id", s.alias("pub"))
+
+
+@query("parse_iso")
+def q_parse_iso(spark, sf_dir):
+    s = _iso_strings(_events(spark, sf_dir))
+    p = s.select("event_id", tm.parse_iso("pub").alias("published_at")) \
+         .where(F.col("published_at").isNotNull())
+    return p.select("event_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"),
+                    F.to_date("published_at").alias("date"))
+
+
+@query("first_nonempty")
+def q_first_nonempty(spark, sf_dir):
+    p = _page_fields(spark, sf_dir)
+    return p.select("page_id", tx.first_nonempty("link", "title", "h1", "url").alias("value"))
+
+
+@query("merge_text")
+def q_merge_text(spark, sf_dir):
+    p = _page_fields(spark, sf_dir)
+    return p.select("page_id", tx.merge_text("title", "h1", "p1").alias("merged"))
+
+
+@query("row_id")
+def q_row_id(spark, sf_dir):
+    p = _page_fields(spark, sf_dir)
+    t = tx.norm_ticker("lang")
+    return p.select("page_id", tx.row_id("yahoo", "link", "title", "p1", t).alias("id"))
+
+
+@query("date_window")
+def q_date_window(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    # bounds given swapped on purpose: the operator puts them in order
+    w = filters.date_window(ev, "ts", start="2024-01-20", end="2024-01-10")
+    return normalize(w.select("event_id", "event_type", "value",
+                              F.to_date("ts").alias("date")))
+
+
+@query("flag_filter")
+def q_flag_filter(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", "lang", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("over_18"))
+    return filters.flag_filter(d.join(lab, "doc_id", "left"), "over_18") \
+        .select("doc_id", "lang", "source")
+
+
+@query("source_filter")
+def q_source_filter(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return filters.source_filter(d, "en", ["src1", "src2", "src3"]).select("doc_id", "source")
+
+
+@query("truncate_tokens")
+def q_truncate_tokens(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", tx.token_count("text").alias("n_tokens"),
+                    tx.truncate_tokens("text", 256).alias("text_256"))

@@ -124,3 +124,116 @@ SELECT event_type AS ticker, CAST(ts AS DATE) AS date, round(avg(value), 6) AS v
        count(*) AS n
 FROM events WHERE ts IS NOT NULL GROUP BY 1, 2
 """
+
+# DuckDB spelling of the cleaner's whitespace class (RE2: \x{85}).
+_WS = r"'[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'"
+
+
+def _clean(x: str) -> str:
+    return f"trim(regexp_replace(replace(coalesce({x}, ''), chr(0), ' '), {_WS}, ' ', 'g'))"
+
+
+ORACLE["clean_text"] = f"""
+SELECT doc_id, {_clean('text')} AS text_clean FROM documents
+"""
+
+ORACLE["normalize_posts"] = "WITH " + SOCIAL_LISTING_SQL + f""",
+n AS (
+  SELECT id, coalesce(subreddit, '') AS subreddit, coalesce(author, '') AS author,
+         coalesce(created_utc, 0.0) AS created_utc,
+         {_clean('title')} AS title, {_clean('selftext')} AS selftext,
+         coalesce(score, 0) AS score, coalesce(num_comments, 0) AS num_comments,
+         CASE WHEN starts_with(coalesce(permalink, ''), '/')
+              THEN 'https://www.reddit.com' || permalink ELSE coalesce(permalink, '') END
+           AS permalink,
+         coalesce(url, '') AS post_url, coalesce(over_18, false) AS over_18
+  FROM social_listing)
+SELECT id, subreddit, author, round(created_utc, 6) AS created_utc,
+       CASE WHEN created_utc <> 0
+            THEN CAST(make_timestamp(CAST(round(created_utc * 1e6) AS BIGINT)) AS DATE) END
+         AS date_utc,
+       title, selftext, {_clean("title || chr(10) || selftext")} AS text,
+       score, num_comments, permalink, post_url, over_18
+FROM n
+"""
+
+ORACLE["epoch_to_date"] = """
+SELECT event_id, round(epoch_us(ts) / 1e6, 6) AS created_utc, CAST(ts AS DATE) AS date_utc
+FROM events
+"""
+
+ORACLE["parse_iso"] = """
+WITH s AS (
+  SELECT event_id,
+         CASE event_type
+           WHEN 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
+           WHEN 'view' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'
+           WHEN 'purchase' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+           WHEN 'error' THEN 'junk-' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+           ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS pub
+  FROM events),
+p AS (
+  SELECT event_id,
+         strptime(substr(pub, 1, 19), '%Y-%m-%dT%H:%M:%S')
+           - to_minutes(CASE WHEN regexp_full_match(substr(pub, 20), '[+-]\\d\\d:\\d\\d')
+                   THEN (CASE WHEN substr(pub, 20, 1) = '-' THEN -1 ELSE 1 END)
+                        * (CAST(substr(pub, 21, 2) AS INT) * 60 + CAST(substr(pub, 24, 2) AS INT))
+                   ELSE 0 END) AS published_at
+  FROM s
+  WHERE regexp_full_match(pub, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(Z|[+-]\\d\\d:\\d\\d)?'))
+SELECT event_id, CAST(published_at AS TIMESTAMP) AS published_at,
+       CAST(published_at AS DATE) AS date
+FROM p
+"""
+
+_PAGE_FIELDS = """
+pf AS (
+  SELECT page_id, url,
+         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+         regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1,
+         regexp_extract(html, '<p>([^<]*)', 1) AS p1,
+         regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/', 1) AS lang,
+         regexp_extract(url, '^(https://[^?#]*)$', 1) AS link
+  FROM pages)"""
+
+ORACLE["first_nonempty"] = "WITH " + _PAGE_FIELDS + """
+SELECT page_id, coalesce(nullif(link, ''), nullif(title, ''), nullif(h1, ''), nullif(url, ''), '')
+  AS value FROM pf
+"""
+
+ORACLE["merge_text"] = "WITH " + _PAGE_FIELDS + """
+SELECT page_id, concat_ws(' ', nullif(trim(title), ''), nullif(trim(h1), ''), nullif(trim(p1), ''))
+  AS merged FROM pf
+"""
+
+ORACLE["row_id"] = "WITH " + _PAGE_FIELDS + """
+SELECT page_id,
+       'yahoo:' || substr(sha1(coalesce(nullif(link, ''),
+                                        trim(coalesce(title, '')) || '|' || trim(coalesce(p1, '')))),
+                          1, 10) || ':' || upper(trim(lang)) AS id
+FROM pf
+"""
+
+ORACLE["date_window"] = """
+SELECT event_id, event_type, round(value, 6) AS value, CAST(ts AS DATE) AS date
+FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'
+"""
+
+ORACLE["flag_filter"] = """
+SELECT d.doc_id, d.lang, d.source
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+WHERE NOT coalesce(l.toxic = 1, false)
+"""
+
+ORACLE["source_filter"] = """
+SELECT doc_id, source FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3')
+"""
+
+ORACLE["truncate_tokens"] = f"""
+WITH c AS (SELECT doc_id, {_clean('text')} AS t FROM documents)
+SELECT doc_id,
+       CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS BIGINT) AS n_tokens,
+       CASE WHEN t = '' THEN '' ELSE array_to_string(string_split(t, ' ')[1:256], ' ') END
+         AS text_256
+FROM c
+"""
