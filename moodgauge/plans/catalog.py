@@ -211,3 +211,79 @@ def q_truncate_tokens(spark, sf_dir):
     d = _docs(spark, sf_dir)
     return d.select("doc_id", tx.token_count("text").alias("n_tokens"),
                     tx.truncate_tokens("text", 256).alias("text_256"))
+
+
+# --------------------------------------------------------------------------
+# E / F: dedup, unions, caps, entity matching
+# --------------------------------------------------------------------------
+from ..operators import dedup, match  # noqa: E402
+from .config import ENTITY_TERMS, KEYWORD_COUNT, POSTS_PER_ENTITY  # noqa: E402
+
+
+def entity_terms(spark) -> DataFrame:
+    """The entity -> keywords configuration as a long table."""
+    rows = [(e, i, t) for e, ts in ENTITY_TERMS.items() for i, t in enumerate(ts)]
+    return spark.createDataFrame(rows, "entity string, ord int, term string")
+
+
+@query("dedupe_first")
+def q_dedupe_first(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return dedup.dedupe_first(d, "text", ["doc_id"]).select("doc_id", "lang", "source")
+
+
+@query("union_pools")
+def q_union_pools(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(F.lit("documents").alias("pool"),
+                                    F.col("doc_id").alias("id"), "source",
+                                    F.length("text").cast("bigint").alias("n_chars"))
+    p = table(spark, sf_dir, "pages").select(F.lit("pages").alias("pool"),
+                                             F.col("page_id").alias("id"),
+                                             F.length("html").cast("bigint").alias("n_chars"))
+    return dedup.union_pools(d, p)
+
+
+def _matches(spark, sf_dir, method="theta"):
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    return match.match_entities(d, entity_terms(spark), "text", k=KEYWORD_COUNT,
+                                method=method, id_col="doc_id")
+
+
+@query("entity_match")
+def q_entity_match(spark, sf_dir):
+    return _matches(spark, sf_dir).select("doc_id", "entity", "matched_term")
+
+
+@query("entity_match_regex")
+def q_entity_match_regex(spark, sf_dir):
+    return _matches(spark, sf_dir, "regex").select("doc_id", "entity", "matched_term")
+
+
+@query("entity_match_token")
+def q_entity_match_token(spark, sf_dir):
+    return _matches(spark, sf_dir, "token").select("doc_id", "entity", "matched_term")
+
+
+@query("topk_per_entity")
+def q_topk_per_entity(spark, sf_dir):
+    m = _matches(spark, sf_dir)
+    top = dedup.topk_per_key(m, ["entity"], ["doc_id"], POSTS_PER_ENTITY, rank_col="rank")
+    return normalize(top.select("doc_id", "entity", "matched_term", "rank"))
+
+
+@query("buffered_limit")
+def q_buffered_limit(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    keep = (F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz")) & \
+           (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))
+    out = dedup.buffered_limit(ev, ["event_type"], ["ts", "event_id"], keep, limit=200)
+    return out.select("event_id", "event_type", F.to_date("ts").alias("date"))
+
+
+@query("cap_per_day")
+def q_cap_per_day(spark, sf_dir):
+    ev = _events(spark, sf_dir).withColumn("date", F.to_date("ts"))
+    out = dedup.topk_per_key(ev, ["event_type", "date"],
+                             [F.col("ts").desc(), F.col("event_id").desc()], 50,
+                             rank_col="rank")
+    return normalize(out.select("event_id", "event_type", "date", "rank"))

@@ -237,3 +237,100 @@ SELECT doc_id,
          AS text_256
 FROM c
 """
+
+from .config import ENTITY_TERMS, KEYWORD_COUNT, POSTS_PER_ENTITY  # noqa: E402
+
+
+def _sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _terms_values() -> str:
+    rows = []
+    for e, ts in ENTITY_TERMS.items():
+        rows.append(f"({_sq(e)}, -2, {_sq(e)})")
+        rows.append(f"({_sq(e)}, -1, {_sq('$' + e)})")
+        rows += [f"({_sq(e)}, {i}, {_sq(t)})" for i, t in enumerate(ts[:KEYWORD_COUNT]) if t]
+    return "terms(entity, ord, term) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_MATCH = "WITH " + _terms_values() + """,
+d AS (SELECT doc_id, trim(coalesce(text, '')) AS text FROM documents),
+h AS (SELECT d.doc_id, d.text, t.entity, t.ord, t.term,
+             strpos(lower(d.text), lower(t.term)) AS pos
+      FROM d JOIN terms t ON strpos(lower(d.text), lower(t.term)) > 0
+      WHERE d.text <> ''),
+m AS (SELECT doc_id, entity, substr(text, pos, length(term)) AS matched_term,
+             row_number() OVER (PARTITION BY doc_id, entity ORDER BY pos, ord) AS rn
+      FROM h)"""
+
+ORACLE["entity_match"] = _MATCH + """
+SELECT doc_id, entity, matched_term FROM m WHERE rn = 1
+"""
+
+
+def _regex_arms() -> str:
+    arms = []
+    for e, ts in ENTITY_TERMS.items():
+        alts = [e, "$" + e] + [t for t in ts[:KEYWORD_COUNT] if t]
+        rx = "(?i)(" + "|".join("\\Q" + a + "\\E" for a in alts) + ")"
+        arms.append(f"SELECT doc_id, {_sq(e)} AS entity, regexp_extract(text, {_sq(rx)}, 1) "
+                    f"AS matched_term FROM d")
+    return " UNION ALL ".join(arms)
+
+
+ORACLE["entity_match_regex"] = f"""
+WITH d AS (SELECT doc_id, trim(coalesce(text, '')) AS text FROM documents
+           WHERE trim(coalesce(text, '')) <> ''),
+x AS ({_regex_arms()})
+SELECT doc_id, entity, matched_term FROM x WHERE matched_term <> ''
+"""
+
+ORACLE["entity_match_token"] = "WITH " + _terms_values() + """,
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS toks
+      FROM documents WHERE trim(coalesce(text, '')) <> ''),
+tk AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM d),
+h AS (SELECT tk.doc_id, t.entity, t.ord, tk.pos, tk.tok
+      FROM tk JOIN terms t ON tk.tok = lower(t.term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity ORDER BY pos, ord) AS rn FROM h)
+SELECT doc_id, entity, tok AS matched_term FROM r WHERE rn = 1
+"""
+
+ORACLE["topk_per_entity"] = _MATCH + f""",
+f AS (SELECT doc_id, entity, matched_term,
+             row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS rank
+      FROM m WHERE rn = 1)
+SELECT doc_id, entity, matched_term, CAST(rank AS BIGINT) AS rank FROM f
+WHERE rank <= {POSTS_PER_ENTITY}
+"""
+
+ORACLE["dedupe_first"] = """
+SELECT doc_id, lang, source FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
+  FROM documents WHERE text IS NOT NULL) WHERE rn = 1
+"""
+
+ORACLE["union_pools"] = """
+SELECT 'documents' AS pool, doc_id AS id, source, CAST(length(text) AS BIGINT) AS n_chars
+FROM documents
+UNION ALL
+SELECT 'pages' AS pool, page_id AS id, NULL AS source, CAST(length(html) AS BIGINT) AS n_chars
+FROM pages
+"""
+
+ORACLE["buffered_limit"] = """
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn
+           FROM events),
+b AS (SELECT * FROM a WHERE rn <= 600
+        AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-10'),
+c AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn2 FROM b)
+SELECT event_id, event_type, CAST(ts AS DATE) AS date FROM c WHERE rn2 <= 200
+"""
+
+ORACLE["cap_per_day"] = """
+SELECT event_id, event_type, date, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT event_id, event_type, CAST(ts AS DATE) AS date,
+         row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE)
+                            ORDER BY ts DESC, event_id DESC) AS rank
+  FROM events) WHERE rank <= 50
+"""
