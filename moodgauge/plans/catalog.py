@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import report
@@ -287,3 +287,55 @@ def q_cap_per_day(spark, sf_dir):
                              [F.col("ts").desc(), F.col("event_id").desc()], 50,
                              rank_col="rank")
     return normalize(out.select("event_id", "event_type", "date", "rank"))
+
+
+# --------------------------------------------------------------------------
+# G: candidate consensus over landed responses; E3 universe
+# --------------------------------------------------------------------------
+from ..operators import consensus  # noqa: E402
+from .config import PEER_COUNT  # noqa: E402
+from .tables import responses  # noqa: E402
+
+
+def _keywords(spark, sf_dir):
+    return consensus.extract_keywords(responses(spark, sf_dir), k=KEYWORD_COUNT)
+
+
+def _consensus_keywords(spark, sf_dir):
+    acc = consensus.accept_attempt(_keywords(spark, sf_dir), k=KEYWORD_COUNT, floor=3)
+    return consensus.consensus_topk(acc, k=KEYWORD_COUNT)
+
+
+@query("extract_keywords")
+def q_extract_keywords(spark, sf_dir):
+    k = _keywords(spark, sf_dir)
+    return k.select("entity", "run", "attempt", F.array_join("words", " ").alias("keywords"),
+                    F.size("words").cast("bigint").alias("n_keywords"))
+
+
+@query("extract_symbols")
+def q_extract_symbols(spark, sf_dir):
+    s = consensus.extract_symbols(responses(spark, sf_dir), k=PEER_COUNT)
+    return s.select("entity", "run", "attempt", F.array_join("words", " ").alias("symbols"),
+                    F.size("words").cast("bigint").alias("n_symbols"))
+
+
+@query("accept_attempt")
+def q_accept_attempt(spark, sf_dir):
+    a = consensus.accept_attempt(_keywords(spark, sf_dir), k=KEYWORD_COUNT, floor=3)
+    return a.select("entity", "run", "attempt", F.array_join("words", " ").alias("keywords"))
+
+
+@query("consensus_topk")
+def q_consensus_topk(spark, sf_dir):
+    return _consensus_keywords(spark, sf_dir)
+
+
+@query("expand_universe")
+def q_expand_universe(spark, sf_dir):
+    # base: the entities in name order; their peers: the consensus terms
+    peers = _consensus_keywords(spark, sf_dir).select(
+        "entity", F.col("rank").alias("ord"), "term")
+    base = peers.select(F.col("entity").alias("ticker")).distinct() \
+        .withColumn("ord", F.dense_rank().over(Window.orderBy("ticker")))
+    return dedup.expand_universe(base, peers)

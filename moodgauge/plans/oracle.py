@@ -334,3 +334,97 @@ SELECT event_id, event_type, date, CAST(rank AS BIGINT) AS rank FROM (
                             ORDER BY ts DESC, event_id DESC) AS rank
   FROM events) WHERE rank <= 50
 """
+
+from ..functions.text import BANNED_KEYWORDS  # noqa: E402
+from .config import PEER_COUNT  # noqa: E402
+
+_BANNED = ", ".join(_sq(w) for w in BANNED_KEYWORDS)
+
+_KEYWORDS = "WITH " + RESPONSES_SQL + f""",
+tk AS (
+  SELECT entity, run, attempt, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
+  FROM (SELECT entity, run, attempt,
+               string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+') AS ws
+        FROM responses)),
+ok AS (
+  SELECT entity, run, attempt, w, min(pos) AS pos FROM tk
+  WHERE regexp_full_match(w, '[a-z][a-z0-9]+') AND w NOT IN ({_BANNED})
+  GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY entity, run, attempt ORDER BY pos) AS r
+       FROM ok),
+kw AS (
+  SELECT entity, run, attempt, string_agg(w, ' ' ORDER BY pos) AS keywords,
+         count(*) AS n_keywords
+  FROM rk WHERE r <= {KEYWORD_COUNT} GROUP BY ALL),
+allkw AS (
+  SELECT r.entity, r.run, r.attempt, coalesce(kw.keywords, '') AS keywords,
+         coalesce(kw.n_keywords, 0) AS n_keywords
+  FROM responses r LEFT JOIN kw
+    ON kw.entity = r.entity AND kw.run = r.run AND kw.attempt = r.attempt),
+acc AS (
+  SELECT entity, run, attempt, keywords FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity, run ORDER BY attempt) AS a
+    FROM allkw WHERE n_keywords >= {min(KEYWORD_COUNT, max(3, KEYWORD_COUNT // 2))})
+  WHERE a = 1),
+terms AS (
+  SELECT rk.entity, rk.run, rk.w AS term, rk.r AS pos
+  FROM rk JOIN acc ON acc.entity = rk.entity AND acc.run = rk.run AND acc.attempt = rk.attempt
+  WHERE rk.r <= {KEYWORD_COUNT}),
+firsts AS (
+  SELECT entity, term, count(*) OVER (PARTITION BY entity, term) AS n_runs, run, pos,
+         row_number() OVER (PARTITION BY entity, term ORDER BY run, pos) AS f
+  FROM terms),
+ranked AS (
+  SELECT entity, term, n_runs,
+         row_number() OVER (PARTITION BY entity ORDER BY n_runs DESC, run, pos, term) AS rank
+  FROM firsts WHERE f = 1),
+top AS (SELECT entity, CAST(rank AS BIGINT) AS rank, term, CAST(n_runs AS BIGINT) AS n_runs
+        FROM ranked WHERE rank <= {KEYWORD_COUNT})"""
+
+ORACLE["extract_keywords"] = _KEYWORDS + """
+SELECT entity, run, attempt, keywords, CAST(n_keywords AS BIGINT) AS n_keywords FROM allkw
+"""
+
+ORACLE["accept_attempt"] = _KEYWORDS + """
+SELECT entity, run, attempt, keywords FROM acc
+"""
+
+ORACLE["consensus_topk"] = _KEYWORDS + """
+SELECT * FROM top
+"""
+
+ORACLE["expand_universe"] = _KEYWORDS + """,
+base AS (SELECT entity, dense_rank() OVER (ORDER BY entity) AS bord
+         FROM (SELECT DISTINCT entity FROM top)),
+allp AS (
+  SELECT upper(entity) AS ticker, bord, -1 AS pord FROM base
+  UNION ALL
+  SELECT upper(top.term) AS ticker, base.bord, top.rank AS pord
+  FROM top JOIN base ON base.entity = top.entity),
+ufirst AS (
+  SELECT ticker, bord, pord,
+         row_number() OVER (PARTITION BY ticker ORDER BY bord, pord) AS f FROM allp)
+SELECT ticker, CAST(row_number() OVER (ORDER BY bord, pord, ticker) AS BIGINT) AS ord
+FROM ufirst WHERE f = 1
+"""
+
+ORACLE["extract_symbols"] = "WITH " + RESPONSES_SQL + f""",
+t AS (
+  SELECT entity, run, attempt,
+         regexp_replace(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', ' ', 'g'),
+                        '[^\\x00-\\x7F]', '_', 'g') AS t
+  FROM responses),
+tk AS (
+  SELECT entity, run, attempt, unnest(s) AS w, generate_subscripts(s, 1) AS pos
+  FROM (SELECT *, regexp_extract_all(t, '\\b([A-Z]{{1,5}}(?:\\.[A-Z])?)\\b', 1) AS s FROM t)),
+ok AS (SELECT entity, run, attempt, w, min(pos) AS pos FROM tk
+       WHERE w <> upper(entity) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY entity, run, attempt ORDER BY pos) AS r
+       FROM ok),
+sy AS (SELECT entity, run, attempt, string_agg(w, ' ' ORDER BY pos) AS symbols,
+              count(*) AS n FROM rk WHERE r <= {PEER_COUNT} GROUP BY ALL)
+SELECT r.entity, r.run, r.attempt, coalesce(sy.symbols, '') AS symbols,
+       CAST(coalesce(sy.n, 0) AS BIGINT) AS n_symbols
+FROM responses r LEFT JOIN sy
+  ON sy.entity = r.entity AND sy.run = r.run AND sy.attempt = r.attempt
+"""
