@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
-from ..session import MAX_BROADCAST_ROWS
+from ..session import MAX_BROADCAST_ROWS, ship_package
 
 # Fixed values (rule constants from Hutto & Gilbert, ICWSM 2014):
 NEGATION_SCALAR = -0.74      # multiplier for a negated word
@@ -68,7 +68,10 @@ def lexicon_score(docs: DataFrame, lexicon, id_col: str = "doc_id",
     lex = _lit_map(lexicon_dict(lexicon))
     boost = _lit_map(DEFAULT_BOOSTERS if boosters is None else boosters)
     negs = F.array(*[F.lit(w) for w in (DEFAULT_NEGATIONS if negations is None else negations)])
-    toks = word_tokens(text_col)
+    # tokens become a column first: the lambda below reads neighbours by
+    # index, and must not re-run the tokenizer for every element
+    docs = docs.select(F.col(id_col), word_tokens(text_col).alias("__toks"))
+    toks = F.col("__toks")
 
     def token_value(t, i):
         v0 = F.coalesce(F.try_element_at(lex, t), F.lit(0.0))
@@ -81,7 +84,8 @@ def lexicon_score(docs: DataFrame, lexicon, id_col: str = "doc_id",
             F.coalesce(F.array_contains(negs, prev[2]), F.lit(False))
         return F.when(negated, v1 * NEGATION_SCALAR).otherwise(v1)
 
-    vals = F.transform(toks, token_value)
+    docs = docs.select(F.col(id_col), F.transform(toks, token_value).alias("__vals"))
+    vals = F.col("__vals")
     zero = F.lit(0.0)
     s = F.aggregate(vals, zero, lambda a, v: a + v)
     pos_sum = F.aggregate(F.filter(vals, lambda v: v > 0), zero, lambda a, v: a + v + 1)
@@ -176,6 +180,7 @@ def model_score(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             yield pd.DataFrame({id_col: pdf[id_col], "neg": neg, "neu": neu,
                                 "pos": pos, "compound": pos - neg})
 
+    ship_package(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, neg double, neu double, pos double, compound double"
     return df.select(id_col, text_col).mapInPandas(run, schema)

@@ -339,3 +339,42 @@ def q_expand_universe(spark, sf_dir):
     base = peers.select(F.col("entity").alias("ticker")).distinct() \
         .withColumn("ord", F.dense_rank().over(Window.orderBy("ticker")))
     return dedup.expand_universe(base, peers)
+
+
+# --------------------------------------------------------------------------
+# H: scoring
+# --------------------------------------------------------------------------
+from ..operators import scoring  # noqa: E402
+from .config import QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS  # noqa: E402
+
+
+def _lexicon_scores(df):
+    return scoring.lexicon_score(df, QUERY_LEXICON, "doc_id", "text",
+                                 negations=QUERY_NEGATIONS, boosters=QUERY_BOOSTERS)
+
+
+@query("lexicon_score")
+def q_lexicon_score(spark, sf_dir):
+    return normalize(_lexicon_scores(_docs(spark, sf_dir)))
+
+
+@query("softmax_scores")
+def q_softmax_scores(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    # logit order of the model's labels: positive, negative, neutral
+    emb = F.col("embedding")
+    return normalize(scoring.softmax_scores(e, emb[0], emb[1], emb[2], keep=["vec_id"]))
+
+
+@query("score_cache")
+def q_score_cache(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    # the cache: scores already computed for the labelled documents
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    cache = _lexicon_scores(labelled)
+    return normalize(scoring.score_cache(docs, cache, "doc_id", _lexicon_scores))
+
+
+@query("model_score")
+def q_model_score(spark, sf_dir):
+    return normalize(scoring.model_score(_docs(spark, sf_dir), "text", "doc_id"))

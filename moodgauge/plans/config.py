@@ -10,3 +10,13 @@ ENTITY_TERMS = {
 KEYWORD_COUNT = 5          # keywords used per entity
 POSTS_PER_ENTITY = 200     # cap of matched posts per entity
 PEER_COUNT = 6             # symbols per response
+
+# The inline lexicon of the lexicon-scoring query. Its words
+# are frequent tokens of the test prose, so that valence, booster and
+# negation rules all fire; valences are ours.
+QUERY_LEXICON = {
+    "ha": 1.5, "re": -0.8, "er": 0.6, "st": -1.9, "ti": 2.2, "ly": -1.3,
+    "nt": 0.9, "ea": -2.4, "ed": 1.1, "ing": 0.4, "tion": -0.5, "ou": 1.7,
+}
+QUERY_BOOSTERS = {"on": 0.293, "an": -0.293}
+QUERY_NEGATIONS = ["not", "no", "never", "nicht", "pas"]

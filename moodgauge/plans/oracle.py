@@ -428,3 +428,66 @@ SELECT r.entity, r.run, r.attempt, coalesce(sy.symbols, '') AS symbols,
 FROM responses r LEFT JOIN sy
   ON sy.entity = r.entity AND sy.run = r.run AND sy.attempt = r.attempt
 """
+
+from ..operators.scoring import BOOST_DECAY, NEGATION_SCALAR, NORMALIZE_ALPHA  # noqa: E402
+from .config import QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS  # noqa: E402
+
+
+def _values(name: str, cols: str, d: dict) -> str:
+    return f"{name}({cols}) AS (VALUES " + ", ".join(
+        f"({_sq(k)}, CAST({float(v)!r} AS DOUBLE))" for k, v in d.items()) + ")"
+
+
+_LEXICON = ("WITH " + _values("lex", "w, v", QUERY_LEXICON) + ", "
+            + _values("boost", "w, b", QUERY_BOOSTERS) + ", negs(w) AS (VALUES "
+            + ", ".join(f"({_sq(w)})" for w in QUERY_NEGATIONS) + ")" + f""",
+dt AS (SELECT doc_id,
+              regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS toks
+       FROM documents),
+tk AS (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM dt),
+lg AS (SELECT doc_id, i, t,
+              lag(t, 1) OVER (PARTITION BY doc_id ORDER BY i) AS p1,
+              lag(t, 2) OVER (PARTITION BY doc_id ORDER BY i) AS p2,
+              lag(t, 3) OVER (PARTITION BY doc_id ORDER BY i) AS p3
+       FROM tk),
+v0 AS (SELECT lg.doc_id, coalesce(lex.v, 0.0) AS v0,
+              coalesce(b1.b, 0.0) * {BOOST_DECAY[0]} + coalesce(b2.b, 0.0) * {BOOST_DECAY[1]}
+                + coalesce(b3.b, 0.0) * {BOOST_DECAY[2]} AS bs,
+              (p1 IN (SELECT w FROM negs) OR p2 IN (SELECT w FROM negs)
+                OR p3 IN (SELECT w FROM negs)) AS negated
+       FROM lg LEFT JOIN lex ON lex.w = lg.t
+       LEFT JOIN boost b1 ON b1.w = lg.p1
+       LEFT JOIN boost b2 ON b2.w = lg.p2
+       LEFT JOIN boost b3 ON b3.w = lg.p3),
+v AS (SELECT doc_id,
+             (v0 + sign(v0) * bs) * CASE WHEN negated THEN {NEGATION_SCALAR} ELSE 1.0 END AS v
+      FROM v0),
+s AS (SELECT doc_id, sum(v) AS s,
+             sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS ps,
+             abs(sum(CASE WHEN v < 0 THEN v - 1 ELSE 0 END)) AS ns,
+             sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS nu
+      FROM v GROUP BY doc_id),
+f AS (SELECT d.doc_id, coalesce(s.s, 0.0) AS s, coalesce(s.ps, 0.0) AS ps,
+             coalesce(s.ns, 0.0) AS ns, coalesce(s.nu, 0) AS nu
+      FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id)
+SELECT doc_id,
+       round(CASE WHEN ps + ns + nu > 0 THEN ns / (ps + ns + nu) ELSE 0 END, 6) AS neg,
+       round(CASE WHEN ps + ns + nu > 0 THEN nu / (ps + ns + nu) ELSE 0 END, 6) AS neu,
+       round(CASE WHEN ps + ns + nu > 0 THEN ps / (ps + ns + nu) ELSE 0 END, 6) AS pos,
+       round(s / sqrt(s * s + {NORMALIZE_ALPHA}), 6) AS compound
+FROM f
+""")
+
+ORACLE["lexicon_score"] = _LEXICON
+ORACLE["score_cache"] = _LEXICON
+
+ORACLE["softmax_scores"] = """
+WITH l AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS p, CAST(embedding[2] AS DOUBLE) AS n,
+                  CAST(embedding[3] AS DOUBLE) AS u FROM embeddings),
+e AS (SELECT vec_id, exp(p - greatest(p, n, u)) AS ep, exp(n - greatest(p, n, u)) AS en,
+             exp(u - greatest(p, n, u)) AS eu FROM l)
+SELECT vec_id, round(en / (ep + en + eu), 6) AS neg, round(eu / (ep + en + eu), 6) AS neu,
+       round(ep / (ep + en + eu), 6) AS pos,
+       round(ep / (ep + en + eu) - en / (ep + en + eu), 6) AS compound
+FROM e
+"""

@@ -84,3 +84,24 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS):
     if n <= max_rows:
         return F.broadcast(df), n
     return None, n
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on executors (for the Python-side
+    operators) by adding a zip of it with ``addPyFile``, once per
+    application. The zip is built on the driver; Spark serves it to the
+    executors."""
+    import shutil
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="moodgauge-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "moodgauge"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="moodgauge")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
