@@ -378,3 +378,112 @@ def q_score_cache(spark, sf_dir):
 @query("model_score")
 def q_model_score(spark, sf_dir):
     return normalize(scoring.model_score(_docs(spark, sf_dir), "text", "doc_id"))
+
+
+# --------------------------------------------------------------------------
+# J / K / M: bars, returns, volatility labels, merge, model stage
+# --------------------------------------------------------------------------
+from ..operators import features, market, model  # noqa: E402
+from .tables import ticks  # noqa: E402
+
+
+def _bars(spark, sf_dir):
+    return market.ohlc_bars(ticks(spark, sf_dir), "ticker", "ts", "price", "day")
+
+
+def _labels(spark, sf_dir):
+    r = market.realized_vol(market.log_returns(_bars(spark, sf_dir)), n=20, year=252)
+    return market.vol_label(r, horizon=1)
+
+
+def _merged(spark, sf_dir):
+    social = report.daily_features(_events(spark, sf_dir), "event_type", "ts", ["value"])
+    lab = _labels(spark, sf_dir).select("ticker", "date", "log_ret", "rv", "rv_1d")
+    return features.merge_features(social, lab)
+
+
+@query("ohlc_bars")
+def q_ohlc_bars(spark, sf_dir):
+    return normalize(_bars(spark, sf_dir))
+
+
+@query("log_returns")
+def q_log_returns(spark, sf_dir):
+    r = market.log_returns(_bars(spark, sf_dir))
+    return normalize(r.select("ticker", "date", "close", "log_ret"))
+
+
+@query("realized_vol")
+def q_realized_vol(spark, sf_dir):
+    r = market.realized_vol(market.log_returns(_bars(spark, sf_dir)), n=20, year=252)
+    return normalize(r.select("ticker", "date", "log_ret", "rv"))
+
+
+@query("vol_label")
+def q_vol_label(spark, sf_dir):
+    return normalize(_labels(spark, sf_dir).select("ticker", "date", "rv", "rv_1d"))
+
+
+@query("session_date")
+def q_session_date(spark, sf_dir):
+    s = market.session_dates(ticks(spark, sf_dir), _bars(spark, sf_dir), ts="ts",
+                             entity="ticker", zone="America/New_York", close_hour=16)
+    return s.select("event_id", "ticker", "session_day", "trade_date")
+
+
+@query("daily_spine")
+def q_daily_spine(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    daily = ev.groupBy(F.col("user_id").cast("string").alias("ticker"),
+                       F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    return market.daily_spine(daily, "ticker", "date", fill_zero=["n"])
+
+
+@query("merge_features")
+def q_merge_features(spark, sf_dir):
+    return normalize(_merged(spark, sf_dir))
+
+
+@query("join_contract")
+def q_join_contract(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return features.check_join_contract(li, ["l_orderkey", "l_linenumber"])
+
+
+@query("symbol_map")
+def q_symbol_map(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    dim = nation.select(F.col("n_name").alias("entity"),
+                        F.upper(F.substring("n_name", 1, 4)).alias("symbol"))
+    cust = table(spark, sf_dir, "customer").join(
+        nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("entity")),
+        "c_nationkey", "left")
+    return features.attach_symbol(cust, dim, "entity").select("c_custkey", "entity", "symbol")
+
+
+@query("market_index_join")
+def q_market_index_join(spark, sf_dir):
+    t = ticks(spark, sf_dir)
+    bars = market.ohlc_bars(t, "ticker", "ts", "price", "day")
+    index = market.ohlc_bars(t.withColumn("ticker", F.lit("INDEX")), "ticker", "ts", "price", "day")
+    j = features.market_index_join(bars, index.select("date", "close"))
+    return normalize(j.select("ticker", "date", "close", "index_close"))
+
+
+@query("time_split")
+def q_time_split(spark, sf_dir):
+    m = _merged(spark, sf_dir)
+    return model.time_split(m, "date", 0.8).select("ticker", "date", "split")
+
+
+@query("fit_per_ticker")
+def q_fit_per_ticker(spark, sf_dir):
+    return normalize(model.fit_per_ticker(_merged(spark, sf_dir), "value_mean", "rv_1d"))
+
+
+@query("evaluate")
+def q_evaluate(spark, sf_dir):
+    s = model.time_split(_merged(spark, sf_dir), "date", 0.8)
+    coef = model.fit_per_ticker(s.where(F.col("split") == "train"), "value_mean", "rv_1d")
+    pred = model.apply_linear(s.where(F.col("split") == "test"), coef, "value_mean")
+    return normalize(model.evaluate(pred, "rv_1d", "y_hat", ["ticker"]))

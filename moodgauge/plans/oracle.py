@@ -491,3 +491,127 @@ SELECT vec_id, round(en / (ep + en + eu), 6) AS neg, round(eu / (ep + en + eu),
        round(ep / (ep + en + eu) - en / (ep + en + eu), 6) AS compound
 FROM e
 """
+
+_BARS = """
+bars AS (
+  SELECT event_type AS ticker, CAST(ts AS DATE) AS date, arg_min(value, ts) AS open,
+         max(value) AS high, min(value) AS low, arg_max(value, ts) AS close,
+         count(*) AS volume
+  FROM events GROUP BY 1, 2),
+ret AS (
+  SELECT *, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS log_ret
+  FROM bars),
+rv AS (
+  SELECT *, CASE WHEN count(log_ret) OVER w = 20
+                 THEN stddev_samp(log_ret) OVER w * sqrt(252) END AS rv
+  FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+lab AS (SELECT *, lead(rv, 1) OVER (PARTITION BY ticker ORDER BY date) AS rv_1d FROM rv),
+social AS (
+  SELECT event_type AS ticker, CAST(ts AS DATE) AS date, avg(value) AS value_mean,
+         count(*) AS n
+  FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+merged AS (
+  SELECT s.ticker, s.date, s.value_mean, s.n, l.log_ret, l.rv, l.rv_1d
+  FROM social s JOIN lab l ON l.ticker = s.ticker AND l.date = s.date),
+dates AS (SELECT date, row_number() OVER (ORDER BY date) AS r, count(*) OVER () AS n
+          FROM (SELECT DISTINCT date FROM merged)),
+cut AS (SELECT max(date) AS cut FROM dates WHERE r <= ceil(n * 0.8 - 1e-9)),
+split AS (
+  SELECT merged.*, CASE WHEN date <= (SELECT cut FROM cut) THEN 'train' ELSE 'test' END AS split
+  FROM merged)"""
+
+ORACLE["ohlc_bars"] = "WITH " + _BARS + """
+SELECT ticker, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low,
+       round(close, 6) AS close, volume FROM bars
+"""
+
+ORACLE["log_returns"] = "WITH " + _BARS + """
+SELECT ticker, date, round(close, 6) AS close, round(log_ret, 6) AS log_ret FROM ret
+"""
+
+ORACLE["realized_vol"] = "WITH " + _BARS + """
+SELECT ticker, date, round(log_ret, 6) AS log_ret, round(rv, 6) AS rv FROM rv
+"""
+
+ORACLE["vol_label"] = "WITH " + _BARS + """
+SELECT ticker, date, round(rv, 6) AS rv, round(rv_1d, 6) AS rv_1d FROM lab
+"""
+
+ORACLE["merge_features"] = "WITH " + _BARS + """
+SELECT ticker, date, round(value_mean, 6) AS value_mean, n, round(log_ret, 6) AS log_ret,
+       round(rv, 6) AS rv, round(rv_1d, 6) AS rv_1d FROM merged
+"""
+
+ORACLE["time_split"] = "WITH " + _BARS + """
+SELECT ticker, date, split FROM split
+"""
+
+ORACLE["fit_per_ticker"] = "WITH " + _BARS + """
+SELECT ticker, round(regr_slope(rv_1d, value_mean), 6) AS slope,
+       round(regr_intercept(rv_1d, value_mean), 6) AS intercept,
+       CAST(regr_count(rv_1d, value_mean) AS BIGINT) AS n
+FROM merged GROUP BY ticker
+"""
+
+ORACLE["evaluate"] = "WITH " + _BARS + """,
+coef AS (SELECT ticker, regr_slope(rv_1d, value_mean) AS slope,
+                regr_intercept(rv_1d, value_mean) AS intercept
+         FROM split WHERE split = 'train' GROUP BY ticker),
+pred AS (SELECT s.ticker, s.rv_1d AS y, c.intercept + c.slope * s.value_mean AS y_hat
+         FROM split s JOIN coef c ON c.ticker = s.ticker WHERE s.split = 'test'),
+ok AS (SELECT * FROM pred WHERE y IS NOT NULL AND y_hat IS NOT NULL)
+SELECT ticker, count(*) AS n, round(avg(abs(y - y_hat)), 6) AS mae,
+       round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse,
+       round(1.0 - sum((y - y_hat) * (y - y_hat)) / (count(*) * var_pop(y)), 6) AS r2
+FROM ok GROUP BY ticker
+"""
+
+ORACLE["session_date"] = """
+WITH e AS (
+  SELECT event_id, event_type AS ticker,
+         (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS lt
+  FROM events),
+s AS (
+  SELECT event_id, ticker,
+         CASE WHEN hour(lt) * 60 + minute(lt) >= 960 THEN CAST(lt AS DATE) + 1
+              ELSE CAST(lt AS DATE) END AS session_day
+  FROM e),
+cal AS (SELECT DISTINCT event_type AS ticker, CAST(ts AS DATE) AS d FROM events)
+SELECT s.event_id, s.ticker, s.session_day,
+       (SELECT min(d) FROM cal WHERE cal.ticker = s.ticker AND cal.d >= s.session_day)
+         AS trade_date
+FROM s
+"""
+
+ORACLE["daily_spine"] = """
+WITH d AS (SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date,
+                  count(*) AS n FROM events GROUP BY 1, 2),
+sp AS (SELECT ticker, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE)
+              AS date FROM d GROUP BY ticker)
+SELECT sp.ticker, sp.date, coalesce(d.n, 0) AS n
+FROM sp LEFT JOIN d ON d.ticker = sp.ticker AND d.date = sp.date
+"""
+
+ORACLE["join_contract"] = """
+WITH k AS (
+  SELECT l_orderkey, l_linenumber, count(*) AS n,
+         max(CASE WHEN l_orderkey IS NULL OR l_linenumber IS NULL THEN 1 ELSE 0 END) AS hn
+  FROM lineitem GROUP BY 1, 2)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows,
+       CAST(coalesce(sum(CASE WHEN hn = 1 THEN n END), 0) AS BIGINT) AS n_null_key_rows,
+       CAST(count(CASE WHEN n > 1 AND hn = 0 THEN 1 END) AS BIGINT) AS n_dup_keys,
+       CAST(coalesce(sum(CASE WHEN n > 1 AND hn = 0 THEN n END), 0) AS BIGINT) AS n_dup_rows
+FROM k
+"""
+
+ORACLE["symbol_map"] = """
+SELECT c.c_custkey, n.n_name AS entity, upper(substr(n.n_name, 1, 4)) AS symbol
+FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
+"""
+
+ORACLE["market_index_join"] = "WITH " + _BARS + """,
+ix AS (SELECT CAST(ts AS DATE) AS date, arg_max(value, ts) AS index_close
+       FROM events GROUP BY 1)
+SELECT b.ticker, b.date, round(b.close, 6) AS close, round(ix.index_close, 6) AS index_close
+FROM bars b LEFT JOIN ix ON ix.date = b.date
+"""
