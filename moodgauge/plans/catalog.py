@@ -487,3 +487,30 @@ def q_evaluate(spark, sf_dir):
     coef = model.fit_per_ticker(s.where(F.col("split") == "train"), "value_mean", "rv_1d")
     pred = model.apply_linear(s.where(F.col("split") == "test"), coef, "value_mean")
     return normalize(model.evaluate(pred, "rv_1d", "y_hat", ["ticker"]))
+
+
+# --------------------------------------------------------------------------
+# X: Structured Streaming over a landing folder
+# --------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..streaming import landing  # noqa: E402
+
+
+@query("stream_daily_stats")
+def q_stream_daily_stats(spark, sf_dir):
+    """Events land as JSON-lines files; a file-source stream de-duplicates
+    ids within a 1-day watermark and keeps daily tumbling stats per type."""
+    run = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    land = f"{run}/landing"
+    ev = _events(spark, sf_dir).select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("grp"), F.col("value").alias("score"))
+    ev.write.mode("errorifexists").json(land)
+    schema = "id bigint, ts timestamp, grp string, score double"
+    from pyspark.sql.types import _parse_datatype_string
+    s = landing.stream_landing(spark, land, _parse_datatype_string(schema), "ts", "id", "1 day")
+    stats = landing.stream_daily_stats(s, "ts", "score", "grp", "id")
+    landing.run_complete_to_table(stats, f"{run}/checkpoint", f"{run}/out")
+    return normalize(spark.read.parquet(f"{run}/out"))

@@ -615,3 +615,10 @@ ix AS (SELECT CAST(ts AS DATE) AS date, arg_max(value, ts) AS index_close
 SELECT b.ticker, b.date, round(b.close, 6) AS close, round(ix.index_close, 6) AS index_close
 FROM bars b LEFT JOIN ix ON ix.date = b.date
 """
+
+ORACLE["stream_daily_stats"] = """
+SELECT event_type AS grp, CAST(ts AS DATE) AS day, count(event_id) AS n_posts,
+       round(avg(value), 6) AS score_mean, round(stddev_samp(value), 6) AS score_std,
+       round(var_samp(value), 6) AS score_var
+FROM events GROUP BY 1, 2
+"""

@@ -54,3 +54,16 @@ def run_available(df: DataFrame, checkpoint: str, sink_path: str,
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(sink_path))
     q.awaitTermination()
+
+
+def run_complete_to_table(df: DataFrame, checkpoint: str, table_path: str) -> None:
+    """Run an aggregating stream over everything landed so far in complete
+    mode; every micro-batch overwrites ``table_path`` with the full result
+    (Parquet), so the table always holds a whole, consistent answer."""
+    def write(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(table_path)
+
+    q = (df.writeStream.outputMode("complete")
+         .option("checkpointLocation", checkpoint)
+         .foreachBatch(write).trigger(availableNow=True).start())
+    q.awaitTermination()
