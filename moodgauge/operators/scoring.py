@@ -1,9 +1,9 @@
 """Text scoring as distributed jobs (H1-H5).
 
-H1 lexicon scoring is a set computation over each document's token array
-with higher-order functions: lexicon lookups, booster and negation rules on
-the three previous tokens, and the sums, all row-local and JVM-side. The
-lexicon is a dimension table; it becomes a literal map after a size check.
+H1 lexicon scoring is a set job: tokens (with their three predecessors)
+are exploded and hash-joined with the size-checked, broadcast lexicon; the
+booster and negation rules are column expressions; the sums are a partial
+aggregate per document.
 
 H2 model scoring runs a pluggable scorer in ``mapInPandas`` over Arrow
 batches; the scorer is built once per Python worker.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
-from ..session import MAX_BROADCAST_ROWS, ship_package
+from ..session import MAX_BROADCAST_ROWS, checked_broadcast, ship_package
 
 # Fixed values (rule constants from Hutto & Gilbert, ICWSM 2014):
 NEGATION_SCALAR = -0.74      # multiplier for a negated word
@@ -55,7 +55,8 @@ def lexicon_dict(lexicon, max_rows: int = MAX_BROADCAST_ROWS) -> dict:
 
 def lexicon_score(docs: DataFrame, lexicon, id_col: str = "doc_id",
                   text_col: str = "text", negations: list[str] | None = None,
-                  boosters: dict | None = None) -> DataFrame:
+                  boosters: dict | None = None,
+                  max_lexicon_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """H1: ``(id, neg, neu, pos, compound)`` per document.
 
     Per token ``i`` (lower-cased letter/digit runs): ``v0`` = lexicon
@@ -64,35 +65,60 @@ def lexicon_score(docs: DataFrame, lexicon, id_col: str = "doc_id",
     multiplies by -0.74. ``s`` = sum; compound = ``s / sqrt(s^2 + 15)``;
     pos / neg / neu = ``sum(v+1 | v>0)``, ``|sum(v-1 | v<0)|`` and the
     count of zero tokens, each over their total. No tokens -> all 0.
+
+    Plan: each token carries its three predecessors (computed row-locally
+    from the token array), tokens are exploded and looked up in the lexicon
+    with a broadcast *hash* join (O(1) per token whatever the lexicon size;
+    the lexicon is size-checked first, a shuffle join past the ceiling), and
+    the per-document sums are a partial aggregate in the same stage, so the
+    only shuffle carries one row per document. Booster and negation lists
+    are short and are consulted only for lexicon hits.
     """
-    lex = _lit_map(lexicon_dict(lexicon))
+    spark = docs.sparkSession
+    if isinstance(lexicon, dict):
+        lex = spark.createDataFrame([(str(k).lower(), float(v)) for k, v in lexicon.items()],
+                                    "__t string, __v double")
+    else:
+        lex = lexicon.select(F.lower(F.col(lexicon.columns[0])).alias("__t"),
+                             F.col(lexicon.columns[1]).cast("double").alias("__v"))
+    lex_b, _ = checked_broadcast(lex, max_lexicon_rows)
+    lex = lex_b if lex_b is not None else lex
     boost = _lit_map(DEFAULT_BOOSTERS if boosters is None else boosters)
     negs = F.array(*[F.lit(w) for w in (DEFAULT_NEGATIONS if negations is None else negations)])
-    # tokens become a column first: the lambda below reads neighbours by
-    # index, and must not re-run the tokenizer for every element
-    docs = docs.select(F.col(id_col), word_tokens(text_col).alias("__toks"))
-    toks = F.col("__toks")
-
-    def token_value(t, i):
-        v0 = F.coalesce(F.try_element_at(lex, t), F.lit(0.0))
-        prev = [F.get(toks, i - j) for j in (1, 2, 3)]
-        b = sum((F.coalesce(F.try_element_at(boost, p), F.lit(0.0)) * d
-                 for p, d in zip(prev, BOOST_DECAY)), F.lit(0.0))
-        v1 = v0 + F.signum(v0) * b
-        negated = F.coalesce(F.array_contains(negs, prev[0]), F.lit(False)) | \
-            F.coalesce(F.array_contains(negs, prev[1]), F.lit(False)) | \
-            F.coalesce(F.array_contains(negs, prev[2]), F.lit(False))
-        return F.when(negated, v1 * NEGATION_SCALAR).otherwise(v1)
-
-    docs = docs.select(F.col(id_col), F.transform(toks, token_value).alias("__vals"))
-    vals = F.col("__vals")
+
+    # n_tok is computed before the explode, so the token array is not
+    # carried into every exploded row
+    toks = docs.select(F.col(id_col), word_tokens(text_col).alias("__toks")) \
+               .withColumn("n_tok", F.size("__toks"))
+    ctx = F.transform("__toks", lambda t, i: F.struct(
+        t.alias("__t"), F.get(F.col("__toks"), i - 1).alias("p1"),
+        F.get(F.col("__toks"), i - 2).alias("p2"), F.get(F.col("__toks"), i - 3).alias("p3")))
+    ex = toks.select(F.col(id_col), "n_tok",
+                     F.explode_outer(ctx).alias("c")).select(id_col, "n_tok", "c.*")
+    hit = ex.join(lex, "__t", "left")
+
+    v0 = F.coalesce(F.col("__v"), F.lit(0.0))
+    prev = [F.col("p1"), F.col("p2"), F.col("p3")]
+    b = sum((F.coalesce(F.try_element_at(boost, p), F.lit(0.0)) * d
+             for p, d in zip(prev, BOOST_DECAY)), F.lit(0.0))
+    v1 = v0 + F.signum(v0) * b
+    negated = (F.coalesce(F.array_contains(negs, prev[0]), F.lit(False))
+               | F.coalesce(F.array_contains(negs, prev[1]), F.lit(False))
+               | F.coalesce(F.array_contains(negs, prev[2]), F.lit(False)))
+    v = F.when(v0 == 0, F.lit(0.0)).when(negated, v1 * NEGATION_SCALAR).otherwise(v1)
+    per_tok = hit.select(id_col, "n_tok", v.alias("v"))
+    sums = per_tok.groupBy(id_col).agg(
+        F.max("n_tok").alias("n_tok"),
+        F.sum("v").alias("s"),
+        F.sum(F.when(F.col("v") > 0, F.col("v") + 1)).alias("ps"),
+        F.sum(F.when(F.col("v") < 0, F.col("v") - 1)).alias("ng"),
+        F.count(F.when(F.col("v") != 0, F.lit(1))).alias("nz"),
+    )
     zero = F.lit(0.0)
-    s = F.aggregate(vals, zero, lambda a, v: a + v)
-    pos_sum = F.aggregate(F.filter(vals, lambda v: v > 0), zero, lambda a, v: a + v + 1)
-    neg_sum = F.aggregate(F.filter(vals, lambda v: v < 0), zero, lambda a, v: a + v - 1)
-    neu_n = F.size(F.filter(vals, lambda v: v == 0)).cast("double")
-    scored = docs.select(F.col(id_col), s.alias("s"), pos_sum.alias("ps"),
-                         F.abs(neg_sum).alias("ns"), neu_n.alias("nu"))
+    scored = sums.select(
+        F.col(id_col), F.coalesce("s", zero).alias("s"), F.coalesce("ps", zero).alias("ps"),
+        F.abs(F.coalesce("ng", zero)).alias("ns"),
+        (F.col("n_tok") - F.col("nz")).cast("double").alias("nu"))
     total = F.col("ps") + F.col("ns") + F.col("nu")
     frac = lambda c: F.when(total > 0, F.col(c) / total).otherwise(zero)
     return scored.select(
