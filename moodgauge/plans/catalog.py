@@ -509,8 +509,7 @@ def q_stream_daily_stats(spark, sf_dir):
         F.col("event_type").alias("grp"), F.col("value").alias("score"))
     ev.write.mode("errorifexists").json(land)
     schema = "id bigint, ts timestamp, grp string, score double"
-    from pyspark.sql.types import _parse_datatype_string
-    s = landing.stream_landing(spark, land, _parse_datatype_string(schema), "ts", "id", "1 day")
+    s = landing.stream_landing(spark, land, schema, "ts", "id", "1 day")
     stats = landing.stream_daily_stats(s, "ts", "score", "grp", "id")
     landing.run_complete_to_table(stats, f"{run}/checkpoint", f"{run}/out")
     return normalize(spark.read.parquet(f"{run}/out"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def stream_landing(spark: SparkSession, directory: str, schema: T.StructType,
+def stream_landing(spark: SparkSession, directory: str, schema: T.StructType | str,
                    ts_col: str = "ts", id_col: str = "id", delay: str = "1 day",
                    fmt: str = "json", max_files_per_trigger: int | None = None) -> DataFrame:
     """File-source stream with a watermark on ``ts_col`` and
