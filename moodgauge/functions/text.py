@@ -72,18 +72,17 @@ def site_permalink(col, site: str = SOCIAL_SITE) -> Column:
     return F.when(p.startswith("/"), F.concat(F.lit(site), p)).otherwise(p)
 
 
-def truncate_tokens(col, n: int = 256) -> Column:
-    """H5: first ``n`` whitespace tokens of the cleaned text, re-joined."""
-    cleaned = clean_text(col)
-    toks = F.split(cleaned, " ")
-    return F.when(cleaned == "", F.lit("")).otherwise(
-        F.array_join(F.slice(toks, 1, n), " "))
-
-
-def token_count(col) -> Column:
-    cleaned = clean_text(col)
-    return F.when(cleaned == "", F.lit(0)).otherwise(
-        F.size(F.split(cleaned, " "))).cast("bigint")
+def truncate_tokens(col, n: int = 256, cleaned: bool = False) -> Column:
+    """H5: first ``n`` whitespace tokens of the cleaned text, re-joined.
+    ``cleaned=True`` when ``col`` already went through ``clean_text``."""
+    c = _c(col) if cleaned else clean_text(col)
+    return F.when(c == "", F.lit("")).otherwise(
+        F.array_join(F.slice(F.split(c, " "), 1, n), " "))
+
+
+def token_count(col, cleaned: bool = False) -> Column:
+    c = _c(col) if cleaned else clean_text(col)
+    return F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, " "))).cast("bigint")
 
 
 def word_tokens(col) -> Column:

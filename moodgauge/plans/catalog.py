@@ -208,9 +208,9 @@ def q_source_filter(spark, sf_dir):
 
 @query("truncate_tokens")
 def q_truncate_tokens(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return d.select("doc_id", tx.token_count("text").alias("n_tokens"),
-                    tx.truncate_tokens("text", 256).alias("text_256"))
+    d = _docs(spark, sf_dir).select("doc_id", tx.clean_text("text").alias("c"))
+    return d.select("doc_id", tx.token_count("c", cleaned=True).alias("n_tokens"),
+                    tx.truncate_tokens("c", 256, cleaned=True).alias("text_256"))
 
 
 # --------------------------------------------------------------------------

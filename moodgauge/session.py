@@ -99,6 +99,10 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    submitted = spark.conf.get("spark.submit.pyFiles", "") or ""
+    if "moodgauge" in submitted:  # already shipped with --py-files
+        _SHIPPED.add(app)
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="moodgauge-pyfiles-")
     archive = shutil.make_archive(os.path.join(out, "moodgauge"), "zip",
