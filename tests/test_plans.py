@@ -53,9 +53,19 @@ def test_report_partial_aggregation_after_expand(spark):
     assert any("Aggregate" in l for l in lines[i - 3:i]) and "Exchange" in " ".join(lines[:i])
 
 
-def test_lexicon_hash_join(spark):
-    p = plan(spark, "lexicon_score")
+def test_lexicon_plans(spark):
+    from moodgauge.operators import scoring
+    from moodgauge.plans.config import QUERY_LEXICON
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    big = scoring.lexicon_score(docs, QUERY_LEXICON, inline_max=0)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        big.explain("formatted")
+    p = buf.getvalue()
     assert "BroadcastHashJoin" in p and "BroadcastNestedLoopJoin" not in p
+    small = plan(spark, "lexicon_score")      # 12 words: row-local, no exchange
+    head = small[:small.find("\n\n(1)")]
+    assert "Exchange" not in head and "Join" not in head
 
 
 def test_column_pruning(spark):
