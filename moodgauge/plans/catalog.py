@@ -513,3 +513,35 @@ def q_stream_daily_stats(spark, sf_dir):
     stats = landing.stream_daily_stats(s, "ts", "score", "grp", "id")
     landing.run_complete_to_table(stats, f"{run}/checkpoint", f"{run}/out")
     return normalize(spark.read.parquet(f"{run}/out"))
+
+
+# --------------------------------------------------------------------------
+# End to end: landed posts -> daily sentiment report by matched term
+# --------------------------------------------------------------------------
+
+def social_scored_rows(spark, sf_dir) -> DataFrame:
+    """Posts normalised, unflagged, non-blank, keep-first by id; matched to
+    entities (substring rule) and capped per entity in arrival order; each
+    distinct matched post scored once and joined back to its matches.
+    Output: row_id, matched_term, date_utc, neg, neu, pos, compound."""
+    order = F.col("id").cast("bigint")
+    p = posts.normalize_posts(social_listing(spark, sf_dir))
+    p = filters.drop_blank(filters.flag_filter(p, "over_18"), "id", "text")
+    p = dedup.dedupe_first(p, "id", [order]).select("id", "text", "date_utc")
+    m = match.match_entities(p, entity_terms(spark), "text", k=KEYWORD_COUNT, id_col="id")
+    # the cap shuffles ids and terms only, never the text
+    m = m.select("id", "entity", "matched_term", "date_utc")
+    cap = dedup.topk_per_key(m, ["entity"], [order], POSTS_PER_ENTITY)
+    todo = p.select("id", "text").join(cap.select("id").distinct(), "id", "left_semi")
+    sc = scoring.lexicon_score(todo, QUERY_LEXICON, "id", "text", negations=QUERY_NEGATIONS,
+                               boosters=QUERY_BOOSTERS)
+    return cap.join(sc, "id", "inner").select(
+        F.concat(F.lit("reddit:"), "id", F.lit(":"), "entity").alias("row_id"),
+        "matched_term", "date_utc", "neg", "neu", "pos", "compound")
+
+
+@query("social_report")
+def q_social_report(spark, sf_dir):
+    rows = social_scored_rows(spark, sf_dir)
+    return normalize(report.sentiment_report(rows, "date_utc", "compound",
+                                             group="matched_term", id_col="row_id", rows=5))

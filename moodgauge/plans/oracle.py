@@ -438,19 +438,23 @@ def _values(name: str, cols: str, d: dict) -> str:
         f"({_sq(k)}, CAST({float(v)!r} AS DOUBLE))" for k, v in d.items()) + ")"
 
 
-_LEXICON = ("WITH " + _values("lex", "w, v", QUERY_LEXICON) + ", "
+def _lexicon_ctes(src: str, id_col: str, text_col: str) -> str:
+    """CTEs ending in ``lexs(id, neg, neu, pos, compound)`` for the rows of
+    relation ``src``: tokens unnested, neighbours by ``lag``, lexicon and
+    boosters by joins."""
+    return (_values("lex", "w, v", QUERY_LEXICON) + ", "
             + _values("boost", "w, b", QUERY_BOOSTERS) + ", negs(w) AS (VALUES "
             + ", ".join(f"({_sq(w)})" for w in QUERY_NEGATIONS) + ")" + f""",
-dt AS (SELECT doc_id,
-              regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS toks
-       FROM documents),
-tk AS (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM dt),
-lg AS (SELECT doc_id, i, t,
-              lag(t, 1) OVER (PARTITION BY doc_id ORDER BY i) AS p1,
-              lag(t, 2) OVER (PARTITION BY doc_id ORDER BY i) AS p2,
-              lag(t, 3) OVER (PARTITION BY doc_id ORDER BY i) AS p3
+dt AS (SELECT {id_col} AS id,
+              regexp_extract_all(lower(coalesce({text_col}, '')), '[\\p{{L}}\\p{{N}}]+') AS toks
+       FROM {src}),
+tk AS (SELECT id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM dt),
+lg AS (SELECT id, i, t,
+              lag(t, 1) OVER (PARTITION BY id ORDER BY i) AS p1,
+              lag(t, 2) OVER (PARTITION BY id ORDER BY i) AS p2,
+              lag(t, 3) OVER (PARTITION BY id ORDER BY i) AS p3
        FROM tk),
-v0 AS (SELECT lg.doc_id, coalesce(lex.v, 0.0) AS v0,
+v0 AS (SELECT lg.id, coalesce(lex.v, 0.0) AS v0,
               coalesce(b1.b, 0.0) * {BOOST_DECAY[0]} + coalesce(b2.b, 0.0) * {BOOST_DECAY[1]}
                 + coalesce(b3.b, 0.0) * {BOOST_DECAY[2]} AS bs,
               (p1 IN (SELECT w FROM negs) OR p2 IN (SELECT w FROM negs)
@@ -459,24 +463,31 @@ v0 AS (SELECT lg.doc_id, coalesce(lex.v, 0.0) AS v0,
        LEFT JOIN boost b1 ON b1.w = lg.p1
        LEFT JOIN boost b2 ON b2.w = lg.p2
        LEFT JOIN boost b3 ON b3.w = lg.p3),
-v AS (SELECT doc_id,
+v AS (SELECT id,
              (v0 + sign(v0) * bs) * CASE WHEN negated THEN {NEGATION_SCALAR} ELSE 1.0 END AS v
       FROM v0),
-s AS (SELECT doc_id, sum(v) AS s,
+s AS (SELECT id, sum(v) AS s,
              sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS ps,
              abs(sum(CASE WHEN v < 0 THEN v - 1 ELSE 0 END)) AS ns,
              sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS nu
-      FROM v GROUP BY doc_id),
-f AS (SELECT d.doc_id, coalesce(s.s, 0.0) AS s, coalesce(s.ps, 0.0) AS ps,
+      FROM v GROUP BY id),
+f AS (SELECT d.{id_col} AS id, coalesce(s.s, 0.0) AS s, coalesce(s.ps, 0.0) AS ps,
              coalesce(s.ns, 0.0) AS ns, coalesce(s.nu, 0) AS nu
-      FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id)
-SELECT doc_id,
-       round(CASE WHEN ps + ns + nu > 0 THEN ns / (ps + ns + nu) ELSE 0 END, 6) AS neg,
-       round(CASE WHEN ps + ns + nu > 0 THEN nu / (ps + ns + nu) ELSE 0 END, 6) AS neu,
-       round(CASE WHEN ps + ns + nu > 0 THEN ps / (ps + ns + nu) ELSE 0 END, 6) AS pos,
-       round(s / sqrt(s * s + {NORMALIZE_ALPHA}), 6) AS compound
-FROM f
-""")
+      FROM {src} d LEFT JOIN s ON s.id = d.{id_col}),
+lexs AS (
+  SELECT id,
+         CASE WHEN ps + ns + nu > 0 THEN ns / (ps + ns + nu) ELSE 0 END AS neg,
+         CASE WHEN ps + ns + nu > 0 THEN nu / (ps + ns + nu) ELSE 0 END AS neu,
+         CASE WHEN ps + ns + nu > 0 THEN ps / (ps + ns + nu) ELSE 0 END AS pos,
+         s / sqrt(s * s + {NORMALIZE_ALPHA}) AS compound
+  FROM f)""")
+
+
+_LEXICON = "WITH " + _lexicon_ctes("documents", "doc_id", "text") + """
+SELECT id AS doc_id, round(neg, 6) AS neg, round(neu, 6) AS neu, round(pos, 6) AS pos,
+       round(compound, 6) AS compound
+FROM lexs
+"""
 
 ORACLE["lexicon_score"] = _LEXICON
 ORACLE["score_cache"] = _LEXICON
@@ -622,3 +633,49 @@ SELECT event_type AS grp, CAST(ts AS DATE) AS day, count(event_id) AS n_posts,
        round(var_samp(value), 6) AS score_var
 FROM events GROUP BY 1, 2
 """
+
+ORACLE["social_report"] = "WITH " + SOCIAL_LISTING_SQL + f""",
+posts AS (
+  SELECT id, CASE WHEN coalesce(created_utc, 0.0) <> 0
+                  THEN CAST(make_timestamp(CAST(round(created_utc * 1e6) AS BIGINT)) AS DATE)
+             END AS date_utc,
+         {_clean("{_t} || chr(10) || {_s}".format(_t=_clean('title'), _s=_clean('selftext')))}
+           AS text,
+         coalesce(over_18, false) AS over_18
+  FROM social_listing),
+kept AS (SELECT * FROM posts
+         WHERE NOT over_18 AND id IS NOT NULL AND id <> '' AND trim(text) <> ''),
+dd AS (SELECT id, text, date_utc FROM (
+         SELECT *, row_number() OVER (PARTITION BY id ORDER BY CAST(id AS BIGINT)) AS rn
+         FROM kept) WHERE rn = 1),
+{_terms_values()},
+h AS (SELECT dd.id, dd.text, t.entity, t.ord, t.term,
+             strpos(lower(dd.text), lower(t.term)) AS pos
+      FROM dd JOIN terms t ON strpos(lower(dd.text), lower(t.term)) > 0),
+m AS (SELECT id, entity, substr(text, pos, length(term)) AS matched_term,
+             row_number() OVER (PARTITION BY id, entity ORDER BY pos, ord) AS rn
+      FROM h),
+cap AS (SELECT id, entity, matched_term FROM (
+          SELECT *, row_number() OVER (PARTITION BY entity ORDER BY CAST(id AS BIGINT)) AS r
+          FROM m WHERE rn = 1) WHERE r <= {POSTS_PER_ENTITY}),
+src AS (SELECT id, text FROM dd WHERE id IN (SELECT id FROM cap)),
+{_lexicon_ctes("src", "id", "text")},
+rws AS (
+  SELECT 'reddit:' || cap.id || ':' || cap.entity AS row_id, cap.matched_term AS grp,
+         dd.date_utc AS day, lexs.compound AS score
+  FROM cap JOIN lexs ON lexs.id = cap.id JOIN dd ON dd.id = cap.id),
+agg AS (
+  SELECT grp, day, grouping(grp) AS is_overall, count(row_id) AS n_posts,
+         avg(score) AS score_mean, stddev_samp(score) AS score_std,
+         var_samp(score) AS score_var, median(score) AS score_median
+  FROM rws WHERE day IS NOT NULL AND score IS NOT NULL
+  GROUP BY GROUPING SETS ((day), (grp, day)))
+SELECT CASE WHEN is_overall = 0 THEN grp END AS report_group, day, n_posts,
+       round(score_mean, 6) AS score_mean, round(score_std, 6) AS score_std,
+       round(score_var, 6) AS score_var, round(score_median, 6) AS score_median,
+       round(CASE WHEN count(score_std) OVER w >= 2 THEN avg(score_std) OVER w END, 6)
+         AS score_std_roll
+FROM agg WHERE is_overall = 1 OR grp IS NOT NULL
+WINDOW w AS (PARTITION BY is_overall, grp ORDER BY day
+             ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+"""
