@@ -494,7 +494,7 @@ def q_evaluate(spark, sf_dir):
 # --------------------------------------------------------------------------
 import uuid  # noqa: E402
 
-from ..session import scratch_path  # noqa: E402
+from ..session import checked_broadcast, cut_lineage, scratch_path  # noqa: E402
 from ..streaming import landing  # noqa: E402
 
 
@@ -523,21 +523,34 @@ def social_scored_rows(spark, sf_dir) -> DataFrame:
     """Posts normalised, unflagged, non-blank, keep-first by id; matched to
     entities (substring rule) and capped per entity in arrival order; each
     distinct matched post scored once and joined back to its matches.
-    Output: row_id, matched_term, date_utc, neg, neu, pos, compound."""
+    Output: row_id, matched_term, date_utc, neg, neu, pos, compound.
+
+    The de-duplicated posts are read twice (matching, then the texts of the
+    capped matches) and the capped matches twice (ids, then the final join),
+    so each is written once to the shared checkpoint folder instead of being
+    recomputed. The capped set holds at most cap x entities rows; the second
+    pass over the posts is a size-checked broadcast semi-join (a map-side
+    filter), and only the capped posts are scored."""
     order = F.col("id").cast("bigint")
     p = posts.normalize_posts(social_listing(spark, sf_dir))
     p = filters.drop_blank(filters.flag_filter(p, "over_18"), "id", "text")
-    p = dedup.dedupe_first(p, "id", [order]).select("id", "text", "date_utc")
+    p = cut_lineage(dedup.dedupe_first(p, "id", [order]).select("id", "text", "date_utc"))
     m = match.match_entities(p, entity_terms(spark), "text", k=KEYWORD_COUNT, id_col="id")
     # the cap shuffles ids and terms only, never the text
     m = m.select("id", "entity", "matched_term", "date_utc")
-    cap = dedup.topk_per_key(m, ["entity"], [order], POSTS_PER_ENTITY)
-    todo = p.select("id", "text").join(cap.select("id").distinct(), "id", "left_semi")
+    cap = cut_lineage(dedup.topk_per_key(m, ["entity"], [order], POSTS_PER_ENTITY))
+    ids = cap.select("id").distinct()
+    ids_b, _ = checked_broadcast(ids)
+    todo = p.select("id", "text").join(ids_b if ids_b is not None else ids, "id", "left_semi")
     sc = scoring.lexicon_score(todo, QUERY_LEXICON, "id", "text", negations=QUERY_NEGATIONS,
                                boosters=QUERY_BOOSTERS)
-    return cap.join(sc, "id", "inner").select(
+    scored = cap.join(sc, "id", "inner").select(
         F.concat(F.lit("reddit:"), "id", F.lit(":"), "entity").alias("row_id"),
         "matched_term", "date_utc", "neg", "neu", "pos", "compound")
+    # the scored rows are the hand-off to the report (as in the reference's
+    # scored-rows table): written once, so later filters never reach back
+    # into the scoring expressions
+    return cut_lineage(scored)
 
 
 @query("social_report")

@@ -179,11 +179,6 @@ def test_lexicon_rules(spark):
     df = spark.createDataFrame([(1, "very good"), (2, "not good"), (3, "not very good"),
                                 (4, ""), (5, "bad day")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in scoring.lexicon_score(df, lex, "doc_id", "text").collect()}
-    joined = {r["doc_id"]: r for r in
-              scoring.lexicon_score(df, lex, "doc_id", "text", inline_max=0).collect()}
-    for k in got:   # inline-map plan == hash-join plan
-        for c in ("neg", "neu", "pos", "compound"):
-            assert abs(got[k][c] - joined[k][c]) < 1e-12
     comp = lambda s: s / math.sqrt(s * s + 15)
     assert abs(got[1]["compound"] - comp(2.293)) < 1e-12
     assert abs(got[2]["compound"] - comp(-1.48)) < 1e-12
