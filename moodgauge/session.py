@@ -57,7 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="moodgauge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # Spark Connect: the conf above is what checkpoint() reads
+        pass
     return path
 
 
@@ -95,8 +98,11 @@ def ship_package(spark: SparkSession) -> None:
     application. The zip is built on the driver; Spark serves it to the
     executors."""
     import shutil
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect session
+        sc = None
+    app = sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
     if app in _SHIPPED:
         return
     submitted = spark.conf.get("spark.submit.pyFiles", "") or ""
@@ -107,5 +113,8 @@ def ship_package(spark: SparkSession) -> None:
     out = tempfile.mkdtemp(prefix="moodgauge-pyfiles-")
     archive = shutil.make_archive(os.path.join(out, "moodgauge"), "zip",
                                   root_dir=os.path.dirname(pkg_dir), base_dir="moodgauge")
-    sc.addPyFile(archive)
+    if sc is not None:
+        sc.addPyFile(archive)
+    else:
+        spark.addArtifacts(archive, pyfile=True)
     _SHIPPED.add(app)
