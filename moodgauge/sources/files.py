@@ -79,17 +79,19 @@ def flatten_listing(spark: SparkSession, path: str) -> DataFrame:
                 .select("page", "pos", "child.data.*")
 
 
-def flatten_news(raw: DataFrame) -> DataFrame:
+def flatten_news(raw: DataFrame, keep_unparsed: bool = False) -> DataFrame:
     """Vendor news record -> flat news row.
 
     link = canonical URL, else click-through URL; summary = summary, else
-    description (first truthy value); published_at parsed as UTC.
+    description (first truthy value); published_at parsed as UTC. Rows whose
+    pubDate is missing or unparsable are dropped (kept with a null instant
+    when ``keep_unparsed``). Other input columns (order keys) are carried.
     """
     from ..functions.text import first_nonempty, norm_ticker
     from ..functions.time import parse_iso
     c = F.col("content")
     published = parse_iso(c["pubDate"])
-    return (raw.select(
+    out = (raw.select(
         norm_ticker("ticker").alias("ticker"),
         published.alias("published_at"),
         c["title"].alias("title"),
@@ -97,9 +99,10 @@ def flatten_news(raw: DataFrame) -> DataFrame:
                  F.lit("")).alias("link"),
         c["provider"]["displayName"].alias("publisher"),
         F.nullif(first_nonempty(c["summary"], c["description"]), F.lit("")).alias("summary"),
-        *[x for x in raw.columns if x in ("ord",)],
-    ).where(F.col("published_at").isNotNull())
-     .withColumn("date", F.to_date("published_at")))
+        *[x for x in raw.columns if x not in ("ticker", "content")],
+    ))
+    out = out if keep_unparsed else out.where(F.col("published_at").isNotNull())
+    return out.withColumn("date", F.to_date("published_at"))
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
@@ -122,3 +125,24 @@ def read_vix(spark: SparkSession, path: str) -> DataFrame:
     if df.limit(1).count() == 0:
         raise ValueError(f"no index rows in {path}")
     return df.withColumn("Date", F.to_date("Date"))
+
+
+def news_rows(raw: DataFrame, order: str, start: str | None = None, end: str | None = None,
+              limit: int = 200, today: str | None = None) -> DataFrame:
+    """A6 + D1 + F6 in the reference's order, per ticker: buffer the first
+    ``max(3*limit, 300)`` raw items in ``order``, *then* drop items without
+    a parsable pubDate and outside the inclusive date window, *then* keep
+    ``limit``. ``order`` is the arrival-order column of the landed items."""
+    import datetime as _dt
+
+    from ..operators.dedup import topk_per_key
+    end_d = _dt.date.fromisoformat(end) if end else (
+        _dt.date.fromisoformat(today) if today else _dt.date.today())
+    start_d = _dt.date.fromisoformat(start) if start else end_d - _dt.timedelta(days=7)
+    lo, hi = min(start_d, end_d), max(start_d, end_d)
+    from ..functions.text import norm_ticker
+    keyed = raw.withColumn("__t", norm_ticker("ticker"))
+    buffered = topk_per_key(keyed, ["__t"], [order], max(3 * limit, 300)).drop("__t")
+    flat = flatten_news(buffered)
+    kept = flat.where(F.col("date").between(F.lit(lo), F.lit(hi)))
+    return topk_per_key(kept, ["ticker"], [order], limit)

@@ -213,3 +213,18 @@ def test_rolling_days_differs_from_rows(spark):
     days = {r["day"].day: r["score_std_roll"] for r in
             report.rolling_mean(daily, n=5, unit="days").collect()}
     assert rows[9] == 3.0 and days[9] is None and rows[2] == days[2] == 2.0
+
+
+def test_weekly_and_monthly_bars(spark):
+    ticks = spark.createDataFrame([
+        ("T", dt.datetime(2024, 1, 1, 10), 1.0),   # Monday
+        ("T", dt.datetime(2024, 1, 3, 10), 3.0),
+        ("T", dt.datetime(2024, 1, 7, 10), 2.0),   # Sunday, same week
+        ("T", dt.datetime(2024, 1, 8, 10), 5.0),   # next week
+    ], "ticker string, ts timestamp_ntz, price double")
+    w = {r["date"]: r for r in market.ohlc_bars(ticks, freq="week").collect()}
+    r = w[dt.date(2024, 1, 1)]
+    assert (r["open"], r["high"], r["low"], r["close"], r["volume"]) == (1.0, 3.0, 1.0, 2.0, 3)
+    assert w[dt.date(2024, 1, 8)]["volume"] == 1
+    m = market.ohlc_bars(ticks, freq="month").collect()
+    assert len(m) == 1 and m[0]["close"] == 5.0

@@ -115,12 +115,12 @@ def test_prices_and_vix(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    df = spark.createDataFrame([("a", None, 1.0), ("b", "x", 2.0)], "id string, t string, v double")
+    df = spark.createDataFrame([("a", None, 1.0), ("b", "café", 2.0)], "id string, t string, v double")
     n = sinks.write_jsonl(df, str(tmp_path / "j"))
     assert n == 2
     text = "".join(open(os.path.join(tmp_path / "j", f)).read()
                    for f in os.listdir(tmp_path / "j") if f.endswith(".json"))
-    assert '"t":null' in text
+    assert '"t":null' in text and "café" in text      # nulls kept, Unicode unescaped
     sinks.write_table(df, str(tmp_path / "c"), fmt="csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
     sinks.write_table(df, str(tmp_path / "q"))
@@ -146,3 +146,23 @@ def test_strip_zone(spark):
         .select(F.col("ts").cast("timestamp").alias("ts"))
     r = sinks.strip_zone(df, ["ts"], "America/New_York").first()
     assert r["ts"] == dt.datetime(2024, 1, 1, 10, 0)
+
+
+def test_news_rows_buffer_then_window_then_limit(spark, tmp_path):
+    def item(t, day, ok=True):
+        return {"ticker": t, "content": {"pubDate": (f"2026-02-{day:02d}T12:00:00Z" if ok
+                                                     else "not a date"), "title": f"{t}{day}"}}
+    rows = []
+    # A: 298 items before the window, 2 junk dates, then 5 in the window -
+    # all in-window items lie past the 300-item buffer, so none is kept
+    rows += [item("A", 1) for _ in range(298)] + [item("A", 12, ok=False)] * 2
+    rows += [item("A", 12) for _ in range(5)]
+    # B: in-window items first: the limit keeps the first two
+    rows += [item("b", 12), item("b", 1), item("b", 13), item("b", 14)]
+    p = str(tmp_path / "n.jsonl")
+    _write(p, "\n".join(json.dumps(r) for r in rows))
+    raw = src.read_jsonl(spark, p, schemas.NEWS_ITEM).withColumn(
+        "ord", F.monotonically_increasing_id())
+    got = src.news_rows(raw, "ord", start="2026-02-17", end="2026-02-10", limit=2)
+    out = sorted((r["ticker"], r["title"]) for r in got.collect())
+    assert out == [("B", "b12"), ("B", "b13")]
