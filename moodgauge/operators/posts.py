@@ -10,11 +10,11 @@ from ..functions.time import epoch_to_date
 
 
 def normalize_posts(listing: DataFrame, site: str = SOCIAL_SITE,
-                    platform: str = "reddit") -> DataFrame:
+                    platform: str = "reddit", keep: list[str] | None = None) -> DataFrame:
     """One projection over landed posts: defaults (``""``, 0, false),
     casts, cleaned title/selftext, ``text = clean(title + "\\n" + selftext)``,
     site prefix for ``/``-relative permalinks, UTC date of ``created_utc``
-    (0 or missing -> null)."""
+    (0 or missing -> null). ``keep`` columns (e.g. order keys) are carried."""
     title = clean_text("title")
     selftext = clean_text("selftext")
     created = F.coalesce(F.col("created_utc").cast("double"), F.lit(0.0))
@@ -35,6 +35,7 @@ def normalize_posts(listing: DataFrame, site: str = SOCIAL_SITE,
         site_permalink("permalink", site).alias("permalink"),
         F.coalesce("url", F.lit("")).alias("post_url"),
         F.coalesce(F.col("over_18").cast("boolean"), F.lit(False)).alias("over_18"),
+        *(keep or []),
     )
 
 

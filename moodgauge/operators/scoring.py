@@ -197,13 +197,16 @@ def _scorer(factory: Callable):
 
 def model_score(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 scorer_factory: Callable = HashedBagScorer, max_tokens: int = 256,
-                batch_rows: int = 256) -> DataFrame:
+                batch_rows: int = 256, keep: list[str] | None = None) -> DataFrame:
     """H2: score text with a pluggable model over Arrow batches.
 
     Blank (after strip) -> ``(neg 0, neu 1, pos 0, compound 0)`` without
     calling the model; otherwise softmax over the three logits and
-    ``compound = pos - neg``. Output ``(id, neg, neu, pos, compound)``.
+    ``compound = pos - neg``. Output ``(id, [keep...], neg, neu, pos,
+    compound)``; ``keep`` columns ride along in the same batches, so no join
+    back is needed.
     """
+    keep = list(keep or [])
     def run(batches):
         scorer = _scorer(scorer_factory)
         for pdf in batches:
@@ -220,13 +223,15 @@ def model_score(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 p = np.exp(logits)
                 p = p / p.sum(axis=1, keepdims=True)
                 pos[live], neg[live], neu[live] = p[:, 0], p[:, 1], p[:, 2]
-            yield pd.DataFrame({id_col: pdf[id_col], "neg": neg, "neu": neu,
-                                "pos": pos, "compound": pos - neg})
+            out = {id_col: pdf[id_col]}
+            out.update({c: pdf[c] for c in keep})
+            out.update({"neg": neg, "neu": neu, "pos": pos, "compound": pos - neg})
+            yield pd.DataFrame(out)
 
     ship_package(df.sparkSession)
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, neg double, neu double, pos double, compound double"
-    return df.select(id_col, text_col).mapInPandas(run, schema)
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [id_col] + keep]
+    schema = ", ".join(fields + ["neg double", "neu double", "pos double", "compound double"])
+    return df.select(id_col, text_col, *keep).mapInPandas(run, schema)
 
 
 def score_cache(df: DataFrame, cache: DataFrame, key: str,
