@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 
 from ..functions.time import coerce_date
 
-OVERALL = None  # report_group value of the overall report
-
-
 def _score(col: str) -> Column:
     s = F.col(col).cast("double")
     return F.when(F.isnan(s), F.lit(None).cast("double")).otherwise(s)

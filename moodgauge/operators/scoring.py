@@ -41,17 +41,6 @@ def _lit_map(d: dict) -> Column:
     return F.map_from_arrays(keys, vals)
 
 
-def lexicon_dict(lexicon, max_rows: int = MAX_BROADCAST_ROWS) -> dict:
-    """A lexicon given as a dict or as a ``(word, valence)`` DataFrame; a
-    DataFrame is brought over only after proving its size."""
-    if isinstance(lexicon, dict):
-        return {str(k).lower(): float(v) for k, v in lexicon.items()}
-    n = lexicon.count()
-    if n > max_rows:
-        raise ValueError(f"lexicon of {n} rows exceeds the {max_rows} ceiling")
-    return {r[0].lower(): float(r[1]) for r in lexicon.collect()}
-
-
 def _neighbours(toks: Column) -> Column:
     """``array<struct<t, p1, p2, p3>>``: each token with the three before it
     (null before the start), from shifted copies of the array. No lambda

@@ -54,3 +54,19 @@ def test_watermark_drops_late_rows(spark, tmp_path):
     landing.run_complete_to_table(stats, ck, out)
     got = {str(r["day"]): r["n_posts"] for r in spark.read.parquet(out).collect()}
     assert got == {"2024-01-10": 2}
+
+
+def test_append_mode_emits_closed_windows_only(spark, tmp_path):
+    land = str(tmp_path / "land")
+    _land(land, "1.json", [_row(1, 10, 12, "x", 1.0), _row(2, 10, 13, "x", 3.0)])
+    s = landing.stream_landing(spark, land, SCHEMA, "ts", "id", "1 hour",
+                               max_files_per_trigger=1)
+    stats = landing.stream_daily_stats(s, "ts", "score", "grp", "id")
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    landing.run_available(stats, ck, out)
+    # the watermark (max ts - 1 hour) has not passed the end of 2024-01-10 yet
+    assert spark.read.schema(stats.schema).parquet(out).count() == 0
+    _land(land, "2.json", [_row(3, 12, 6, "x", 2.0)])
+    landing.run_available(stats, ck, out)
+    got = {str(r["day"]): (r["n_posts"], r["score_mean"]) for r in spark.read.parquet(out).collect()}
+    assert got == {"2024-01-10": (2, 2.0)}
