@@ -262,6 +262,11 @@ def q_entity_match(spark, sf_dir):
     return _matches(spark, sf_dir).select("doc_id", "entity", "matched_term")
 
 
+@query("entity_match_automaton")
+def q_entity_match_automaton(spark, sf_dir):
+    return _matches(spark, sf_dir, "automaton").select("doc_id", "entity", "matched_term")
+
+
 @query("entity_match_regex")
 def q_entity_match_regex(spark, sf_dir):
     return _matches(spark, sf_dir, "regex").select("doc_id", "entity", "matched_term")

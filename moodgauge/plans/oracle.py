@@ -267,6 +267,7 @@ m AS (SELECT doc_id, entity, substr(text, pos, length(term)) AS matched_term,
 ORACLE["entity_match"] = _MATCH + """
 SELECT doc_id, entity, matched_term FROM m WHERE rn = 1
 """
+ORACLE["entity_match_automaton"] = ORACLE["entity_match"]
 
 
 def _regex_arms() -> str:

@@ -103,3 +103,20 @@ def test_report_equals_stats_union(spark):
     for k in a:
         for x, y in zip(a[k], b[k]):
             assert (x is None and y is None) or math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_automaton_equals_theta_on_many_terms(spark):
+    from pyspark.sql import Window
+
+    from moodgauge.functions.text import word_tokens
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    voc = (d.select(F.explode(word_tokens("text")).alias("t")).where(F.length("t") >= 4)
+           .groupBy("t").count().orderBy(F.col("count").desc(), "t").limit(600))
+    terms = voc.withColumn("i", F.row_number().over(Window.orderBy("t")) - 1).select(
+        F.concat(F.lit("E"), (F.col("i") / 10).cast("int").cast("string")).alias("entity"),
+        (F.col("i") % 10).cast("int").alias("ord"), F.col("t").alias("term"))
+    key = lambda df: sorted((r["doc_id"], r["entity"], r["matched_term"]) for r in df.collect())  # noqa
+    a = key(match.match_entities(d, terms, method="theta"))
+    b = key(match.match_entities(d, terms, method="automaton"))
+    assert a == b and len(a) > 1000
+    assert key(match.match_entities(d, terms)) == a      # auto picks the automaton here
