@@ -132,8 +132,10 @@ def recent_days(df: DataFrame, date_col: str, score_col: str, n: int = 14,
     return base.join(keep, parts + ["day"], "inner")
 
 
-def _quartiles(base: DataFrame, parts: list[str]) -> DataFrame:
-    q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def _quartiles(base: DataFrame, parts: list[str], exact: bool = True) -> DataFrame:
+    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = (F.percentile("score", probs) if exact
+         else F.percentile_approx("score", probs, 10000).cast("array<double>"))
     return (base.groupBy(*parts, "day")
             .agg(q.alias("q"), F.count("score").alias("n"))
             .select(*parts, "day", "n", F.col("q")[0].alias("q1"),
@@ -144,12 +146,14 @@ def _quartiles(base: DataFrame, parts: list[str]) -> DataFrame:
 
 
 def boxplot_summary(df: DataFrame, date_col: str, score_col: str, n_days: int = 14,
-                    group: str | None = None, id_col: str = "id") -> DataFrame:
+                    group: str | None = None, id_col: str = "id",
+                    exact: bool = True) -> DataFrame:
     """I8: per recent day, linear quartiles, whiskers at the furthest value
-    within 1.5 IQR of the box, and the outlier count."""
+    within 1.5 IQR of the box, and the outlier count. ``exact=False`` takes
+    the quartiles from a fixed-size sketch (for unrounded scores at scale)."""
     base = recent_days(df, date_col, score_col, n_days, group, id_col)
     parts = ["grp"] if group else []
-    qs = _quartiles(base, parts)
+    qs = _quartiles(base, parts, exact)
     j = base.join(qs, parts + ["day"], "inner")
     inside = F.col("score").between(F.col("fence_lo"), F.col("fence_hi"))
     return j.groupBy(*parts, "day", "n", "q1", "median", "q3", "iqr").agg(

@@ -228,3 +228,16 @@ def test_weekly_and_monthly_bars(spark):
     assert w[dt.date(2024, 1, 8)]["volume"] == 1
     m = market.ohlc_bars(ticks, freq="month").collect()
     assert len(m) == 1 and m[0]["close"] == 5.0
+
+
+def test_approximate_median_and_quartiles_close(spark):
+    from moodgauge.operators import report
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    ex = {r["day"]: r["score_median"] for r in
+          report.daily_stats(ev, "ts", "value", "event_id").collect()}
+    ap = {r["day"]: r["score_median"] for r in
+          report.daily_stats(ev, "ts", "value", "event_id", median="approx").collect()}
+    assert ex.keys() == ap.keys()
+    assert max(abs(ex[d] - ap[d]) for d in ex) < 1.0     # values span ~0-100
+    bx = report.boxplot_summary(ev, "ts", "value", 14, "event_type", "event_id", exact=False)
+    assert bx.count() == 70
