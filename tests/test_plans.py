@@ -61,3 +61,13 @@ def test_lexicon_hash_join(spark):
 def test_column_pruning(spark):
     p = plan(spark, "clean_text")
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
+
+
+def test_no_row_at_a_time_python(spark):
+    for name in E.queries():
+        if name == "stream_daily_stats":
+            continue
+        p = plan(spark, name)
+        assert "BatchEvalPython" not in p, name
+        if name not in ("model_score", "entity_match_automaton"):
+            assert "MapInPandas" not in p and "ArrowEvalPython" not in p, name
