@@ -8,13 +8,21 @@ so it can be compared with its SQL twin in ``oracle.py``.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import report
-from .tables import normalize, table
+from ..functions import text as tx
+from ..functions import time as tm
+from ..operators import (consensus, dedup, features, filters, market, match, model, posts,
+                         report, scoring)
+from ..session import checked_broadcast, cut_lineage, scratch_path
+from ..streaming import landing
+from .config import (ENTITY_TERMS, KEYWORD_COUNT, PEER_COUNT, POSTS_PER_ENTITY,
+                     QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS)
+from .tables import normalize, responses, social_listing, table, ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -108,10 +116,6 @@ def q_daily_features(spark, sf_dir):
 # --------------------------------------------------------------------------
 # C / D / H5: text functions, normalisation, filters
 # --------------------------------------------------------------------------
-from ..functions import text as tx  # noqa: E402
-from ..functions import time as tm  # noqa: E402
-from ..operators import filters, posts  # noqa: E402
-from .tables import social_listing  # noqa: E402
 
 
 def _docs(spark, sf_dir):
@@ -224,8 +228,6 @@ def q_truncate_tokens(spark, sf_dir):
 # --------------------------------------------------------------------------
 # E / F: dedup, unions, caps, entity matching
 # --------------------------------------------------------------------------
-from ..operators import dedup, match  # noqa: E402
-from .config import ENTITY_TERMS, KEYWORD_COUNT, POSTS_PER_ENTITY  # noqa: E402
 
 
 def entity_terms(spark) -> DataFrame:
@@ -305,9 +307,6 @@ def q_cap_per_day(spark, sf_dir):
 # --------------------------------------------------------------------------
 # G: candidate consensus over landed responses; E3 universe
 # --------------------------------------------------------------------------
-from ..operators import consensus  # noqa: E402
-from .config import PEER_COUNT  # noqa: E402
-from .tables import responses  # noqa: E402
 
 
 def _keywords(spark, sf_dir):
@@ -357,8 +356,6 @@ def q_expand_universe(spark, sf_dir):
 # --------------------------------------------------------------------------
 # H: scoring
 # --------------------------------------------------------------------------
-from ..operators import scoring  # noqa: E402
-from .config import QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS  # noqa: E402
 
 
 def _lexicon_scores(df):
@@ -396,8 +393,6 @@ def q_model_score(spark, sf_dir):
 # --------------------------------------------------------------------------
 # J / K / M: bars, returns, volatility labels, merge, model stage
 # --------------------------------------------------------------------------
-from ..operators import features, market, model  # noqa: E402
-from .tables import ticks  # noqa: E402
 
 
 def _bars(spark, sf_dir):
@@ -505,10 +500,6 @@ def q_evaluate(spark, sf_dir):
 # --------------------------------------------------------------------------
 # X: Structured Streaming over a landing folder
 # --------------------------------------------------------------------------
-import uuid  # noqa: E402
-
-from ..session import checked_broadcast, cut_lineage, scratch_path  # noqa: E402
-from ..streaming import landing  # noqa: E402
 
 
 @query("stream_daily_stats")

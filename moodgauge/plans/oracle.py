@@ -8,7 +8,11 @@ Doubles are rounded to 6 places and integers are BIGINT, as in
 
 from __future__ import annotations
 
-from .tables import RESPONSES_SQL, SOCIAL_LISTING_SQL  # noqa: F401
+from ..functions.text import BANNED_KEYWORDS
+from ..operators.scoring import BOOST_DECAY, NEGATION_SCALAR, NORMALIZE_ALPHA
+from .config import (ENTITY_TERMS, KEYWORD_COUNT, PEER_COUNT, POSTS_PER_ENTITY,
+                     QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS)
+from .tables import RESPONSES_SQL, SOCIAL_LISTING_SQL
 
 ORACLE: dict[str, str] = {}
 
@@ -238,8 +242,6 @@ SELECT doc_id,
 FROM c
 """
 
-from .config import ENTITY_TERMS, KEYWORD_COUNT, POSTS_PER_ENTITY  # noqa: E402
-
 
 def _sq(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -336,8 +338,6 @@ SELECT event_id, event_type, date, CAST(rank AS BIGINT) AS rank FROM (
   FROM events) WHERE rank <= 50
 """
 
-from ..functions.text import BANNED_KEYWORDS  # noqa: E402
-from .config import PEER_COUNT  # noqa: E402
 
 _BANNED = ", ".join(_sq(w) for w in BANNED_KEYWORDS)
 
@@ -430,9 +430,6 @@ FROM responses r LEFT JOIN sy
   ON sy.entity = r.entity AND sy.run = r.run AND sy.attempt = r.attempt
 """
 
-from ..operators.scoring import BOOST_DECAY, NEGATION_SCALAR, NORMALIZE_ALPHA  # noqa: E402
-from .config import QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS  # noqa: E402
-
 
 def _values(name: str, cols: str, d: dict) -> str:
     return f"{name}({cols}) AS (VALUES " + ", ".join(
