@@ -120,3 +120,25 @@ def test_automaton_equals_theta_on_many_terms(spark):
     b = key(match.match_entities(d, terms, method="automaton"))
     assert a == b and len(a) > 1000
     assert key(match.match_entities(d, terms)) == a      # auto picks the automaton here
+
+
+def test_whitespace_class_equals_python_on_every_bmp_char(spark):
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([(i, f"a{c}b") for i, c in enumerate(chars)], "i int, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", clean_text("t").alias("c")).collect()}
+    bad = [hex(ord(c)) for i, c in enumerate(chars) if got[i] != _py_clean(f"a{c}b")]
+    assert not bad, bad[:10]
+
+
+def test_tokenisers_equal_python_on_every_bmp_char_the_jvm_knows(spark):
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF]
+    cdf = spark.createDataFrame([(c,) for c in chars], "c string")
+    # letters added after the JVM's Unicode version are unassigned there
+    known = {r["c"] for r in cdf.where(~F.col("c").rlike("^\\p{Cn}$")).collect()}
+    rows = [(i, f"ab{c}cd x{c} {c}yz", "NVDA") for i, c in enumerate(chars) if c in known]
+    rows += [(100000 + i, f"AB{c}CD X{c} {c}YZ", "NVDA") for i, c in enumerate(chars) if c in known]
+    df = spark.createDataFrame(rows, "id int, text string, entity string")
+    kw = {r["id"]: r["words"] for r in consensus.extract_keywords(df, k=15).collect()}
+    sy = {r["id"]: r["words"] for r in consensus.extract_symbols(df, k=6).collect()}
+    assert [r[0] for r in rows if kw[r[0]] != _py_keywords(r[1], 15)] == []
+    assert [r[0] for r in rows if sy[r[0]] != _py_symbols(r[1], "NVDA", 6)] == []
