@@ -89,3 +89,16 @@ def test_news_labels_merge(spark, tmp_path):
                             str(tmp_path / "labels"), str(tmp_path / "merged"), how="inner")
     rows = merged.collect()
     assert len(rows) == 1 and rows[0]["ticker"] == "NVDA" and str(rows[0]["date"]) == "2026-02-16"
+
+
+def test_cli(spark, tmp_path, capsys):
+    from moodgauge.__main__ import main
+    resp = [{"entity": "NVDA", "run": r, "attempt": 1, "text": "AMD INTC QCOM and NVDA"}
+            for r in range(4)]
+    _write(str(tmp_path / "resp/r.jsonl"), "\n".join(json.dumps(x) for x in resp))
+    main(["consensus-terms", "--responses", str(tmp_path / "resp"), "--out",
+          str(tmp_path / "peers"), "--k", "6", "--kind", "peers"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == \
+        {"cmd": "consensus-terms", "terms": 3}
+    got = [r["term"] for r in read_entity_terms(spark, str(tmp_path / "peers")).orderBy("ord").collect()]
+    assert got == ["AMD", "INTC", "QCOM"]
