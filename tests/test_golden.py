@@ -99,3 +99,14 @@ def test_synthetic_twin(spark):
     y = got["Y"]
     assert set(y) == {"2026-01-01", "2026-01-03"}
     assert y["2026-01-03"]["n_posts"] == 1
+
+
+@pytest.mark.skipif(not os.path.exists(SCORED_PATH), reason="stored pair not mounted")
+def test_stored_row_ids(spark):
+    from pyspark.sql import functions as F
+
+    from moodgauge.functions.text import row_id
+    df = read_jsonl(spark, SCORED_PATH, SCORED)
+    got = df.select("id", row_id("yahoo", "permalink", F.lit(None), F.lit(None),
+                                 F.upper("ticker")).alias("mine")).collect()
+    assert len(got) == 51 and all(r["id"] == r["mine"] for r in got)
