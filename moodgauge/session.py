@@ -35,6 +35,9 @@ def build_session(master: str | None = None, app: str = "moodgauge",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # checkpoint files of materialised intermediates are removed once the
+        # checkpointed DataFrame is garbage-collected
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
