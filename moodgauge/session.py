@@ -56,14 +56,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this setting names a shared (HDFS/S3/...) folder and is used
     as is. Only when it is unset (local tests) do we pick a folder of our own.
     """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: checkpoint() reads the conf only
+        sc = None
     path = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir() if sc is not None else None
+    if not path and current:
+        return current          # set on the context by the application
     if not path:
         path = tempfile.mkdtemp(prefix="moodgauge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # Spark Connect: the conf above is what checkpoint() reads
-        pass
+    if sc is not None and not current:
+        sc.setCheckpointDir(path)
     return path
 
 
