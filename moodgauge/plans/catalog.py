@@ -529,25 +529,32 @@ def social_scored_rows(spark, sf_dir) -> DataFrame:
     distinct matched post scored once and joined back to its matches.
     Output: row_id, matched_term, date_utc, neg, neu, pos, compound.
 
-    The de-duplicated posts are read twice (matching, then the texts of the
-    capped matches) and the capped matches twice (ids, then the final join),
-    so each is written once to the shared checkpoint folder instead of being
-    recomputed. The capped set holds at most cap x entities rows; the second
-    pass over the posts is a size-checked broadcast semi-join (a map-side
-    filter), and only the capped posts are scored."""
+    Plan: one pass de-duplicates (the only full shuffle) and matches; the
+    cap shuffles ids and terms only. The capped matches (at most cap x
+    entities rows) are written once and used twice; the texts of the capped
+    posts are fetched by a second scan of the source behind a size-checked
+    broadcast semi-join (a map-side filter), so the post corpus is never
+    rewritten or shuffled twice, and only capped posts are scored."""
     order = F.col("id").cast("bigint")
-    p = posts.normalize_posts(social_listing(spark, sf_dir))
-    p = filters.drop_blank(filters.flag_filter(p, "over_18"), "id", "text")
-    p = cut_lineage(dedup.dedupe_first(p, "id", [order]).select("id", "text", "date_utc"))
-    m = match.match_entities(p, entity_terms(spark), "text", k=KEYWORD_COUNT, id_col="id")
+
+    def kept_posts(listing):
+        p = posts.normalize_posts(listing)
+        return filters.drop_blank(filters.flag_filter(p, "over_18"), "id", "text")
+
+    p = dedup.dedupe_first(kept_posts(social_listing(spark, sf_dir)), "id", [order])
+    m = match.match_entities(p.select("id", "text", "date_utc"), entity_terms(spark), "text",
+                             k=KEYWORD_COUNT, id_col="id")
     # the cap shuffles ids and terms only, never the text
     m = m.select("id", "entity", "matched_term", "date_utc")
     cap = cut_lineage(dedup.topk_per_key(m, ["entity"], [order], POSTS_PER_ENTITY))
     ids = cap.select("id").distinct()
     ids_b, _ = checked_broadcast(ids)
-    todo = p.select("id", "text").join(ids_b if ids_b is not None else ids, "id", "left_semi")
-    sc = scoring.lexicon_score(todo, QUERY_LEXICON, "id", "text", negations=QUERY_NEGATIONS,
-                               boosters=QUERY_BOOSTERS)
+    src = social_listing(spark, sf_dir)
+    todo = kept_posts(src.join(ids_b if ids_b is not None else ids, "id", "left_semi"))
+    # ids are unique in the source here; with repeated ids, join on the
+    # (id, arrival order) of the kept copy instead
+    sc = scoring.lexicon_score(todo.select("id", "text"), QUERY_LEXICON, "id", "text",
+                               negations=QUERY_NEGATIONS, boosters=QUERY_BOOSTERS)
     scored = cap.join(sc, "id", "inner").select(
         F.concat(F.lit("reddit:"), "id", F.lit(":"), "entity").alias("row_id"),
         "matched_term", "date_utc", "neg", "neu", "pos", "compound")
