@@ -19,10 +19,11 @@ from ..functions import time as tm
 from ..operators import (consensus, dedup, features, filters, market, match, model, posts,
                          report, scoring)
 from ..session import checked_broadcast, cut_lineage, scratch_path
+from ..sources import files as sources
 from ..streaming import landing
 from .config import (ENTITY_TERMS, KEYWORD_COUNT, PEER_COUNT, POSTS_PER_ENTITY,
                      QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS)
-from .tables import normalize, responses, social_listing, table, ticks
+from .tables import news_items, normalize, responses, social_listing, table, ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -195,6 +196,17 @@ def q_row_id(spark, sf_dir):
     return p.select("page_id", tx.row_id("yahoo", "link", "title", "p1", t).alias("id"))
 
 
+@query("news_rows")
+def q_news_rows(spark, sf_dir):
+    """A6 + D1 + F6: flatten landed news items, buffering the first
+    max(3 x 20, 300) items per ticker before the date filter, then keep 20."""
+    out = sources.news_rows(news_items(spark, sf_dir), "page_id", start="2024-01-25",
+                            end="2024-01-05", limit=20)
+    return out.select("page_id", "ticker", "date",
+                      F.col("published_at").cast("timestamp_ntz").alias("published_at"),
+                      "title", "link", "publisher", "summary")
+
+
 @query("date_window")
 def q_date_window(spark, sf_dir):
     ev = _events(spark, sf_dir)

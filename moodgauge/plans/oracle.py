@@ -12,7 +12,7 @@ from ..functions.text import BANNED_KEYWORDS
 from ..operators.scoring import BOOST_DECAY, NEGATION_SCALAR, NORMALIZE_ALPHA
 from .config import (ENTITY_TERMS, KEYWORD_COUNT, PEER_COUNT, POSTS_PER_ENTITY,
                      QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS)
-from .tables import RESPONSES_SQL, SOCIAL_LISTING_SQL
+from .tables import NEWS_ITEMS_SQL, RESPONSES_SQL, SOCIAL_LISTING_SQL
 
 ORACLE: dict[str, str] = {}
 
@@ -677,3 +677,22 @@ FROM agg WHERE is_overall = 1 OR grp IS NOT NULL
 WINDOW w AS (PARTITION BY is_overall, grp ORDER BY day
              ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
 """
+
+ORACLE["news_rows"] = "WITH " + NEWS_ITEMS_SQL + """,
+buf AS (SELECT *, row_number() OVER (PARTITION BY upper(trim(ticker)) ORDER BY page_id) AS rn
+        FROM news_items),
+parsed AS (
+  SELECT page_id, upper(trim(ticker)) AS ticker, title, publisher,
+         coalesce(nullif(canonical, ''), nullif(click, '')) AS link,
+         coalesce(nullif(description, ''), NULL) AS summary,
+         CASE WHEN regexp_full_match(pub, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')
+              THEN strptime(substr(pub, 1, 19), '%Y-%m-%dT%H:%M:%S') END AS published_at
+  FROM buf WHERE rn <= 300),
+kept AS (SELECT *, CAST(published_at AS DATE) AS date FROM parsed
+         WHERE published_at IS NOT NULL
+           AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'),
+lim AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY page_id) AS r2 FROM kept)
+SELECT page_id, ticker, date, CAST(published_at AS TIMESTAMP) AS published_at, title, link,
+       publisher, summary
+FROM lim WHERE r2 <= 20
+"""

@@ -118,3 +118,50 @@ social_listing AS (
   LEFT JOIN labels l ON l.doc_id = d.doc_id
   LEFT JOIN events e ON e.event_id = d.doc_id
 )"""
+
+
+def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed vendor news items (input of A6) as nested records, from pages
+    and the event with id ``40 x page_id`` (events are 40 times as many as
+    pages, so the items spread over the whole month): ticker = language code
+    of the URL path,
+    pubDate = the event instant as ISO text (``Z`` suffix; the 'error'
+    events carry an unparsable text), title = the page title, summary empty
+    and description = the first heading, canonical URL only for https pages,
+    click-through URL = the page URL, provider = the host. Arrival order =
+    page_id."""
+    p = table(spark, sf_dir, "pages").withColumn("event_id", F.col("page_id") * 40)
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    j = p.join(ev, "event_id", "left")
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    pub = F.when(F.col("event_type") == "error", F.lit("not a date")).otherwise(iso)
+    url = F.col("url")
+    return j.select(
+        "page_id",
+        F.regexp_extract(url, "^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("ticker"),
+        F.struct(
+            pub.alias("pubDate"),
+            F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+            F.lit("").alias("summary"),
+            F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("description"),
+            F.struct(F.when(url.startswith("https://"), url).alias("url")).alias("canonicalUrl"),
+            F.struct(url.alias("url")).alias("clickThroughUrl"),
+            F.struct(F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("displayName"))
+             .alias("provider"),
+        ).alias("content"),
+    )
+
+
+NEWS_ITEMS_SQL = """
+news_items AS (
+  SELECT p.page_id,
+         regexp_extract(p.url, '^[a-z]+://[^/]+/([a-z]{2})/', 1) AS ticker,
+         CASE WHEN e.event_type = 'error' THEN 'not a date'
+              ELSE strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || 'Z' END AS pub,
+         regexp_extract(p.html, '<title>([^<]*)</title>', 1) AS title,
+         regexp_extract(p.html, '<h1>([^<]*)</h1>', 1) AS description,
+         CASE WHEN starts_with(p.url, 'https://') THEN p.url END AS canonical,
+         p.url AS click,
+         regexp_extract(p.url, '^[a-z]+://([^/?#]+)', 1) AS publisher
+  FROM pages p LEFT JOIN events e ON e.event_id = p.page_id * 40
+)"""
