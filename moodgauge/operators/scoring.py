@@ -153,24 +153,25 @@ def softmax_scores(df: DataFrame, pos, neg, neu, keep: list[str] | None = None)
 # ---------------------------------------------------------------- H2 ----
 
 class HashedBagScorer:
-    """Deterministic stand-in scorer: logits from a seeded hashed bag of
-    words. It exists to exercise the plumbing; it claims no accuracy.
+    """Deterministic stand-in scorer: logits from a hashed bag of words. It
+    exists to exercise the plumbing; it claims no accuracy.
 
     Plug-in protocol: ``scorer(texts: list[str]) -> ndarray (n, 3)`` of
     logits in the order (positive, negative, neutral), with texts already
-    cut to ``max_tokens`` tokens.
+    cut to ``max_tokens`` tokens. Tokens of the whole batch are hashed in one
+    vectorised call.
     """
 
-    def __init__(self, dim: int = 3, seed: int = 7):
-        self.seed = seed
+    def __init__(self, seed: str = "0123456789abcdef"):
+        self.key = seed
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        import xxhash
         out = np.zeros((len(texts), 3))
-        for r, t in enumerate(texts):
-            for tok in t.lower().split():
-                h = xxhash.xxh64_intdigest(tok, seed=self.seed)
-                out[r, h % 3] += ((h >> 8) % 1000) / 1000.0
+        toks = pd.Series(texts, dtype="object").str.lower().str.split().explode().dropna()
+        if len(toks):
+            h = pd.util.hash_array(toks.to_numpy(dtype=object), hash_key=self.key)
+            rows = toks.index.to_numpy()
+            np.add.at(out, (rows, (h % 3).astype(np.int64)), ((h >> 8) % 1000) / 1000.0)
         return out
 
 
