@@ -115,8 +115,9 @@ def string_array(column) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
-def blocks(column, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a column of texts into blocks; a longer text is a block alone."""
+def blocks(column, block_bytes: int = BLOCK_BYTES, separators: np.ndarray = _SEP) -> Iterator[Block]:
+    """Cut a column of texts into blocks; a longer text is a block alone.
+    ``separators`` flags the (ASCII) bytes that part words."""
     arr = string_array(column)
     if not len(arr):
         return
@@ -127,15 +128,15 @@ def blocks(column, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     while at < len(arr):
         to = int(np.searchsorted(off, off[at] + block_bytes, "right")) - 1
         to = min(max(to, at + 1), len(arr))
-        yield _block(at, raw[off[at]:off[to]], off[at:to + 1] - off[at])
+        yield _block(at, raw[off[at]:off[to]], off[at:to + 1] - off[at], separators)
         at = to
 
 
-def _block(first: int, data: np.ndarray, offsets: np.ndarray) -> Block:
+def _block(first: int, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Block:
     n = len(data)
     inner = np.zeros(n + 1, bool)       # a text begins or ends here
     inner[offsets] = True
-    full = ~_SEP[data]
+    full = ~separators[data]
     before = np.zeros(n, bool)
     before[1:] = full[:-1]
     before &= ~inner[:n]
