@@ -36,6 +36,7 @@ def _lexicon(spark, path: str):
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="moodgauge")
     ap.add_argument("--master", default=None, help="Spark master (default: from spark-submit)")
+    ap.add_argument("--overwrite", action="store_true", help="replace existing output")
     sub = ap.add_subparsers(dest="cmd", required=True)
 
     c = sub.add_parser("consensus-terms")
@@ -45,7 +46,7 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--kind", choices=["keywords", "peers"], default="keywords")
 
     s = sub.add_parser("social-posts")
-    s.add_argument("--pages", required=True)
+    s.add_argument("--pages", required=True, nargs="+", help="one folder per source, in fetch order")
     s.add_argument("--terms", required=True)
     s.add_argument("--out", required=True)
     s.add_argument("--k", type=int, default=15)
@@ -56,6 +57,7 @@ def main(argv: list[str] | None = None) -> None:
     sp.add_argument("--in", dest="inp", required=True)
     sp.add_argument("--out", required=True)
     sp.add_argument("--lexicon", required=True)
+    sp.add_argument("--session", action="store_true")
 
     sn = sub.add_parser("score-news")
     sn.add_argument("--raw-dir", required=True)
@@ -71,7 +73,8 @@ def main(argv: list[str] | None = None) -> None:
 
     lb = sub.add_parser("labels")
     lb.add_argument("--prices", required=True)
-    lb.add_argument("--ticker", required=True)
+    lb.add_argument("--ticker", default=None, help="default: the name of each price file")
+    lb.add_argument("--vix", default=None)
     lb.add_argument("--out", required=True)
     lb.add_argument("--window", type=int, default=20)
     lb.add_argument("--horizon", type=int, default=1)
@@ -82,25 +85,32 @@ def main(argv: list[str] | None = None) -> None:
     m.add_argument("--labels", required=True)
     m.add_argument("--out", required=True)
     m.add_argument("--how", default="inner")
+    m.add_argument("--names", nargs="*", default=None)
+    m.add_argument("--symbols", nargs="*", default=None)
 
     a = ap.parse_args(argv)
     spark = build_session(a.master)
     result: dict = {"cmd": a.cmd}
     if a.cmd == "consensus-terms":
-        result["terms"] = jobs.consensus_terms_job(spark, a.responses, a.out, a.k, a.kind).count()
+        result["terms"] = jobs.consensus_terms_job(spark, a.responses, a.out, a.k, a.kind,
+                                                      overwrite=a.overwrite).count()
     elif a.cmd == "social-posts":
         result["rows"] = jobs.social_posts_job(spark, a.pages, a.terms, a.out, a.k, a.cap,
-                                               a.include_flagged)
+                                               a.include_flagged, overwrite=a.overwrite)
     elif a.cmd == "score-posts":
-        result["rows"] = jobs.score_posts_job(spark, a.inp, a.out, _lexicon(spark, a.lexicon))
+        result["rows"] = jobs.score_posts_job(spark, a.inp, a.out, _lexicon(spark, a.lexicon),
+                                              session=a.session, overwrite=a.overwrite)
     elif a.cmd == "score-news":
-        result["rows"] = jobs.score_news_job(spark, a.raw_dir, a.out)
+        result["rows"] = jobs.score_news_job(spark, a.raw_dir, a.out, overwrite=a.overwrite)
     elif a.cmd == "report":
-        jobs.report_job(spark, a.scored, a.out, a.date_col, a.score_col, a.group, rows=a.rows)
+        jobs.report_job(spark, a.scored, a.out, a.date_col, a.score_col, a.group, rows=a.rows,
+                        overwrite=a.overwrite)
     elif a.cmd == "labels":
-        jobs.labels_job(spark, a.prices, a.ticker, a.out, a.window, horizon=a.horizon)
+        jobs.labels_job(spark, a.prices, a.ticker, a.out, a.window, horizon=a.horizon,
+                        vix_path=a.vix, overwrite=a.overwrite)
     elif a.cmd == "merge":
-        jobs.merge_job(spark, a.social, a.news, a.labels, a.out, a.how)
+        jobs.merge_job(spark, a.social, a.news, a.labels, a.out, a.how, a.names, a.symbols,
+                       overwrite=a.overwrite)
     print(json.dumps(result))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Java regex class, plus NUL (which the cleaner maps to a space first).
 # Java's own (?U)\s misses \x1c-\x1f, so the class is spelled out.
 WHITESPACE_RUN = "[\\x00\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+"
+# The same class without NUL, at either end of a string.
+STRIP_ENDS = "^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+\\z"
 
 # Words never accepted as keywords.
 BANNED_KEYWORDS = ["stock", "price", "market", "trading", "investing",
@@ -26,6 +28,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(col) -> Column:
+    """All white space off both ends, as Python's ``str.strip``."""
+    return F.regexp_replace(_c(col), STRIP_ENDS, "")
+
+
 def clean_text(col) -> Column:
     """Null -> '', NUL -> space, whitespace runs -> one space, trimmed."""
     c = F.coalesce(_c(col), F.lit(""))
@@ -42,25 +49,25 @@ def first_nonempty(*cols) -> Column:
 
 
 def merge_text(*cols) -> Column:
-    """Trim each field, skip empty ones, join with one space."""
-    return F.concat_ws(" ", *[blank_to_null(F.trim(_c(c))) for c in cols])
+    """Strip each field, skip empty ones, join with one space."""
+    return F.concat_ws(" ", *[blank_to_null(strip(c)) for c in cols])
 
 
 def norm_ticker(col) -> Column:
-    """Upper-case and trim a ticker symbol."""
-    return F.upper(F.trim(_c(col)))
+    """Upper-case and strip a ticker symbol."""
+    return F.upper(strip(col))
 
 
 def row_id(prefix: str, link, title, summary, ticker) -> Column:
     """``{prefix}:{sha1(base)[:10]}:{ticker}``.
 
-    ``base`` is the link, or ``trim(title) | trim(summary)`` when the link is
+    ``base`` is the link, or ``strip(title)|strip(summary)`` when the link is
     empty.
     """
     base = F.coalesce(
         blank_to_null(_c(link)),
-        F.concat(F.trim(F.coalesce(_c(title), F.lit(""))), F.lit("|"),
-                 F.trim(F.coalesce(_c(summary), F.lit("")))),
+        F.concat(strip(F.coalesce(_c(title), F.lit(""))), F.lit("|"),
+                 strip(F.coalesce(_c(summary), F.lit("")))),
     )
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha1(base), 1, 10),
                     F.lit(":"), _c(ticker))

@@ -24,24 +24,56 @@ def to_epoch_seconds(col) -> Column:
     return F.unix_micros(_c(col).cast("timestamp")) / F.lit(1_000_000.0)
 
 
-# ISO-8601 shapes accepted by ``parse_iso``; a trailing ``Z`` is rewritten to
-# ``+00:00`` first.
-_ISO_WITH_OFFSET = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"
-_ISO_NO_OFFSET = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+# The ISO-8601 shapes that Python's ``datetime.fromisoformat``
+# reads (extended and basic date; any separator character; hour, minute and
+# second from the left; a fraction after ``.`` or ``,``; an offset, ``Z``).
+_ISO = (r"^(\d{4})(?:-(\d\d)-(\d\d)|(\d\d)(\d\d)|-W(\d\d)(?:-(\d))?|W(\d\d)(\d)?)"
+        r"(?:[\s\S](\d\d)(?::(\d\d)(?::(\d\d)(?:[.,](\d+))?)?|(\d\d)(?:(\d\d)(?:[.,](\d+))?)?)?"
+        r"(?:(Z)| ?([+-])(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d+))?)?)?)?)?$")
 
 
 def parse_iso(col) -> Column:
     """C4: tolerant ISO-8601 parse to a UTC instant; junk/empty -> null.
 
-    ``Z`` and ``+HH:MM`` offsets are honoured; a string without an offset is
-    read as UTC (the reference reads it in the machine zone, which is not
-    reproducible). Uses ``try_to_timestamp`` so ANSI mode never throws.
+    All shapes of Python's ``fromisoformat``: date only, week dates, no
+    seconds, any separator, basic forms, fractions of any length (cut to
+    microseconds), ``Z`` and offsets with or without a colon. A string
+    without an offset is read as UTC (the reference reads it in the machine
+    zone, which is not reproducible). Impossible dates and times are null.
     """
-    s = F.regexp_replace(F.trim(_c(col)), "Z$", "+00:00")
-    return F.coalesce(
-        F.try_to_timestamp(s, F.lit(_ISO_WITH_OFFSET)),
-        F.try_to_timestamp(s, F.lit(_ISO_NO_OFFSET)),
-    )
+    from .text import strip
+    # the groups of one match, an array of one element otherwise; bound to a
+    # lambda's variable, so that they are cut out once per value
+    groups = F.split(F.regexp_replace(strip(col), _ISO, "|".join(f"${g}" for g in range(1, 23))), r"\|", -1)
+    return F.get(F.transform(F.array(groups), _instant), F.lit(0))
+
+
+def _instant(groups: Column) -> Column:
+    def part(*numbers: int) -> Column:
+        return F.coalesce(*[F.nullif(F.get(groups, F.lit(g - 1)), F.lit("")) for g in numbers])
+
+    def number(*numbers: int) -> Column:
+        return F.coalesce(part(*numbers).try_cast("int"), F.lit(0))
+
+    def micros(*numbers: int) -> Column:
+        return F.rpad(F.substring(F.coalesce(part(*numbers), F.lit("")), 1, 6), 6, "0").try_cast("int")
+
+    year, week = part(1), part(6, 8).try_cast("int")
+    # 4 January is in week 1; weeks start on Monday
+    jan4 = F.try_to_timestamp(F.concat(year, F.lit("-01-04")), F.lit("yyyy-MM-dd")).cast("date")
+    week_day = F.coalesce(part(7, 9).try_cast("int"), F.lit(1))
+    by_week = F.date_add(F.date_sub(jan4, F.weekday(jan4)), (week - 1) * 7 + week_day - 1)
+    # a week 53 that the year does not have is no date
+    by_week = F.when(week.between(1, 53) & week_day.between(1, 7) & (F.weekofyear(by_week) == week), by_week)
+    by_day = F.try_to_timestamp(F.concat_ws("-", year, part(2, 4), part(3, 5)), F.lit("yyyy-MM-dd")).cast("date")
+    day = F.when(week.isNotNull(), by_week).otherwise(by_day)
+    h, m, sec = number(10), number(11, 14), number(12, 15)
+    off = (number(19) * 3600 + number(20) * 60 + number(21)).cast("long") * 1_000_000 + micros(22)
+    ok = ((F.size(groups) == 22) & (h < 24) & (m < 60) & (sec < 60) & (off < 86_400_000_000) & (year != "0000"))
+    off = F.when(part(18) == "-", -off).otherwise(off)
+    at = (F.unix_date(day).cast("long") * 86_400_000_000 + (h * 3600 + m * 60 + sec).cast("long") * 1_000_000
+          + micros(13, 16) - off)
+    return F.when(ok, F.timestamp_micros(at))
 
 
 def coerce_date(col, dtype: str | None = None) -> Column:

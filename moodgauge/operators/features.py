@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["ticker", "date"]
@@ -66,6 +66,22 @@ def attach_symbol(df: DataFrame, dim: DataFrame, entity_col: str = "entity") ->
     return df.join(d, entity_col, "left")
 
 
+def roll_to_calendar(df: DataFrame, calendar: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """J5 on dates: each (ticker, date) of ``df`` moves to the first date at
+    or after it that ``calendar`` (ticker, date) has, so a weekend counts to
+    the next session; null past the last one. The as-of step runs on the
+    distinct keys of both, one row per ticker and day."""
+    t, d = keys or KEYS
+    own = df.select(F.col(t).alias("__t"), F.col(d).alias("__d")).distinct()
+    cal = calendar.select(F.col(t).alias("__t"), F.col(d).alias("__d")).distinct()
+    u = own.withColumn("bar", F.lit(None).cast("date")).unionByName(cal.withColumn("bar", F.col("__d")))
+    w = (Window.partitionBy("__t").orderBy(F.col("__d").desc(), F.col("bar").asc_nulls_last())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    to = u.withColumn("__to", F.min("bar").over(w)).where(F.col("bar").isNull()).drop("bar")
+    j = df.join(to, (F.col(t) == F.col("__t")) & (F.col(d) == F.col("__d")), "left")
+    return j.withColumn(d, F.col("__to")).drop("__t", "__d", "__to")
+
+
 def market_index_join(bars: DataFrame, index: DataFrame) -> DataFrame:
     """K4: stock bars left-joined with the index series on the date. The
     index has one row per date, so it stays small at any scale."""

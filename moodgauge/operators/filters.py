@@ -8,6 +8,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def date_window(df: DataFrame, col: str, start: str | None = None,
                 end: str | None = None, today: str | None = None) -> DataFrame:
@@ -34,10 +36,10 @@ def flag_filter(df: DataFrame, flag_col: str = "over_18", include: bool = False)
 
 
 def drop_blank(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """D3: drop rows without an id or with blank text."""
+    """D3: drop rows without an id or with blank text (white space only)."""
     idc = F.col(id_col)
     return df.where(idc.isNotNull() & (idc.cast("string") != "")
-                    & (F.trim(F.coalesce(F.col(text_col), F.lit(""))) != ""))
+                    & (strip(F.coalesce(F.col(text_col), F.lit(""))) != ""))
 
 
 def source_filter(df: DataFrame, lang: str | None = "en",

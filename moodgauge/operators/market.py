@@ -23,13 +23,15 @@ from ..functions.time import session_day
 
 
 def ohlc_bars(ticks: DataFrame, entity: str = "ticker", ts: str = "ts",
-              value: str = "price", freq: str = "day") -> DataFrame:
+              value: str = "price", freq: str = "day", tie: str | None = None) -> DataFrame:
     """OHLC + tick count per entity and period (``day``, ``week``,
-    ``month``). Open/close are the first/last tick by time."""
+    ``month``). Open/close are the first/last tick by time, and by ``tie``
+    (a unique column; default: the price) among ticks of one instant."""
+    at = F.struct(ts, tie or value)
     period = F.date_trunc(freq, F.col(ts)).cast("date")
     return (ticks.groupBy(F.col(entity).alias("ticker"), period.alias("date"))
-            .agg(F.min_by(value, ts).alias("open"), F.max(value).alias("high"),
-                 F.min(value).alias("low"), F.max_by(value, ts).alias("close"),
+            .agg(F.min_by(value, at).alias("open"), F.max(value).alias("high"),
+                 F.min(value).alias("low"), F.max_by(value, at).alias("close"),
                  F.count(F.lit(1)).alias("volume")))
 
 

@@ -57,7 +57,7 @@ def lexicon_score(docs: DataFrame, lexicon, id_col: str = "doc_id",
                   text_col: str = "text", negations: list[str] | None = None,
                   boosters: dict | None = None,
                   max_lexicon_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """H1: ``(id, neg, neu, pos, compound)`` per document.
+    """H1: ``(id, neg, neu, pos, compound)`` per row of ``docs``.
 
     Per token ``i`` (lower-cased letter/digit runs): ``v0`` = lexicon
     valence (0 if absent); for a non-zero ``v0`` each booster 1..3 tokens
@@ -90,11 +90,13 @@ def lexicon_score(docs: DataFrame, lexicon, id_col: str = "doc_id",
 
     # n_tok is computed before the explode, so the token array is not
     # carried into every exploded row
-    toks = docs.select(F.col(id_col), word_tokens(text_col).alias("__toks")) \
+    # sums are per row, so rows that repeat an id are answered each
+    toks = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("__row"),
+                       word_tokens(text_col).alias("__toks")) \
                .withColumn("n_tok", F.size("__toks"))
-    ex = toks.select(F.col(id_col), "n_tok",
+    ex = toks.select(F.col(id_col), "__row", "n_tok",
                      F.explode_outer(_neighbours(F.col("__toks"))).alias("c"))
-    ex = ex.select(id_col, "n_tok", F.col("c.t").alias("__t"), "c.p1", "c.p2", "c.p3")
+    ex = ex.select(id_col, "__row", "n_tok", F.col("c.t").alias("__t"), "c.p1", "c.p2", "c.p3")
     hit = ex.join(lex, "__t", "left")
 
     v0 = F.coalesce(F.col("__v"), F.lit(0.0))
@@ -106,8 +108,8 @@ def lexicon_score(docs: DataFrame, lexicon, id_col: str = "doc_id",
                | F.coalesce(F.array_contains(negs, prev[1]), F.lit(False))
                | F.coalesce(F.array_contains(negs, prev[2]), F.lit(False)))
     v = F.when(v0 == 0, F.lit(0.0)).when(negated, v1 * NEGATION_SCALAR).otherwise(v1)
-    per_tok = hit.select(id_col, "n_tok", v.alias("v"))
-    sums = per_tok.groupBy(id_col).agg(
+    per_tok = hit.select(id_col, "__row", "n_tok", v.alias("v"))
+    sums = per_tok.groupBy("__row", id_col).agg(
         F.max("n_tok").alias("n_tok"),
         F.sum("v").alias("s"),
         F.sum(F.when(F.col("v") > 0, F.col("v") + 1)).alias("ps"),
@@ -157,9 +159,8 @@ class HashedBagScorer:
     exists to exercise the plumbing; it claims no accuracy.
 
     Plug-in protocol: ``scorer(texts: list[str]) -> ndarray (n, 3)`` of
-    logits in the order (positive, negative, neutral), with texts already
-    cut to ``max_tokens`` tokens. Tokens of the whole batch are hashed in one
-    vectorised call.
+    logits in the order (positive, negative, neutral). Tokens of the whole
+    batch are hashed in one vectorised call.
     """
 
     def __init__(self, seed: str = "0123456789abcdef"):
@@ -175,19 +176,78 @@ class HashedBagScorer:
         return out
 
 
+def fit_bag_weights(docs: DataFrame, label_col: str, text_col: str = "text",
+                    max_words: int = 5_000) -> DataFrame:
+    """Weights ``(word, pos, neg, neu)`` of a linear bag-of-words model: the
+    log of the smoothed share of each class's texts that have the word.
+
+    ``label_col`` holds ``positive``, ``negative`` or ``neutral``; other rows
+    are left out. Counts are over all labelled texts; the ``max_words`` words
+    that most of them have (ties by word) make the model."""
+    classes = {"pos": "positive", "neg": "negative", "neu": "neutral"}
+    known = docs.where(F.col(label_col).isin(*classes.values()))
+    toks = known.select(F.col(label_col).alias("c"), F.explode(F.array_distinct(word_tokens(text_col))).alias("word"))
+    words = toks.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[
+        F.count(F.when(F.col("c") == c, F.lit(1))).alias(k) for k, c in classes.items()])
+    total = known.agg(*[F.count(F.when(F.col(label_col) == c, F.lit(1))).alias(f"n_{k}") for k, c in classes.items()])
+    top = words.orderBy(F.col("n").desc(), "word").limit(max_words)
+    return top.join(F.broadcast(total)).select("word", *[       # one row of totals
+        F.log((F.col(k) + 1) / (F.col(f"n_{k}") + 2)).alias(k) for k in classes])
+
+
+class LinearBagScorer:
+    """Linear bag-of-words scorer: the logits of a text are the mean weights
+    of its tokens (letter/digit runs, lower-cased) that are in the table
+    ``{word: (positive, negative, neutral)}``; without one they are equal."""
+
+    def __init__(self, weights: dict[str, tuple[float, float, float]]):
+        import re
+        self.find = re.compile(r"[^\W_]+").findall
+        self.place = {w: i for i, w in enumerate(weights)}
+        self.weights = np.array(list(weights.values()), float).reshape(-1, 3)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 3))
+        for i, t in enumerate(texts):
+            at = [p for p in map(self.place.get, self.find(t.lower())) if p is not None]
+            if at:
+                out[i] = self.weights[at].mean(axis=0)
+        return out
+
+
+def linear_bag_factory(weights: DataFrame) -> Callable:
+    """Factory for ``model_score`` from a weight table of checked size (it
+    travels with the tasks)."""
+    small, n = checked_broadcast(weights)
+    if small is None:
+        raise ValueError(f"{n} words are too many for a scorer that travels with the tasks")
+    table = {r["word"]: (r["pos"], r["neg"], r["neu"]) for r in weights.orderBy("word").collect()}
+    return lambda: LinearBagScorer(table)
+
+
 _SCORERS: dict = {}
 
 
-def _scorer(factory: Callable):
-    key = id(factory)
+def _scorer(key: str, factory: Callable):
     if key not in _SCORERS:  # built once per Python worker
         _SCORERS[key] = factory()
     return _SCORERS[key]
 
 
+def _content_key(factory: Callable) -> str:
+    """Digest of the pickled factory, made on the driver: the same for every
+    task, whatever object the factory is unpickled into."""
+    import hashlib
+
+    from pyspark import cloudpickle
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
 def model_score(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                scorer_factory: Callable = HashedBagScorer, max_tokens: int = 256,
-                batch_rows: int = 256, keep: list[str] | None = None) -> DataFrame:
+                scorer_factory: Callable = HashedBagScorer, max_tokens: int | None = None,
+                batch_rows: int = 256, keep: list[str] | None = None,
+                scorer_key: str | None = None,
+                labels: tuple[str, str, str] = ("positive", "negative", "neutral")) -> DataFrame:
     """H2: score text with a pluggable model over Arrow batches.
 
     Blank (after strip) -> ``(neg 0, neu 1, pos 0, compound 0)`` without
@@ -195,20 +255,28 @@ def model_score(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     ``compound = pos - neg``. Output ``(id, [keep...], neg, neu, pos,
     compound)``; ``keep`` columns ride along in the same batches, so no join
     back is needed.
+
+    The plug-in gets whole texts and cuts them itself (word pieces are its
+    affair); ``max_tokens`` cuts white-space tokens before it if asked for.
+    It is built once per Python worker: ``scorer_key`` names it, by default a
+    digest of the pickled factory. ``labels`` says which of its logits is
+    which.
     """
     keep = list(keep or [])
+    key = scorer_key or _content_key(scorer_factory)
+    place = [labels.index(x) for x in ("positive", "negative", "neutral")]
     def run(batches):
-        scorer = _scorer(scorer_factory)
+        scorer = _scorer(key, scorer_factory)
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).str.strip()
             neg = np.zeros(len(pdf)); pos = np.zeros(len(pdf)); neu = np.ones(len(pdf))
             live = (texts != "").to_numpy()
             if live.any():
-                cut = [" ".join(t.split()[:max_tokens]) for t in texts[live]]
+                cut = [t if max_tokens is None else " ".join(t.split()[:max_tokens]) for t in texts[live]]
                 parts = []
                 for s in range(0, len(cut), batch_rows):
                     parts.append(np.asarray(scorer(cut[s:s + batch_rows]), dtype=float))
-                logits = np.vstack(parts)
+                logits = np.vstack(parts)[:, place]
                 logits = logits - logits.max(axis=1, keepdims=True)
                 p = np.exp(logits)
                 p = p / p.sum(axis=1, keepdims=True)
@@ -226,7 +294,10 @@ def model_score(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def score_cache(df: DataFrame, cache: DataFrame, key: str,
                 score_fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """H4: score only the keys absent from the cache, then union with it.
-    The anti-join shuffles keys only; AQE broadcasts a small cache."""
-    fresh = df.join(cache.select(key), key, "left_anti")
+    """H4: score only the keys absent from the stored ``cache``, then union
+    with it. Of the cache the anti-join reads the key column only; a cache of
+    checked size is broadcast, so no text is shuffled."""
+    keys = cache.select(key).distinct()
+    small, _ = checked_broadcast(keys)
+    fresh = df.join(small if small is not None else keys, key, "left_anti")
     return cache.unionByName(score_fn(fresh))

@@ -127,9 +127,10 @@ def _page_fields(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select(
         "page_id", "url",
-        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"),
-        F.regexp_extract("html", "<p>([^<]*)", 1).alias("p1"),
+        # padded with white space of several kinds, as vendor fields are
+        F.concat(F.lit("\t"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("\n")).alias("title"),
+        F.concat(F.lit("\n"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("h1"),
+        F.concat(F.regexp_extract("html", "<p>([^<]*)", 1), F.lit("\u2003")).alias("p1"),
         F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("lang"),
         # a clean https URL counts as the permalink; others fall back
         F.regexp_extract("url", "^(https://[^?#]*)$", 1).alias("link"),
@@ -158,13 +159,17 @@ def q_epoch_to_date(spark, sf_dir):
 
 
 def _iso_strings(ev):
-    base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    et = F.col("event_type")
-    s = (F.when(et == "click", F.concat(base, F.lit("Z")))
-          .when(et == "view", F.concat(base, F.lit("+00:00")))
-          .when(et == "purchase", F.concat(base, F.lit("+02:00")))
-          .when(et == "error", F.concat(F.lit("junk-"), base))
-          .otherwise(base))
+    """One ISO-8601 shape for each remainder of the event id, and junk."""
+    day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
+    full = F.concat(day, F.lit("T"), clock)
+    shapes = [full, F.concat(full, F.lit("Z")), F.concat(full, F.lit("+00:00")), F.concat(full, F.lit("+02:00")),
+              F.concat(full, F.lit("-0530")), F.concat(day, F.lit(" "), clock), day,
+              F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"),
+              F.concat(full, F.lit(".123456789")), F.concat(full, F.lit(",5+01")),
+              F.concat(F.lit("\t "), full, F.lit(" \n")), F.concat(F.lit("junk-"), full), F.concat(full, F.lit("z"))]
+    s = F.lit("")
+    for i, shape in enumerate(shapes):
+        s = F.when(F.col("event_id") % (len(shapes) + 1) == i, shape).otherwise(s)
     return ev.select("event_id", s.alias("pub"))
 
 
@@ -268,7 +273,7 @@ def q_union_pools(spark, sf_dir):
 def _matches(spark, sf_dir, method="theta"):
     d = _docs(spark, sf_dir).select("doc_id", "text")
     return match.match_entities(d, entity_terms(spark), "text", k=KEYWORD_COUNT,
-                                method=method, id_col="doc_id")
+                                method=method)
 
 
 @query("entity_match")
@@ -278,7 +283,22 @@ def q_entity_match(spark, sf_dir):
 
 @query("entity_match_automaton")
 def q_entity_match_automaton(spark, sf_dir):
-    return _matches(spark, sf_dir, "automaton").select("doc_id", "entity", "matched_term")
+    # the query's earlier name; q-grams answer it now
+    return _matches(spark, sf_dir, "grams").select("doc_id", "entity", "matched_term")
+
+
+@query("entity_match_many_terms")
+def q_entity_match_many_terms(spark, sf_dir):
+    """Thousands of terms: the words of 8 letters and more of every
+    conversation, searched in all documents."""
+    words = table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("entity"),
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), 0)).alias("term"))
+    words = words.where(F.length("term") >= 8).distinct()
+    rank = F.row_number().over(Window.partitionBy("entity").orderBy("term"))
+    terms = words.select("entity", (rank - 1).alias("ord"), "term")
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    return match.match_entities(d, terms, "text", method="grams").select("doc_id", "entity", "matched_term")
 
 
 @query("entity_match_regex")
@@ -391,15 +411,23 @@ def q_softmax_scores(spark, sf_dir):
 @query("score_cache")
 def q_score_cache(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    # the cache: scores already computed for the labelled documents
+    # the cache: the stored scores of the labelled documents
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    cache = _lexicon_scores(labelled)
-    return normalize(scoring.score_cache(docs, cache, "doc_id", _lexicon_scores))
+    path = scratch_path(spark, f"scores-{uuid.uuid4().hex}")
+    _lexicon_scores(labelled).write.parquet(path)
+    return normalize(scoring.score_cache(docs, spark.read.parquet(path), "doc_id", _lexicon_scores))
 
 
 @query("model_score")
 def q_model_score(spark, sf_dir):
-    return normalize(scoring.model_score(_docs(spark, sf_dir), "text", "doc_id"))
+    """A linear bag-of-words model fitted on the labelled documents (toxic:
+    negative; else good: positive; else neutral) scores all of them."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    kind = (F.when(F.col("toxic") == 1, F.lit("negative")).when(F.col("quality") == 1, F.lit("positive"))
+             .otherwise(F.lit("neutral")))
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", kind.alias("kind")), "doc_id")
+    factory = scoring.linear_bag_factory(scoring.fit_bag_weights(labelled, "kind", max_words=2_000))
+    return normalize(scoring.model_score(docs, "text", "doc_id", scorer_factory=factory))
 
 
 # --------------------------------------------------------------------------
@@ -408,7 +436,7 @@ def q_model_score(spark, sf_dir):
 
 
 def _bars(spark, sf_dir):
-    return market.ohlc_bars(ticks(spark, sf_dir), "ticker", "ts", "price", "day")
+    return market.ohlc_bars(ticks(spark, sf_dir), "ticker", "ts", "price", "day", tie="event_id")
 
 
 def _labels(spark, sf_dir):
@@ -535,39 +563,36 @@ def q_stream_daily_stats(spark, sf_dir):
 # End to end: landed posts -> daily sentiment report by matched term
 # --------------------------------------------------------------------------
 
-def social_scored_rows(spark, sf_dir) -> DataFrame:
-    """Posts normalised, unflagged, non-blank, keep-first by id; matched to
+def social_scored_rows(spark, sf_dir, limit: bool = True) -> DataFrame:
+    """Posts normalised, unflagged, keep-first by id, non-blank; matched to
     entities (substring rule) and capped per entity in arrival order; each
-    distinct matched post scored once and joined back to its matches.
+    matched post scored once and joined back to its matches.
     Output: row_id, matched_term, date_utc, neg, neu, pos, compound.
 
-    Plan: one pass de-duplicates (the only full shuffle) and matches; the
-    cap shuffles ids and terms only. The capped matches (at most cap x
-    entities rows) are written once and used twice; the texts of the capped
-    posts are fetched by a second scan of the source behind a size-checked
-    broadcast semi-join (a map-side filter), so the post corpus is never
-    rewritten or shuffled twice, and only capped posts are scored."""
-    order = F.col("id").cast("bigint")
-
-    def kept_posts(listing):
-        p = posts.normalize_posts(listing)
-        return filters.drop_blank(filters.flag_filter(p, "over_18"), "id", "text")
-
-    p = dedup.dedupe_first(kept_posts(social_listing(spark, sf_dir)), "id", [order])
-    m = match.match_entities(p.select("id", "text", "date_utc"), entity_terms(spark), "text",
-                             k=KEYWORD_COUNT, id_col="id")
-    # the cap shuffles ids and terms only, never the text
-    m = m.select("id", "entity", "matched_term", "date_utc")
-    cap = cut_lineage(dedup.topk_per_key(m, ["entity"], [order], POSTS_PER_ENTITY))
-    ids = cap.select("id").distinct()
-    ids_b, _ = checked_broadcast(ids)
-    src = social_listing(spark, sf_dir)
-    todo = kept_posts(src.join(ids_b if ids_b is not None else ids, "id", "left_semi"))
-    # ids are unique in the source here; with repeated ids, join on the
-    # (id, arrival order) of the kept copy instead
-    sc = scoring.lexicon_score(todo.select("id", "text"), QUERY_LEXICON, "id", "text",
+    Plan: first copies are found on (id, order) alone, matching is row-local,
+    and both are joined and capped as narrow rows; the capped matches (at
+    most cap x entities rows; all with ``limit=False``) are written once. The
+    texts of the capped posts are fetched by a second scan of the source
+    behind a size-checked semi-join, so no text is ever shuffled."""
+    def open_posts(listing):
+        return filters.flag_filter(posts.normalize_posts(listing, keep=["ord"]), "over_18")
+
+    # arrival order: ids as numbers, without assuming that they are
+    src = social_listing(spark, sf_dir).withColumn("ord", F.struct(F.length("id").alias("n"), F.col("id").alias("i")))
+    p = open_posts(src)
+    first = p.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("ord").alias("ord"))
+    m = match.match_entities(filters.drop_blank(p, "id", "text").select("id", "ord", "text", "date_utc"),
+                             entity_terms(spark), "text", k=KEYWORD_COUNT)
+    # ids and terms only from here on
+    m = m.select("id", "ord", "entity", "matched_term", "date_utc").join(first, ["id", "ord"], "left_semi")
+    cap = cut_lineage(dedup.topk_per_key(m, ["entity"], ["ord"], POSTS_PER_ENTITY) if limit else m)
+    keys = cap.select("id", "ord").distinct()
+    keys_b, _ = checked_broadcast(keys)
+    todo = open_posts(src.join(keys_b if keys_b is not None else keys, ["id", "ord"], "left_semi"))
+    sc = scoring.lexicon_score(todo.select(F.struct("id", "ord").alias("key"), "text"), QUERY_LEXICON, "key", "text",
                                negations=QUERY_NEGATIONS, boosters=QUERY_BOOSTERS)
-    scored = cap.join(sc, "id", "inner").select(
+    sc = sc.select(F.col("key.id").alias("id"), F.col("key.ord").alias("ord"), "neg", "neu", "pos", "compound")
+    scored = cap.join(sc, ["id", "ord"], "inner").select(
         F.concat(F.lit("reddit:"), "id", F.lit(":"), "entity").alias("row_id"),
         "matched_term", "date_utc", "neg", "neu", "pos", "compound")
     # the scored rows are the hand-off to the report (as in the reference's

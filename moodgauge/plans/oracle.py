@@ -166,36 +166,29 @@ SELECT event_id, round(epoch_us(ts) / 1e6, 6) AS created_utc, CAST(ts AS DATE) A
 FROM events
 """
 
+# the instant that each shape of the query's strings names, from ts itself
 ORACLE["parse_iso"] = """
-WITH s AS (
-  SELECT event_id,
-         CASE event_type
-           WHEN 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
-           WHEN 'view' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'
-           WHEN 'purchase' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'
-           WHEN 'error' THEN 'junk-' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
-           ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS pub
-  FROM events),
+WITH t AS (SELECT event_id, event_id % 15 AS k, date_trunc('second', ts) AS s FROM events),
 p AS (
   SELECT event_id,
-         strptime(substr(pub, 1, 19), '%Y-%m-%dT%H:%M:%S')
-           - to_minutes(CASE WHEN regexp_full_match(substr(pub, 20), '[+-]\\d\\d:\\d\\d')
-                   THEN (CASE WHEN substr(pub, 20, 1) = '-' THEN -1 ELSE 1 END)
-                        * (CAST(substr(pub, 21, 2) AS INT) * 60 + CAST(substr(pub, 24, 2) AS INT))
-                   ELSE 0 END) AS published_at
-  FROM s
-  WHERE regexp_full_match(pub, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(Z|[+-]\\d\\d:\\d\\d)?'))
-SELECT event_id, CAST(published_at AS TIMESTAMP) AS published_at,
-       CAST(published_at AS DATE) AS date
-FROM p
+         CASE WHEN k IN (0, 1, 2, 5, 8, 11) THEN s
+              WHEN k = 3 THEN s - INTERVAL 2 HOUR
+              WHEN k = 4 THEN s + INTERVAL 330 MINUTE
+              WHEN k = 6 THEN date_trunc('day', s)
+              WHEN k = 7 THEN date_trunc('minute', s)
+              WHEN k = 9 THEN s + INTERVAL 123456 MICROSECOND
+              WHEN k = 10 THEN s + INTERVAL 500000 MICROSECOND - INTERVAL 1 HOUR END AS published_at
+  FROM t)
+SELECT event_id, CAST(published_at AS TIMESTAMP) AS published_at, CAST(published_at AS DATE) AS date
+FROM p WHERE published_at IS NOT NULL
 """
 
 _PAGE_FIELDS = """
 pf AS (
   SELECT page_id, url,
-         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-         regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1,
-         regexp_extract(html, '<p>([^<]*)', 1) AS p1,
+         chr(9) || regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) AS title,
+         chr(10) || regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1,
+         regexp_extract(html, '<p>([^<]*)', 1) || chr(8195) AS p1,
          regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/', 1) AS lang,
          regexp_extract(url, '^(https://[^?#]*)$', 1) AS link
   FROM pages)"""
@@ -205,16 +198,24 @@ SELECT page_id, coalesce(nullif(link, ''), nullif(title, ''), nullif(h1, ''), nu
   AS value FROM pf
 """
 
-ORACLE["merge_text"] = "WITH " + _PAGE_FIELDS + """
-SELECT page_id, concat_ws(' ', nullif(trim(title), ''), nullif(trim(h1), ''), nullif(trim(p1), ''))
-  AS merged FROM pf
+# white space of all kinds off both ends
+_ENDS = r"'^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+\z'"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {_ENDS}, '', 'g')"
+
+
+ORACLE["merge_text"] = "WITH " + _PAGE_FIELDS + f"""
+SELECT page_id, concat_ws(' ', nullif({_strip('title')}, ''), nullif({_strip('h1')}, ''),
+                          nullif({_strip('p1')}, '')) AS merged FROM pf
 """
 
-ORACLE["row_id"] = "WITH " + _PAGE_FIELDS + """
+ORACLE["row_id"] = "WITH " + _PAGE_FIELDS + f"""
 SELECT page_id,
        'yahoo:' || substr(sha1(coalesce(nullif(link, ''),
-                                        trim(coalesce(title, '')) || '|' || trim(coalesce(p1, '')))),
-                          1, 10) || ':' || upper(trim(lang)) AS id
+                                        {_strip("coalesce(title, '')")} || '|' || {_strip("coalesce(p1, '')")})),
+                          1, 10) || ':' || upper({_strip('lang')}) AS id
 FROM pf
 """
 
@@ -290,13 +291,31 @@ SELECT doc_id, entity, matched_term FROM x WHERE matched_term <> ''
 """
 
 ORACLE["entity_match_token"] = "WITH " + _terms_values() + """,
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS toks
-      FROM documents WHERE trim(coalesce(text, '')) <> ''),
-tk AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM d),
-h AS (SELECT tk.doc_id, t.entity, t.ord, tk.pos, tk.tok
-      FROM tk JOIN terms t ON tk.tok = lower(t.term)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity ORDER BY pos, ord) AS rn FROM h)
-SELECT doc_id, entity, tok AS matched_term FROM r WHERE rn = 1
+d AS (SELECT doc_id, text FROM documents WHERE trim(coalesce(text, '')) <> ''),
+c AS (SELECT doc_id, entity, ord, ' ' || text || ' ' AS s,
+             '(?is)^(.*?[^\\p{L}\\p{N}])(\\Q' || term || '\\E)[^\\p{L}\\p{N}]' AS rx
+      FROM d JOIN terms t ON strpos(lower(text), lower(term)) > 0),
+h AS (SELECT doc_id, entity, ord, regexp_extract(s, rx, 1) AS pre, regexp_extract(s, rx, 2) AS hit FROM c),
+r AS (SELECT doc_id, entity, hit AS matched_term,
+             row_number() OVER (PARTITION BY doc_id, entity ORDER BY length(pre), ord) AS rn
+      FROM h WHERE hit <> '')
+SELECT doc_id, entity, matched_term FROM r WHERE rn = 1
+"""
+
+ORACLE["entity_match_many_terms"] = """
+WITH w AS (SELECT DISTINCT 'conv' || conv_id AS entity,
+                  unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM conversations),
+k AS (SELECT entity, term, row_number() OVER (PARTITION BY entity ORDER BY term) - 1 AS ord
+      FROM w WHERE length(term) >= 8),
+e AS (SELECT DISTINCT entity FROM k),
+p AS (SELECT * FROM k UNION ALL SELECT entity, entity, -2 FROM e UNION ALL SELECT entity, '$' || entity, -1 FROM e),
+t AS (SELECT DISTINCT lower(term) AS lt FROM p),
+h AS (SELECT doc_id, text, lt, strpos(lower(text), lt) AS pos
+      FROM documents JOIN t ON contains(lower(text), lt)),
+m AS (SELECT doc_id, entity, substr(text, pos, length(lt)) AS matched_term,
+             row_number() OVER (PARTITION BY doc_id, entity ORDER BY pos, ord) AS rn
+      FROM h JOIN p ON lower(p.term) = h.lt)
+SELECT doc_id, entity, matched_term FROM m WHERE rn = 1
 """
 
 ORACLE["topk_per_entity"] = _MATCH + f""",
@@ -696,3 +715,26 @@ SELECT page_id, ticker, date, CAST(published_at AS TIMESTAMP) AS published_at, t
        publisher, summary
 FROM lim WHERE r2 <= 20
 """
+
+ORACLE["model_score"] = """
+WITH k AS (
+  SELECT d.doc_id, d.text, CASE WHEN l.toxic = 1 THEN 'neg' WHEN l.quality = 1 THEN 'pos' ELSE 'neu' END AS c
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+n AS (SELECT count(*) FILTER (c = 'pos') AS n_pos, count(*) FILTER (c = 'neg') AS n_neg,
+             count(*) FILTER (c = 'neu') AS n_neu FROM k),
+kt AS (SELECT DISTINCT doc_id, c, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS word FROM k),
+w AS (SELECT word, count(*) FILTER (c = 'pos') AS p, count(*) FILTER (c = 'neg') AS g, count(*) FILTER (c = 'neu') AS u
+      FROM kt GROUP BY word ORDER BY count(*) DESC, word LIMIT 2000),
+m AS (SELECT word, ln((p + 1) / (n_pos + 2)) AS pos, ln((g + 1) / (n_neg + 2)) AS neg, ln((u + 1) / (n_neu + 2)) AS neu
+      FROM w, n),
+t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM documents),
+s AS (SELECT doc_id, avg(pos) AS pos, avg(neg) AS neg, avg(neu) AS neu FROM t JOIN m USING (word) GROUP BY doc_id),
+x AS (SELECT d.doc_id, trim(coalesce(d.text, '')) = '' AS blank, exp(coalesce(s.pos, 0)) AS pos,
+             exp(coalesce(s.neg, 0)) AS neg, exp(coalesce(s.neu, 0)) AS neu
+      FROM documents d LEFT JOIN s USING (doc_id))
+SELECT doc_id, round(CASE WHEN blank THEN 0 ELSE neg / (pos + neg + neu) END, 6) AS neg,
+       round(CASE WHEN blank THEN 1 ELSE neu / (pos + neg + neu) END, 6) AS neu,
+       round(CASE WHEN blank THEN 0 ELSE pos / (pos + neg + neu) END, 6) AS pos,
+       round(CASE WHEN blank THEN 0 ELSE (pos - neg) / (pos + neg + neu) END, 6) AS compound
+FROM x
+"""

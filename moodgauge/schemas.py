@@ -19,7 +19,9 @@ SCORED = struct(("id", S), ("ticker", S), ("match_term", S), ("date", S),
 
 # Raw news rows as landed by the news fetcher (A6 output).
 NEWS_RAW = struct(("ticker", S), ("date", S), ("published_at", S),
-                  ("title", S), ("link", S), ("publisher", S), ("summary", S))
+                  ("title", S), ("link", S), ("publisher", S), ("summary", S),
+                  ("symbol", S), ("description", S), ("text", S),
+                  ("permalink", S), ("url", S), ("article_url", S))
 
 # One landed news item (A6 input): the vendor's nested record.
 NEWS_ITEM = struct(

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default ceiling for a side we broadcast for a theta join. A term or lexicon
-# table is a configuration-sized table; past this size the operators switch to
-# a chunked plan instead of one large broadcast.
+# Ceilings for a side we broadcast: rows, and bytes of its values. Past either
+# the operators join through a shuffle.
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def build_session(master: str | None = None, app: str = "moodgauge",
@@ -51,10 +52,13 @@ def build_session(master: str | None = None, app: str = "moodgauge",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder.
 
-    On a cluster this setting names a shared (HDFS/S3/...) folder and is used
-    as is. Only when it is unset (local tests) do we pick a folder of our own.
+    ``spark.checkpoint.dir`` names it on a cluster (HDFS, S3, ...) and is used
+    as is; else the folder the application set on the context. Only a
+    ``local`` master, where driver and executors are one process, gets a
+    folder of its own, under the warehouse; any other master without the
+    setting is an error, since its executors would not see such a folder.
     """
     try:
         sc = spark.sparkContext
@@ -65,7 +69,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path and current:
         return current          # set on the context by the application
     if not path:
-        path = tempfile.mkdtemp(prefix="moodgauge-ckpt-")
+        master = sc.master if sc is not None else ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        path = f"{warehouse}/_checkpoints-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and not current:
         sc.setCheckpointDir(path)
@@ -85,14 +93,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS):
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      max_bytes: int = MAX_BROADCAST_BYTES):
+    """Broadcast ``df`` only after proving that it has at most ``max_rows``
+    rows and ``max_bytes`` bytes of values (strings and nested values by
+    their length as text, others 8 bytes each).
 
     Returns ``(broadcast_df, n_rows)`` or ``(None, n_rows)`` when it is too
     large; callers then take their non-broadcast plan.
     """
-    n = df.count()
-    if n <= max_rows:
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        c = F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + F.lit(8)
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    if n <= max_rows and (total or 0) <= max_bytes:
         return F.broadcast(df), n
     return None, n
 

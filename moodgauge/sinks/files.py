@@ -30,26 +30,27 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
 
 
 def write_report(report: DataFrame, path: str, group_col: str = "report_group",
-                 fmt: str = "csv") -> None:
+                 fmt: str = "csv", mode: str = "overwrite") -> None:
     """One folder per group value plus the overall report, in one job.
 
-    The overall rows (null group) land in ``{group_col}=__overall__``;
-    the target folder is replaced as a whole.
+    The overall rows (null group) land in ``{group_col}=__overall__``; with
+    ``overwrite`` the target folder is replaced as a whole.
     """
     out = report.withColumn(group_col, F.coalesce(F.col(group_col), F.lit("__overall__")))
     out = out.repartition(group_col).sortWithinPartitions(group_col, "day")
-    write_table(out, path, fmt=fmt, mode="overwrite", partition_by=[group_col])
+    write_table(out, path, fmt=fmt, mode=mode, partition_by=[group_col])
 
 
 def write_entity_terms(terms: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Long ``(entity, ord, term)`` table -> JSON map ``{entity: [terms]}``
-    with term order fixed by ``ord``. The map is built per entity, so one
-    entity's list is the largest value held in one row."""
+    """Long ``(entity, ord, term)`` table -> one JSON map ``{entity:
+    [terms]}`` in one file, with term order fixed by ``ord``. The map is
+    configuration: it is held in one row."""
     per_entity = terms.groupBy("entity").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))),
                     lambda s: s["term"]).alias("terms"))
-    out = per_entity.select(F.to_json(F.create_map("entity", "terms")).alias("value"))
-    out.write.mode(mode).text(path)
+    entries = F.array_sort(F.collect_list(F.struct("entity", "terms")))
+    out = per_entity.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    out.coalesce(1).write.mode(mode).text(path)
 
 
 def strip_zone(df: DataFrame, cols: list[str], zone: str = "UTC") -> DataFrame:

@@ -52,11 +52,12 @@ def read_entity_terms(spark: SparkSession, path: str) -> DataFrame:
     """A3: entity-map JSON ``{entity: [term, ...]}`` -> ``(entity, ord, term)``.
 
     A missing file gives an empty table, a null list no rows; term order is
-    kept in ``ord`` (0-based).
+    kept in ``ord`` (0-based). A file holds one map, however it is laid out
+    (pretty-printed or on one line).
     """
     out_schema = "entity string, ord int, term string"
     try:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
         raw.schema  # resolve the path now
     except Exception as e:  # missing file = empty map
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
@@ -69,14 +70,24 @@ def read_entity_terms(spark: SparkSession, path: str) -> DataFrame:
               .select("entity", F.col("ord").cast("int"), F.col("term").cast("string")))
 
 
-def flatten_listing(spark: SparkSession, path: str) -> DataFrame:
+def flatten_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A5: landed listing pages (one JSON document per file) -> one row per
-    post with the page file and the position as the arrival-order key."""
-    pages = (spark.read.schema(schemas.LISTING_PAGE).option("multiLine", True)
-             .json(path)
-             .withColumn("page", F.col("_metadata.file_name")))
-    return pages.select("page", F.posexplode("data.children").alias("pos", "child")) \
-                .select("page", "pos", "child.data.*")
+    post with its arrival-order key: ``source_rank``, ``page`` and ``pos``.
+
+    ``path`` is one path or a list of paths in the order the sources were
+    fetched; ``source_rank`` is the place in that list. ``page`` is the file
+    name with its numbers padded, so that page 10 comes after page 2."""
+    paths = [path] if isinstance(path, str) else list(path)
+    name = F.regexp_replace(F.col("_metadata.file_name"), "(\\d+)", "000000000000000000$1")
+    name = F.regexp_replace(name, "0*(\\d{18})(?!\\d)", "$1")
+    out = None
+    for rank, one in enumerate(paths):
+        pages = (spark.read.schema(schemas.LISTING_PAGE).option("multiLine", True).json(one)
+                 .select(F.lit(rank).alias("source_rank"), name.alias("page"), "data"))
+        rows = pages.select("source_rank", "page", F.posexplode("data.children").alias("pos", "child")) \
+                    .select("source_rank", "page", "pos", "child.data.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def flatten_news(raw: DataFrame, keep_unparsed: bool = False) -> DataFrame:
@@ -106,13 +117,18 @@ def flatten_news(raw: DataFrame, keep_unparsed: bool = False) -> DataFrame:
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """Daily price list (a JSON array of records). A JSON object payload
-    (the vendor's error form) or an empty list is an error."""
-    text = spark.read.option("wholetext", True).text(path)
-    bad = text.where(~F.ltrim("value").startswith("[")).limit(1).count()
-    if bad:
-        raise ValueError(f"price payload is not a list: {path}")
-    df = spark.read.schema(schemas.PRICES).option("multiLine", True).json(path)
+    """Daily price lists (a JSON array of records per file, laid out in
+    any way; ``path`` may be a folder or glob of many files, read in one
+    plan). ``ticker`` is the file name without its folders and extension, in
+    upper case. A JSON object payload (the vendor's error form) or an empty
+    list in any file is an error."""
+    from ..functions.text import norm_ticker, strip
+    ticker = norm_ticker(F.regexp_extract(F.col("_metadata.file_name"), "^([^.]*)", 1))
+    text = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("v"), F.col("_metadata.file_path").alias("f"))
+    bad = text.where(~F.col("v").startswith("[") | F.col("v").rlike("^\\[\\s*\\]$")).select("f").first()
+    if bad is not None:
+        raise ValueError(f"price payload is not a list of rows: {bad['f']}")
+    df = spark.read.schema(schemas.PRICES).option("multiLine", True).json(path).withColumn("ticker", ticker)
     if df.limit(1).count() == 0:
         raise ValueError(f"no price rows in {path}")
     return df.withColumn("date", F.to_date(F.substring("date", 1, 10)))

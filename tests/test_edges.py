@@ -26,7 +26,7 @@ def _match(spark, method):
         (6, None),
     ], "doc_id long, text string")
     terms = _terms(spark, {"Nvidia": ["ai", "cuda"], "Intel": ["ment", "men"], "AMD": [""]})
-    out = match.match_entities(docs, terms, "text", k=5, method=method, id_col="doc_id")
+    out = match.match_entities(docs, terms, "text", k=5, method=method)
     return {(r["doc_id"], r["entity"]): r["matched_term"] for r in out.collect()}
 
 
@@ -38,13 +38,14 @@ def test_term_hits_substring(spark):
     assert got[(4, "AMD")] == "AMD"              # name without keywords
     assert not any(k[0] in (5, 6) for k in got)  # blank / null text never match
     assert _match(spark, "regex") == got
+    assert _match(spark, "grams") == got
 
 
 def test_term_hits_token(spark):
     got = _match(spark, "token")
     assert (1, "Nvidia") not in got              # whole words only
-    assert got[(2, "Nvidia")] == "nvidia"
-    assert got[(4, "AMD")] == "amd"
+    assert got[(2, "Nvidia")] == "$NVIDIA"     # as written
+    assert got[(4, "AMD")] == "AMD"
 
 
 def test_theta_chunked_plan_equals_single_broadcast(spark):

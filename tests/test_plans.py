@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from moodgauge.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -64,10 +65,10 @@ def test_column_pruning(spark):
 
 
 def test_no_row_at_a_time_python(spark):
-    for name in E.queries():
+    for name in QUERIES:
         if name == "stream_daily_stats":
             continue
         p = plan(spark, name)
         assert "BatchEvalPython" not in p, name
-        if name not in ("model_score", "entity_match_automaton"):
+        if name != "model_score":
             assert "MapInPandas" not in p and "ArrowEvalPython" not in p, name
