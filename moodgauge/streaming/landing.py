@@ -45,25 +45,41 @@ def stream_daily_stats(stream: DataFrame, ts_col: str = "ts", score_col: str = "
                       "score_mean", "score_std", "score_var")
 
 
+class LateRows(RuntimeError):
+    """A bounded run dropped rows that were later than the watermark."""
+
+
+def _finish(query, strict: bool) -> int:
+    """Wait for the run and count the rows it dropped as late; with
+    ``strict`` such rows are an error, not a silent loss."""
+    query.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    if strict and late:
+        raise LateRows(f"{late} rows were later than the watermark; use a longer delay or larger batches")
+    return late
+
+
 def run_available(df: DataFrame, checkpoint: str, sink_path: str,
-                  fmt: str = "parquet") -> None:
+                  fmt: str = "parquet", strict: bool = False) -> int:
     """Run a stream over everything landed so far (``availableNow``) into a
     file sink with its own checkpoint, then stop. Restarting with the same
-    checkpoint resumes exactly where it stopped."""
+    checkpoint resumes exactly where it stopped. Returns the rows dropped as
+    late (``strict``: raises ``LateRows`` instead)."""
     q = (df.writeStream.format(fmt).outputMode("append")
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(sink_path))
-    q.awaitTermination()
+    return _finish(q, strict)
 
 
-def run_complete_to_table(df: DataFrame, checkpoint: str, table_path: str) -> None:
+def run_complete_to_table(df: DataFrame, checkpoint: str, table_path: str, strict: bool = False) -> int:
     """Run an aggregating stream over everything landed so far in complete
     mode; every micro-batch overwrites ``table_path`` with the full result
-    (Parquet), so the table always holds a whole, consistent answer."""
+    (Parquet), so the table always holds a whole, consistent answer. Returns
+    the rows dropped as late (``strict``: raises ``LateRows`` instead)."""
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(table_path)
 
     q = (df.writeStream.outputMode("complete")
          .option("checkpointLocation", checkpoint)
          .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
+    return _finish(q, strict)
