@@ -10,10 +10,9 @@ Scale notes
 * Overall and per-group reports come from one ``GROUPING SETS`` aggregate:
   partial aggregation runs before the shuffle, so a hot group or day is
   pre-reduced on every map task and never gathered raw into one task.
-* The exact median keeps a value -> count map per (group, day); its size is
-  bounded by the number of distinct score values (a compound rounded to 4
-  places has at most 20,001). ``median="approx"`` switches to a fixed-size
-  sketch for unrounded scores.
+* Exact medians and quartiles take two passes: a fixed-size sketch brackets
+  them, and only the values inside the bracket are ranked, so no task holds
+  the values of a hot day. ``median="approx"`` keeps the sketch's answer.
 * Windows run on the daily table (one row per group and day), never on raw
   rows.
 """
@@ -24,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import coerce_date
+from ..session import checked_broadcast, cut_lineage
+
 
 def _score(col: str) -> Column:
     s = F.col(col).cast("double")
@@ -42,28 +43,75 @@ def prepare(df: DataFrame, date_col: str, score_col: str, id_col: str = "id",
     return df.select(*cols).where(F.col("day").isNotNull() & F.col("score").isNotNull())
 
 
-def _stats(median: str = "exact"):
-    med = (F.median("score") if median == "exact"
-           else F.percentile_approx("score", 0.5, 10000).cast("double"))
+# relative rank error of the sketch that brackets a quantile; groups of up to
+# ten times its inverse are ranked as they are
+_SKETCH = 1_000
+
+
+def exact_quantiles(base: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Exact linear quantiles of ``score`` per key (keys must not be null):
+    ``keys`` and ``q``, an array in the order of ``probs``.
+
+    A fixed-size sketch brackets each quantile. In a second pass the rows
+    below a bracket collapse into one count and the values inside it into
+    counts per value, both before the shuffle, so a key with most of all rows
+    sends a few thousandths of them to the task that ranks."""
+    gap = 2.0 / _SKETCH
+    ends = [max(p - gap, 0.0) for p in probs] + [min(p + gap, 1.0) for p in probs]
+    sketch = cut_lineage(base.groupBy(*keys).agg(
+        F.count("score").alias("qn"),
+        F.percentile_approx("score", F.array(*[F.lit(e) for e in ends]), _SKETCH).alias("ends")))
+    small, _ = checked_broadcast(sketch)
+    rows = base.select(*keys, "score").join(small if small is not None else sketch, keys)
+    whole = F.col("qn") <= 10 * _SKETCH
+    cells = [F.when(whole | (F.col("score") <= F.col("ends")[i + len(probs)]), F.struct(
+        F.lit(i).alias("i"), F.when(whole | (F.col("score") >= F.col("ends")[i]), F.col("score")).alias("v")))
+        for i in range(len(probs))]
+    cell = F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")
+    counts = rows.select(*keys, "qn", cell).groupBy(*keys, "qn", F.col("c.i").alias("i"), F.col("c.v").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"))
+    # the rows below the bracket come first, as one null value
+    upto = F.sum("n").over(Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()))
+    p = F.element_at(F.array(*[F.lit(x) for x in probs]), F.col("i") + 1)
+    at = counts.withColumn("upto", upto).withColumn("pos", p * (F.col("qn") - 1))
+
+    def value(rank):
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
+
+    found = at.groupBy(*keys, "i").agg(value(F.floor("pos")).alias("lo"), value(F.ceil("pos")).alias("hi"),
+                                       F.first("pos").alias("pos"))
+    q = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))
+    return found.select(*keys, "i", q.alias("v")).groupBy(*keys).agg(
+        F.array(*[F.max(F.when(F.col("i") == i, F.col("v"))) for i in range(len(probs))]).alias("q"))
+
+
+def _stats():
     return [
         F.count("id").alias("n_posts"),
         F.avg("score").alias("score_mean"),
         F.stddev_samp("score").alias("score_std"),
         F.var_samp("score").alias("score_var"),
-        med.alias("score_median"),
     ]
 
 
+def _approx_median():
+    return F.percentile_approx("score", 0.5, 10000).cast("double").alias("score_median")
+
+
 def daily_stats(df: DataFrame, date_col: str = "date", score_col: str = "compound",
                 id_col: str = "id", group: str | None = None,
                 median: str = "exact") -> DataFrame:
-    """Daily stats, overall or per group (null groups dropped)."""
+    """Daily stats, overall or per group (null groups dropped).
+    The median is exact, or that of a sketch with ``median="approx"``."""
     base = prepare(df, date_col, score_col, id_col, group)
     keys = ["day"]
     if group:
         base = base.where(F.col("grp").isNotNull())
         keys = ["grp", "day"]
-    return base.groupBy(*keys).agg(*_stats(median))
+    if median != "exact":
+        return base.groupBy(*keys).agg(*_stats(), _approx_median())
+    mid = exact_quantiles(base, keys, [0.5]).select(*keys, F.col("q")[0].alias("score_median"))
+    return base.groupBy(*keys).agg(*_stats()).join(mid, keys)
 
 
 def rolling_mean(daily: DataFrame, col: str = "score_std", group: str | None = None,
@@ -94,10 +142,18 @@ def sentiment_report(df: DataFrame, date_col: str = "date", score_col: str = "co
         return rolling_mean(daily_stats(df, date_col, score_col, id_col, None, median),
                             n=rows).withColumn("report_group", F.lit(None).cast("string"))
     base = prepare(df, date_col, score_col, id_col, group)
+    more = [] if median == "exact" else [_approx_median()]
     agg = (base.groupingSets([["day"], ["grp", "day"]], "grp", "day")
-           .agg(*_stats(median), F.grouping("grp").alias("is_overall")))
+           .agg(*_stats(), *more, F.grouping("grp").cast("int").alias("is_overall")))
     # rows whose own group is null belong to the overall report only
     agg = agg.where((F.col("is_overall") == 1) | F.col("grp").isNotNull())
+    if median == "exact":
+        both = F.array(F.struct(F.lit(1).alias("o"), F.lit("").alias("g")), F.struct(F.lit(0).alias("o"), F.col("grp").alias("g")))
+        keyed = base.select("day", "score", F.explode(both).alias("k")).select(
+            F.col("k.o").alias("o"), F.col("k.g").alias("g"), F.col("day").alias("d"), "score").where("g is not null")
+        mid = exact_quantiles(keyed, ["o", "g", "d"], [0.5]).withColumn("score_median", F.col("q")[0])
+        agg = agg.join(mid, (F.col("o") == F.col("is_overall")) & (F.col("d") == F.col("day"))
+                       & (F.col("g") == F.when(F.col("is_overall") == 1, F.lit("")).otherwise(F.col("grp"))))
     w = (Window.partitionBy("is_overall", "grp").orderBy("day")
          .rowsBetween(-(rows - 1), 0))
     return agg.select(
@@ -133,12 +189,14 @@ def recent_days(df: DataFrame, date_col: str, score_col: str, n: int = 14,
 
 
 def _quartiles(base: DataFrame, parts: list[str], exact: bool = True) -> DataFrame:
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = (F.percentile("score", probs) if exact
-         else F.percentile_approx("score", probs, 10000).cast("array<double>"))
-    return (base.groupBy(*parts, "day")
-            .agg(q.alias("q"), F.count("score").alias("n"))
-            .select(*parts, "day", "n", F.col("q")[0].alias("q1"),
+    keys, probs = [*parts, "day"], [0.25, 0.5, 0.75]
+    n = F.count("score").alias("n")
+    if exact:
+        qs = exact_quantiles(base, keys, probs).join(base.groupBy(*keys).agg(n), keys)
+    else:
+        sketch = F.percentile_approx("score", F.array(*[F.lit(p) for p in probs]), 10000)
+        qs = base.groupBy(*keys).agg(sketch.cast("array<double>").alias("q"), n)
+    return (qs.select(*parts, "day", "n", F.col("q")[0].alias("q1"),
                     F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
             .withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("fence_lo", F.col("q1") - 1.5 * F.col("iqr"))

@@ -55,3 +55,22 @@ def test_hot_entity_consensus(spark):
     acc = consensus.accept_attempt(consensus.extract_keywords(resp, k=4), k=4, floor=3)
     top = consensus.consensus_topk(acc, k=2).where("entity = 'HOT'").orderBy("rank").collect()
     assert [(r["term"], r["n_runs"]) for r in top] == [("alpha", 1000), ("beta", 1000)]
+
+
+def test_exact_quantiles_of_a_hot_day(spark, monkeypatch):
+    """One day holds most rows, all values distinct; others are small, tied,
+    or one value repeated. Brackets are used for the large ones only."""
+    import numpy as np
+
+    from moodgauge.operators import report
+    monkeypatch.setattr(report, "_SKETCH", 100)
+    rng = np.random.default_rng(3)
+    days = {"a": rng.normal(size=30_000), "b": np.repeat([1.0, 2.0, 3.0], 2_000), "c": np.full(1_500, 7.5),
+            "d": rng.integers(0, 5, 3_001).astype(float), "e": np.array([4.0]), "f": np.array([1.0, 2.0]), "g": rng.normal(size=1_001)}
+    rows = [(d, float(v)) for d, vs in days.items() for v in vs]
+    df = spark.createDataFrame(rows, "day string, score double").repartition(6)
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = {r["day"]: r["q"] for r in report.exact_quantiles(df, ["day"], probs).collect()}
+    assert got.keys() == days.keys()
+    for d, vs in days.items():
+        assert np.allclose(got[d], np.quantile(vs, probs)), d
