@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text with the byte spans of their pieces."""
     out = sentencepiece_codec.encode_documents(docs, piece_model())
-    return out.select("doc_id", "n_tokens", "ids", "span_lo", "span_hi", "ids_sha256")
+    return out.select("doc_id", "n_tokens", "ids", "offsets", "ids_sha256")
 
 
 STAGES = [

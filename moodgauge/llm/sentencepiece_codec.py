@@ -372,9 +372,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                      pieces: bool = True) -> DataFrame:
     """One row per input row: ``id_col``, n_tokens (begin and end included),
     ids_sha256, decoded_sha256, n_source_bytes (bytes of the text that the
-    piece spans cover) and, with ``pieces``, ids, span_lo, span_hi (byte spans
-    of the text without begin and end) and decoded. Of the pieces of a character
-    written byte by byte, the last one carries its span.
+    piece spans cover) and, with ``pieces``, ids, offsets and decoded. Without
+    begin and end, piece i covers the bytes offsets[i] to offsets[i + 1] of the
+    text; of the pieces of a character written byte by byte, the last one
+    carries its span.
 
     Null and empty texts have the begin and end ids only. Repeated rows and
     null ids are answered row by row; other columns are not read. A batch of
@@ -388,7 +389,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     schema = (f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, "
               "decoded_sha256 string, n_source_bytes long")
     if pieces:
-        schema += ", ids array<int>, span_lo array<long>, span_hi array<long>, decoded string"
+        schema += ", ids array<int>, offsets array<int>, decoded string"
 
     def run(batch: pa.RecordBatch):
         codec = codec_of(shared.value, key)
@@ -397,7 +398,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             rows = batch.slice(at, 256)
             out: dict[str, list] = {name: [] for name in
                                     ("n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes",
-                                     "ids", "span_lo", "span_hi", "decoded")}
+                                     "ids", "offsets", "decoded")}
             for text in rows.column("text").to_pylist():
                 ids, lo, hi = codec.encode_spans(text or "")
                 raw = edge[0] + ids.tobytes() + edge[1]
@@ -409,8 +410,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 out["n_source_bytes"].append(int((hi - lo).sum()))
                 if pieces:
                     out["ids"].append(whole.astype(np.int32))
-                    out["span_lo"].append(lo)
-                    out["span_hi"].append(hi)
+                    # every piece begins where the one before ends
+                    out["offsets"].append(np.concatenate([lo[:1], hi]).astype(np.int32))
                     out["decoded"].append(decoded)
             yield {"id": rows.column("id"), **out}
 

@@ -115,7 +115,8 @@ def test_pipeline_stages(spark, tables, tmp_path):
     assert last.keys() == want
     for i, r in last.items():
         raw = kept[i].text.encode()
-        assert b"".join(raw[a:z] for a, z in zip(r.span_lo, r.span_hi)) == raw
+        assert b"".join(raw[a:z] for a, z in zip(r.offsets, r.offsets[1:])) == raw
+        assert len(r.offsets) == len(r.ids) - 1
         assert r.ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in r.ids)).hexdigest()
     assert {r.doc_id: r.ids for r in cp.run(spark, d).collect()} == {i: r.ids for i, r in last.items()}
 

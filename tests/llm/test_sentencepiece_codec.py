@@ -60,6 +60,8 @@ def test_documents(docs, corpus, pair):
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
         assert r.decoded == library.decode(ids)
+        spans = [(p.begin, p.end) for p in library.encode(t or "", return_type="proto").pieces]
+        assert list(zip(r.offsets, r.offsets[1:])) == spans
         assert r.n_source_bytes == len((t or "").encode())
 
 
