@@ -120,13 +120,13 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         met = windows_at(src.join(texts, F.col("tkey").eqNullSafe(F.col("t")) & F.col("id").eqNullSafe(F.col("i")),
                                   "left_semi"), grams)
     flat = written(met.select("id", "tkey", F.posexplode("wins").alias("j", "win"), "start")
-                   .select("id", "tkey", (F.col("start") + F.col("j")).alias("start"), "win"), "windows")
+                   .select("id", "tkey", (F.col("start") + F.col("j")).cast("int").alias("start"), "win"), "windows")
     low = F.coalesce("id", F.lit(-(1 << 63)))
     # equal rows have equal places and do not repeat each other
+    place = F.xxhash64(low, "tkey", "start")
     twice = flat.groupBy("win").agg(
-        F.min(low).alias("first_id"), F.max(low).alias("last_id"), F.min("tkey").alias("t0"), F.max("tkey").alias("t1"),
-        F.min("start").alias("s0"), F.max("start").alias("s1")
-    ).where("first_id < last_id or t0 < t1 or s0 < s1").select("win", "first_id")
+        F.min(low).alias("first_id"), F.min(place).alias("p0"), F.max(place).alias("p1")
+    ).where("p0 < p1").select("win", "first_id")
     return flat.join(twice, "win")
 
 
