@@ -60,9 +60,8 @@ class Index:
     block_at: np.ndarray        # postings of term t: block_at[t]:block_at[t + 1]
     block: np.ndarray
     block_max: np.ndarray
-    item_at: np.ndarray         # terms of item i: item_at[i]:item_at[i + 1]
-    item_term: np.ndarray
-    impact: np.ndarray
+    block_terms: list[np.ndarray]    # by block: its terms, and their impacts
+    impacts: list[np.ndarray]        # on its items (terms x items)
     question: list[np.ndarray]  # hashes of word pairs
     answer: list[np.ndarray]    # hashes of words
 
@@ -74,6 +73,9 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
 
 def build(items: list[tuple[int, np.ndarray]], df: dict[int, int], n_items: int, mean_words: float) -> Index:
     """Index of (row number, word hashes) given statistics of all items."""
+    # items that share their commonest words (those of one language) make
+    # blocks together, so a block's maxima stay close to its items' impacts
+    items = sorted(items, key=lambda x: (max((df[t], t) for t in x[1].tolist()), len(x[1]), x[0]))
     words = [w for _, w in items]
     term, tf, at = [], [], [0]
     for w in words:
@@ -97,11 +99,19 @@ def build(items: list[tuple[int, np.ndarray]], df: dict[int, int], n_items: int,
     key, inv = np.unique(item_term * n_blocks + block, return_inverse=True)
     block_max = np.zeros(len(key))
     np.maximum.at(block_max, inv, impact)
-    order = np.lexsort((item_term, np.repeat(np.arange(len(items)), np.diff(at))))
+    block_terms, impacts = [], []
+    for first in range(0, len(items), ITEMS_PER_BLOCK):
+        last = min(first + ITEMS_PER_BLOCK, len(items))
+        own = slice(at[first], at[last])
+        terms, row = np.unique(item_term[own], return_inverse=True)
+        weight = np.zeros((len(terms), last - first), np.float32)
+        weight[row, np.repeat(np.arange(last - first), np.diff(at[first:last + 1]))] = impact[own]
+        block_terms.append(terms)
+        impacts.append(weight)
     cut = [len(w) - max(1, int(len(w) * ANSWER_SHARE)) if len(w) > 1 else 1 for w in words]
     return Index(max(MIN_STRIDE, max(map(len, words))), np.array([i for i, _ in items]), vocab, term_of, np.sort(top),
                  np.searchsorted(key // n_blocks, np.arange(len(vocab) + 1)), key % n_blocks, block_max,
-                 at, item_term[order], impact[order],
+                 block_terms, impacts,
                  [_grams(w[:c], QUESTION_GRAM) for w, c in zip(words, cut)], [_grams(w[c:], ANSWER_GRAM) for w, c in zip(words, cut)])
 
 
@@ -150,28 +160,57 @@ def search(index: Index, b, word_hash: np.ndarray) -> list[tuple[int, int, float
     if not len(cand_pass):
         return []
     # full scores of the items of the blocks left
-    n = np.minimum(ITEMS_PER_BLOCK, len(index.items) - cand_block * ITEMS_PER_BLOCK)
-    item = _spread(cand_block * ITEMS_PER_BLOCK, n)
-    of = np.repeat(cand_pass, n)
-    count = index.item_at[item + 1] - index.item_at[item]
-    post = _spread(index.item_at[item], count)
-    row = np.repeat(np.arange(len(item)), count)
-    want = of[row] * n_terms + index.item_term[post]
-    place = np.minimum(np.searchsorted(key, want), len(key) - 1)
-    score = np.bincount(row, np.where(key[place] == want, index.impact[post], 0.0), minlength=len(item))
+    hits = []
+    for rows in _slices(cand_pass):
+        hits += _full_scores(index, passage, term, cand_pass[rows], cand_block[rows])
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for k in np.flatnonzero(score >= THRESHOLD - 1e-9):
-        p, i = int(of[k]), int(item[k])
+    for p, i, score in hits:
         d = int(np.searchsorted(base, p, "right")) - 1
         lo = int(b.word_at[d]) + (p - int(base[d])) * index.stride
         words = word_hash[lo:min(lo + 2 * index.stride, int(b.word_at[d + 1]))]
         q, a = (_share(part[i], words) for part in (index.question, index.answer))
-        found = (float(score[k]), q, a)
+        found = (score, q, a)
         if q >= OVERLAP and a >= OVERLAP and found > best.get((d, i), (0.0, 0.0, 0.0)):
             best[d, i] = found
     return [(d, int(index.items[i]), *f) for (d, i), f in sorted(best.items())]
 
 
+PASSAGES = 1024     # scored together at most
+
+
+def _slices(cand_pass: np.ndarray):
+    """Cut candidates (sorted by passage) so that few passages meet."""
+    new = np.concatenate([[True], cand_pass[1:] != cand_pass[:-1]])
+    place = np.cumsum(new) - 1
+    cuts = np.searchsorted(place, np.arange(0, place[-1] + PASSAGES + 1, PASSAGES))
+    return (slice(a, z) for a, z in zip(cuts, cuts[1:]) if a < z)
+
+
+def _full_scores(index: Index, passage, term, cand_pass, cand_block) -> list[tuple[int, int, float]]:
+    """(passage, item, score) at the threshold or above, among the items of
+    the candidate blocks; ``passage`` and ``term`` are sorted pairs."""
+    own = np.unique(cand_pass)
+    a, z = np.searchsorted(passage, [own[0], own[-1] + 1])
+    row = np.searchsorted(own, passage[a:z])
+    keep = own[np.minimum(row, len(own) - 1)] == passage[a:z]
+    local, col = np.unique(term[a:z][keep], return_inverse=True)
+    has = np.zeros((len(own), len(local)), np.float32)
+    has[row[keep], col] = 1
+    out = []
+    order = np.argsort(cand_block, kind="stable")
+    blocks_, cut = np.unique(cand_block[order], return_index=True)
+    for b, of in zip(blocks_.tolist(), np.split(np.searchsorted(own, cand_pass[order]), cut[1:])):
+        at = np.minimum(np.searchsorted(local, index.block_terms[b]), len(local) - 1)
+        there = local[at] == index.block_terms[b]
+        score = has[np.ix_(of, at[there])] @ index.impacts[b][there]
+        for p, i in np.argwhere(score >= THRESHOLD - 1e-4):
+            # in full precision
+            exact = float(has[of[p], at[there]].astype(np.float64) @ index.impacts[b][there, i].astype(np.float64))
+            if exact >= THRESHOLD - 1e-6:
+                out.append((int(own[of[p]]), b * ITEMS_PER_BLOCK + int(i), exact))
+    return out
+
+
 def _share(grams: np.ndarray, words: np.ndarray) -> float:
     if not len(grams):
         return 1.0
