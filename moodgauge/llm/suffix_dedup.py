@@ -119,15 +119,18 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         texts = texts.select(F.col("id").alias("i"), F.col("tkey").alias("t"))
         met = windows_at(src.join(texts, F.col("tkey").eqNullSafe(F.col("t")) & F.col("id").eqNullSafe(F.col("i")),
                                   "left_semi"), grams)
-    flat = written(met.select("id", "tkey", F.posexplode("wins").alias("j", "win"), "start")
-                   .select("id", "tkey", (F.col("start") + F.col("j")).cast("int").alias("start"), "win"), "windows")
+    # read twice rather than written: the windows are several times the hashes
+    flat = (met.select("id", "tkey", F.posexplode("wins").alias("j", "win"), "start")
+            .select("id", "tkey", (F.col("start") + F.col("j")).cast("int").alias("start"), "win"))
     low = F.coalesce("id", F.lit(-(1 << 63)))
     # equal rows have equal places and do not repeat each other
     place = F.xxhash64(low, "tkey", "start")
     twice = flat.groupBy("win").agg(
         F.min(low).alias("first_id"), F.min(place).alias("p0"), F.max(place).alias("p1")
     ).where("p0 < p1").select("win", "first_id")
-    return flat.join(twice, "win")
+    # written, so that both sides of the join are shuffled for it and a window
+    # that very many texts have is split over tasks
+    return flat.join(written(twice, "twice"), "win")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,26 +147,27 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ensure_checkpoint_dir(docs.sparkSession)
     hits = repeated_windows(docs, id_col, text_col)
     # all places of one text: bounded by the length of the text
-    own = hits.groupBy("id", "tkey").agg(
-        F.collect_set(F.struct("start", "win", (F.coalesce("id", F.lit(-(1 << 63))) == F.col("first_id")).alias("mine"))).alias("w"))
+    mine = F.coalesce("id", F.lit(-(1 << 63))) == F.col("first_id")
+    own = hits.groupBy("id", "tkey").agg(F.collect_set(F.when(mine, F.struct("start", "win"))).alias("mine"),
+                                         F.collect_set(F.when(~mine, F.col("start"))).alias("other"))
     ship_package(docs.sparkSession)
 
     spans = "array<struct<lo:long,hi:long>>"
 
     def run(batch: pa.RecordBatch):
         found, cut = [], []
-        for places in batch.column("w"):
-            places = places.values
-            start, win, mine = (places.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        for mine, other in zip(batch.column("mine"), batch.column("other")):
+            start, win = (mine.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
             order = np.argsort(start, kind="stable")
-            start, win, mine = start[order], win[order], mine[order]
+            start, win = start[order], win[order]
+            other = other.values.to_numpy(zero_copy_only=False)
             leftmost = np.zeros(len(win), bool)
             leftmost[np.unique(win, return_index=True)[1]] = True
-            size = int(start[-1]) + WORDS
-            found.append(_runs(_covered(start, size)))
+            size = int(max([*start[-1:], other.max(initial=0)])) + WORDS
+            found.append(_runs(_covered(start, size) | _covered(other, size)))
             # words of a first occurrence stay, also where it overlaps itself
-            stay = _covered(start[mine & leftmost], size)
-            cut.append(_runs(_covered(start[~mine], size) | (_covered(start[mine & ~leftmost], size) & ~stay)))
+            stay = _covered(start[leftmost], size)
+            cut.append(_runs(_covered(other, size) | (_covered(start[~leftmost], size) & ~stay)))
         yield {"id": batch.column("id"), "tkey": batch.column("tkey"), "passages": found, "cut": cut}
 
     out = map_arrow(own, run, f"id long, tkey long, passages {spans}, cut {spans}")
