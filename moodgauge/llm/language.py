@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodgauge.llm.common import map_arrow
+from moodgauge.llm.common import checked_small, map_arrow
 from moodgauge.session import ensure_checkpoint_dir
 
 # bounds of what is learned: texts per language, and words of them
@@ -135,11 +135,16 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -
     TEXTS_PER_LANGUAGE texts whose id hashes lowest, and of those the
     WORDS_PER_LANGUAGE words that most texts have."""
     text = F.col(text_col).cast("string")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text"), "id"))
-    # only the lowest ranks of each input partition are shuffled
-    sample = (docs.select(F.col(id_col).alias("id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
-              .where("lang is not null and text is not null").withColumn("r", rank)
-              .where(F.col("r") <= TEXTS_PER_LANGUAGE).select("lang", "text"))
+    known = (docs.select(F.col(id_col).alias("id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
+             .where("lang is not null and text is not null"))
+    # by count and hash first, so that few rows more than needed are ranked,
+    # however many texts and input partitions a language has
+    seen = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    place = F.pmod(place, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = known.join(checked_small(seen, 10_000), "lang").where(place * F.col("n") < 4.0 * TEXTS_PER_LANGUAGE)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, F.xxhash64("text"), "id"))
+    sample = near.withColumn("r", rank).where(F.col("r") <= TEXTS_PER_LANGUAGE).select("lang", "text")
 
     def run(batch: pa.RecordBatch):
         for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
