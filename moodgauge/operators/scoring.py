@@ -5,7 +5,8 @@ hash-joined with the size-checked, broadcast lexicon; the sums are a partial
 aggregate per document.
 
 H2 model scoring runs a pluggable scorer in ``mapInPandas`` over Arrow
-batches; the scorer is built once per Python worker.
+batches; the scorer is built once per Python worker. A linear bag of words
+needs no plug-in: its weight table, of any size, is joined with the tokens.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import word_tokens
+from ..functions.text import strip, word_tokens
 from ..session import MAX_BROADCAST_ROWS, checked_broadcast, ship_package
 
 # Fixed values (rule constants from Hutto & Gilbert, ICWSM 2014):
@@ -177,52 +178,68 @@ class HashedBagScorer:
 
 
 def fit_bag_weights(docs: DataFrame, label_col: str, text_col: str = "text",
-                    max_words: int = 5_000) -> DataFrame:
+                    max_words: int | None = None) -> DataFrame:
     """Weights ``(word, pos, neg, neu)`` of a linear bag-of-words model: the
     log of the smoothed share of each class's texts that have the word.
 
     ``label_col`` holds ``positive``, ``negative`` or ``neutral``; other rows
-    are left out. Counts are over all labelled texts; the ``max_words`` words
-    that most of them have (ties by word) make the model."""
+    are left out. Counts are over all labelled texts and every word of theirs
+    has a weight, unless ``max_words`` asks for the words that most texts
+    have (ties by word) alone."""
     classes = {"pos": "positive", "neg": "negative", "neu": "neutral"}
     known = docs.where(F.col(label_col).isin(*classes.values()))
     toks = known.select(F.col(label_col).alias("c"), F.explode(F.array_distinct(word_tokens(text_col))).alias("word"))
     words = toks.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[
         F.count(F.when(F.col("c") == c, F.lit(1))).alias(k) for k, c in classes.items()])
     total = known.agg(*[F.count(F.when(F.col(label_col) == c, F.lit(1))).alias(f"n_{k}") for k, c in classes.items()])
-    top = words.orderBy(F.col("n").desc(), "word").limit(max_words)
-    return top.join(F.broadcast(total)).select("word", *[       # one row of totals
+    if max_words is not None:
+        words = words.orderBy(F.col("n").desc(), "word").limit(max_words)
+    return words.join(F.broadcast(total)).select("word", *[       # one row of totals
         F.log((F.col(k) + 1) / (F.col(f"n_{k}") + 2)).alias(k) for k in classes])
 
 
-class LinearBagScorer:
-    """Linear bag-of-words scorer: the logits of a text are the mean weights
-    of its tokens (letter/digit runs, lower-cased) that are in the table
-    ``{word: (positive, negative, neutral)}``; without one they are equal."""
+# copies of a weight table that is joined through a shuffle: the tokens of a
+# very common word go to so many tasks
+WORD_COPIES = 32
 
-    def __init__(self, weights: dict[str, tuple[float, float, float]]):
-        import re
-        self.find = re.compile(r"[^\W_]+").findall
-        self.place = {w: i for i, w in enumerate(weights)}
-        self.weights = np.array(list(weights.values()), float).reshape(-1, 3)
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 3))
-        for i, t in enumerate(texts):
-            at = [p for p in map(self.place.get, self.find(t.lower())) if p is not None]
-            if at:
-                out[i] = self.weights[at].mean(axis=0)
-        return out
 
+def bag_score(docs: DataFrame, weights: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+              keep: list[str] | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """H2 with a linear bag-of-words model: the logits of a text are the mean
+    weights ``(word, pos, neg, neu)`` of its tokens (letter/digit runs,
+    lower-cased) that are in the table; without one they are equal. Blank
+    texts and the output are as in ``model_score``.
 
-def linear_bag_factory(weights: DataFrame) -> Callable:
-    """Factory for ``model_score`` from a weight table of checked size (it
-    travels with the tasks)."""
-    small, n = checked_broadcast(weights)
-    if small is None:
-        raise ValueError(f"{n} words are too many for a scorer that travels with the tasks")
-    table = {r["word"]: (r["pos"], r["neg"], r["neu"]) for r in weights.orderBy("word").collect()}
-    return lambda: LinearBagScorer(table)
+    Plan: a table of checked size is broadcast and looked up, so the sums are
+    a partial aggregate per row before the only shuffle. A larger one meets
+    the distinct tokens of each row, counted, in a shuffle join in which a
+    common word is dealt to ``WORD_COPIES`` tasks."""
+    keep = list(keep or [])
+    w = weights.select(F.col("word").alias("__word"), *[F.col(k).alias(f"__{k}") for k in ("pos", "neg", "neu")])
+    small, _ = checked_broadcast(w, max_broadcast_rows)
+    # sums are per row, so rows that repeat an id are answered each
+    cols = list(dict.fromkeys([id_col, *keep]))
+    own = ["__row", "__blank", *[f"__own{i}" for i in range(len(cols))]]
+    blank = strip(F.coalesce(F.col(text_col), F.lit(""))) == ""
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), blank.alias("__blank"),
+                       *[F.col(f"`{c}`").alias(f"__own{i}") for i, c in enumerate(cols)],
+                       word_tokens(text_col).alias("toks"))
+    toks = rows.select(*own, F.explode_outer("toks").alias("__word"))
+    if small is not None:
+        hit = toks.withColumn("n", F.lit(1)).join(small, "__word", "left")
+    else:
+        copies = w.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(WORD_COPIES - 1))))
+        toks = toks.groupBy(*own, "__word").agg(F.count(F.lit(1)).alias("n"))
+        hit = toks.withColumn("__copy", F.pmod(F.xxhash64("__row"), F.lit(WORD_COPIES)).cast("int")).join(
+            copies, ["__word", "__copy"], "left")
+    n = F.sum(F.when(F.col("__pos").isNotNull(), F.col("n")))
+    sums = hit.groupBy(*own).agg(*[
+        F.coalesce(F.sum(F.col(f"__{k}") * F.col("n")) / n, F.lit(0.0)).alias(f"__{k}") for k in ("pos", "neg", "neu")])
+    p = softmax_scores(sums, "__pos", "__neg", "__neu", keep=own)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return p.select(*[F.col(f"__own{i}").alias(c) for i, c in enumerate(cols)], *[
+        F.when(F.col("__blank"), one if k == "neu" else zero).otherwise(F.col(k)).alias(k)
+        for k in ("neg", "neu", "pos", "compound")])
 
 
 _SCORERS: dict = {}

@@ -426,8 +426,10 @@ def q_model_score(spark, sf_dir):
     kind = (F.when(F.col("toxic") == 1, F.lit("negative")).when(F.col("quality") == 1, F.lit("positive"))
              .otherwise(F.lit("neutral")))
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", kind.alias("kind")), "doc_id")
-    factory = scoring.linear_bag_factory(scoring.fit_bag_weights(labelled, "kind", max_words=2_000))
-    return normalize(scoring.model_score(docs, "text", "doc_id", scorer_factory=factory))
+    # fitted once; as many words as in the query's SQL
+    path = scratch_path(spark, f"weights-{uuid.uuid4().hex}")
+    scoring.fit_bag_weights(labelled, "kind", max_words=2_000).write.parquet(path)
+    return normalize(scoring.bag_score(docs, spark.read.parquet(path), "text", "doc_id"))
 
 
 # --------------------------------------------------------------------------

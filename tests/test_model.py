@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from moodgauge.operators import model
+from moodgauge.operators import model, scoring
 
 
 def _data(spark):
@@ -46,3 +46,38 @@ def test_time_split_no_overlap(spark):
     te = s.where("split = 'test'").agg(F.min("date")).first()[0]
     assert tr < te
     assert s.where("split = 'train'").select("date").distinct().count() == 24
+
+
+def _bag_brute(texts, labelled):
+    import math
+    import re
+    find = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    classes = ("positive", "negative", "neutral")
+    total = [sum(k == c for _, k in labelled) for c in classes]
+    words = {w for t, _ in labelled for w in find(t)}
+    weight = {w: [math.log((sum(k == c and w in find(t) for t, k in labelled) + 1) / (n + 2))
+                  for c, n in zip(classes, total)] for w in words}
+    out = []
+    for t in texts:
+        at = [weight[w] for w in find(t) if w in weight]
+        z = [math.exp(sum(x) / len(x)) for x in zip(*at)] if at else [1.0] * 3
+        p, g, u = (0, 0, 1) if not (t or "").strip() else [x / sum(z) for x in z]
+        out.append((round(p, 9), round(g, 9), round(u, 9)))
+    return out
+
+
+def test_every_word_of_the_labelled_texts_weighs(spark):
+    labelled = [(f"common{j} words of text {i}", ("positive", "neutral")[i % 2]) for i in range(30) for j in range(4)]
+    labelled += [(f"zzrare{i} slur", "negative") for i in range(6_000)]      # more words than any fixed table
+    known = spark.createDataFrame(labelled, "text string, kind string")
+    weights = scoring.fit_bag_weights(known, "kind")
+    assert weights.where("word = 'zzrare5999'").count() == 1
+    assert weights.count() == 6_000 + 1 + 4 + 3 + 30
+    small = labelled[:80] + [("zzrare7 slur slur", "negative")]
+    texts = ["zzrare7 here", "words of zzrare7 slur slur", "", None, "\t \n", "unknown", "common1 common1 TEXT", "unknown"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string").repartition(3)
+    weights = scoring.fit_bag_weights(spark.createDataFrame(small, "text string, kind string"), "kind")
+    want = sorted(zip([*range(len(texts)), 0], _bag_brute(texts + texts[:1], small)))
+    for ceiling in (100_000, 3):        # broadcast, shuffle
+        got = scoring.bag_score(docs, weights, max_broadcast_rows=ceiling).collect()
+        assert sorted((r["doc_id"], (round(r["pos"], 9), round(r["neg"], 9), round(r["neu"], 9))) for r in got) == want
