@@ -89,8 +89,8 @@ def _set_blocks(texts):
 
 def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Full shingle sets (cid, n, sig, members) of the classes in ``wanted``
-    (cid, k1, k2, sig), from a second scan of the texts."""
-    keys = checked_small(wanted.select(F.col("cid").alias("id")), 2_000_000)
+    (cid, low, k1, k2, sig), from a second scan of the texts."""
+    keys = checked_small(wanted.select(F.col("low").alias("id")).distinct(), 2_000_000)
     src = docs.select(F.col(id_col).cast("long").alias("id"),
                       F.col(text_col).cast("string").alias("text")).join(keys, "id", "left_semi")
 
@@ -98,12 +98,12 @@ def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_
         ids = batch.column("id")
         for b, values, counts, k1, k2 in _set_blocks(batch.column("text")):
             at = np.concatenate([[0], np.cumsum(counts)])
-            yield {"cid": ids.slice(b.first, b.n_texts), "k1": k1, "k2": k2,
+            yield {"low": ids.slice(b.first, b.n_texts), "k1": k1, "k2": k2,
                    "members": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))}
 
-    sets = map_arrow(src, run, "cid long, k1 long, k2 long, members array<long>")
+    sets = map_arrow(src, run, "low long, k1 long, k2 long, members array<long>")
     # an id may be repeated with another text or in a row equal to this one
-    return (sets.join(wanted, ["cid", "k1", "k2"]).groupBy("cid")
+    return (sets.join(wanted, ["low", "k1", "k2"]).groupBy("cid")
             .agg(F.first("sig").alias("sig"), F.first("members").alias("members"))
             .withColumn("n", F.size("members").cast("long")))
 
@@ -254,10 +254,42 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([o[0] for o in out], pa.int64()), "v": pa.array([o[1] for o in out], pa.int64())})
 
 
+def _near(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, n_shingles, k1, k2, class_id, component_id
+    and kept.
+
+    The nodes of the links are classes, numbered here; ids do not name them,
+    as one id may be the smallest of several classes."""
+    sk = written(sketch(docs, id_col, text_col), "sketch")
+    # copies collapse first: one row per shingle set goes into the join
+    classes = written(sk.where("id is not null and k1 is not null").groupBy("k1", "k2", "n_shingles", "sig")
+                      .agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+                      .withColumn("cid", F.monotonically_increasing_id()), "classes")
+    post = written(postings(classes), "postings")
+    wanted = classes.join(post.select("cid").distinct(), "cid", "left_semi").select("cid", "low", "k1", "k2", "sig")
+    sets = written(class_sets(docs, written(wanted, "wanted"), id_col, text_col), "sets")
+    comp = components(links(sets, post))
+    own = classes.select("k1", "k2", "low", "cid", "copies").join(comp, F.col("cid") == F.col("node"), "left")
+    own = written(own.where("copies > 1 or component is not null")
+                  .select("k1", "k2", "low", F.col("component").alias("root")), "own")
+    # of a component the smallest (id, shingle set) stands for it
+    tops = own.where("root is not null").groupBy("root").agg(F.min(F.struct("low", "k1", "k2")).alias("top"))
+    tops = checked_small(written(tops, "tops"), 2_000_000)
+    # only classes with copies or links need an answer of their own
+    named = own.join(tops, "root", "left").select(
+        "k1", "k2", "low", F.coalesce(F.col("top"), F.struct("low", "k1", "k2")).alias("top"))
+    out = sk.select("id", "n_shingles", "k1", "k2").join(written(named, "named"), ["k1", "k2"], "left")
+    given = F.col("id").isNotNull()
+    stays = ~given | F.col("top").isNull() | (F.struct(F.col("id").alias("low"), "k1", "k2") == F.col("top"))
+    return out.select("id", "n_shingles", "k1", "k2", F.when(given, F.coalesce("low", "id")).alias("class_id"),
+                      F.when(given, F.coalesce("top.low", "id")).alias("component_id"), stays.alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, class_id (smallest id with the
     same shingle set), component_id (smallest id reachable over links) and
-    kept (id = component_id).
+    kept (id = component_id; if that id has several shingle sets in the
+    component, the one with the smallest key).
 
     Words are lower-cased (A-Z) runs of non-separators; a text of one to four
     words is one shingle; null texts and texts without words have no shingle
@@ -265,39 +297,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have null class and component and are kept. Rows that repeat an id are
     answered each by its own text. Other columns are not read."""
     ensure_checkpoint_dir(docs.sparkSession)
-    sk = written(sketch(docs, id_col, text_col), "sketch")
-    # copies collapse first: one row per shingle set goes into the join
-    classes = written(sk.where("id is not null and k1 is not null").groupBy("k1", "k2", "n_shingles", "sig")
-                      .agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes")
-    post = written(postings(classes), "postings")
-    wanted = classes.join(post.select("cid").distinct(), "cid", "left_semi").select("cid", "k1", "k2", "sig")
-    sets = written(class_sets(docs, written(wanted, "wanted"), id_col, text_col), "sets")
-    comp = components(links(sets, post))
-    # only classes with copies or links need an answer of their own
-    named = (classes.select("k1", "k2", "cid", "copies").join(comp, F.col("cid") == F.col("node"), "left")
-             .where("copies > 1 or component is not null")
-             .select("k1", "k2", "cid", F.coalesce("component", "cid").alias("component")))
-    out = sk.select("id", "n_shingles", "k1", "k2").join(written(named, "named"), ["k1", "k2"], "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("cid", "id"))
-    root = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("class_id"), root.alias("component_id"),
-                      F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+    return _near(docs, id_col, text_col).select(
+        F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are not the smallest id of their
-    component; all columns as they are. Of rows that repeat a kept id, one
-    stays (the one whose row hash is smallest); rows without an id all stay."""
-    near = written(near_duplicates(docs, id_col, text_col), "near")
-    idc = F.col(id_col).cast("long")
-    gone = near.where("not kept").select(F.col(id_col).alias("__gone"))
-    again = written(near.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again"))
-                    .agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again"), "again")
-    left = docs.join(checked_small(gone.distinct(), 2_000_000), idc == F.col("__gone"), "left_anti")
+    """``docs`` with one row of every component, that of the smallest id; all
+    columns as they are. Rows that repeat an id are decided each by its own
+    text; of those with the same shingle set one stays (the one whose row
+    hash is smallest). Of equal rows without a shingle one stays. Rows
+    without an id all stay."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    near = written(_near(docs, id_col, text_col), "near")
+    idc = F.col(f"`{id_col}`").cast("long")
+    again = written(near.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select(F.col("id").alias("__again")), "again")
+    gone = near.where("not kept").select(F.col("id").alias("__gone")).distinct()
     if not again.limit(1).count():
-        return left
-    once = left.join(again, idc == F.col("__again"), "left_anti")
-    rep = left.join(again, idc == F.col("__again"), "left_semi")
-    rep = rep.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionAll(rep.groupBy(idc.alias("__id")).agg(F.min_by(row, "__h").alias("__row")).select("__row.*"))
+        return docs.join(checked_small(gone, 2_000_000), idc == F.col("__gone"), "left_anti")
+    again = checked_small(again, 2_000_000)
+    gone = gone.join(again, F.col("__gone") == F.col("__again"), "left_anti")
+    once = docs.join(again, idc == F.col("__again"), "left_anti")
+    once = once.join(checked_small(gone, 2_000_000), idc == F.col("__gone"), "left_anti")
+    # a null changes no hash, so its place goes in as well
+    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    row = ["id", "h1", "h2"]
+    rep = docs.join(again, idc == F.col("__again"), "left_semi").select(
+        idc.alias("id"), F.xxhash64(*cells).alias("h1"), F.xxhash64(F.lit(1), *cells).alias("h2"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rep = written(rep.groupBy(*row).agg(F.first("row").alias("row")), "repeated")
+    keyed = written(_row_keys(rep.select(*row, F.col(f"row.`{text_col}`").cast("string").alias("text"))), "keyed")
+    kept = near.where("kept and k1 is not null").join(again, F.col("id") == F.col("__again"), "left_semi")
+    pick = keyed.where("k1 is not null").groupBy("id", "k1", "k2").agg(F.min(F.struct("h1", "h2")).alias("h"))
+    pick = pick.join(kept.select("id", "k1", "k2").distinct(), ["id", "k1", "k2"], "left_semi")
+    pick = pick.select("id", "h.h1", "h.h2").unionAll(keyed.where("k1 is null").select(*row))
+    return once.unionAll(rep.join(pick, row, "left_semi").select("row.*"))
+
+
+def _row_keys(rows: DataFrame) -> DataFrame:
+    """(id, h1, h2, k1, k2) of rows (id, h1, h2, text)."""
+    def run(batch: pa.RecordBatch):
+        for b, _, counts, k1, k2 in _set_blocks(batch.column("text")):
+            own = {c: batch.column(c).slice(b.first, b.n_texts) for c in ("id", "h1", "h2")}
+            yield {**own, "k1": pa.array(k1, mask=counts == 0), "k2": pa.array(k2, mask=counts == 0)}
+
+    return map_arrow(rows, run, "id long, h1 long, h2 long, k1 long, k2 long")

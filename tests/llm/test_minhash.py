@@ -99,3 +99,23 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "u long, v long"))
     assert {r.node: r.component for r in got.collect()} == want
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    b1, c1 = b + " tail", c + " tail"
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, b, "x"),     # 1 has the first a, 2 the first b
+            (3, c, "x"), (4, c1, "x"), (2, b1, "y"),                # b1 ~ b under one id, c1 ~ c
+            (3, d, "x"), (3, d, "x"), (3, None, "x"), (3, None, "x"), (3, None, None), (3, "", "x")]
+    rows += [(7, prose(rng, 60), "z") for _ in range(40)]           # one id, forty texts
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(4)
+    near = {(r.doc_id, r.class_id, r.component_id, r.kept) for r in minhash.near_duplicates(df.where("text != ''")).collect()}
+    assert {(1, 1, 1, True), (2, 1, 1, False), (2, 2, 2, True), (2, 2, 2, False), (3, 2, 2, False),
+            (3, 3, 3, True), (4, 4, 3, False)} <= near
+    got = [tuple(r) for r in minhash.keep_one(df).collect()]
+    assert len(got) == len(set(got))
+    by_b = [r for r in got if r[1] in (b, b1)]
+    assert len(by_b) == 1 and by_b[0][0] == 2                       # one of the two texts stays
+    assert set(got) - set(by_b) == {(1, a, "x"), (3, c, "x"), (3, d, "x"), (3, None, "x"), (3, None, None), (3, "", "x"),
+                                    *[r for r in rows if r[0] == 7]}
