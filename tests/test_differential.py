@@ -235,3 +235,25 @@ def test_tokenisers_equal_python_on_every_bmp_char_the_jvm_knows(spark):
     sy = {r["id"]: r["words"] for r in consensus.extract_symbols(df, k=6).collect()}
     assert [r[0] for r in rows if kw[r[0]] != _py_keywords(r[1], 15)] == []
     assert [r[0] for r in rows if sy[r[0]] != _py_symbols(r[1], "NVDA", 6)] == []
+
+
+def test_terms_past_the_byte_ceiling(spark, monkeypatch):
+    monkeypatch.setattr(match.checked_broadcast, "__defaults__", (match.MAX_BROADCAST_ROWS, 2_000))
+    long = "long term " * 400
+    words = [f"word{i}" for i in range(300)] + ["ai", "$", "word1 word2", long.strip(), "x" * 3_000]
+    terms = spark.createDataFrame([("one", i, w) for i, w in enumerate(words)] + [("two", 0, "word7"), ("empty", 0, "")],
+                                  "entity string, ord int, term string")
+    texts = ["said Word7 and word1 word2", long + "WORD299", "nothing", None, "a two $", "word30", "word30", "\nTwoİai"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    want = []
+    for i, t in enumerate(texts):
+        low = (t or "").strip().translate({0x130: "i"}).lower()
+        for e, kw in (("one", words), ("two", ["word7"]), ("empty", [])):
+            hits = [(low.find(w), n, len(w)) for n, w in enumerate([e, "$" + e, *kw]) if w in low]
+            if hits:
+                at, _, size = min(hits)
+                want.append((i, e, (t or "").strip()[at:at + size]))
+    assert len(want) > 8
+    for method in ("grams", "theta", "regex"):
+        got = match.match_entities(docs, terms, method=method).select("doc_id", "entity", "matched_term").collect()
+        assert sorted(tuple(r) for r in got) == sorted(want), method
