@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodgauge.llm import (decontaminate, language, minhash, quality, sentencepiece_codec, sharding,
-                           suffix_dedup, token_counts, url_filter, warc)
+from moodgauge.llm import (alignment, decontaminate, language, minhash, preference, quality, sentencepiece_codec,
+                           sharding, suffix_dedup, token_counts, url_filter, vector_codes, warc)
 from moodgauge.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -97,3 +98,27 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labelled = shown.join(read_table(spark, sf_dir, "labels"), "doc_id").select("url", bad.cast("int").alias("label"))
     return url_filter.judge(pages, url_filter.UrlModel(labelled))
+
+
+@query("op11_quality_ranking")
+def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    out = preference.rank_quality(docs, labels.where(~held))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op12_vector_codes")
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def byte_model() -> str:
+    """Place of the public byte-level tokenizer's file on the driver."""
+    import public_tokenizers
+    return public_tokenizers.path(BYTE_MODEL)
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_links(read_table(spark, sf_dir, "documents"), byte_model(), piece_model())

@@ -30,3 +30,43 @@ f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept, fail_bits FROM f
 """
+
+
+def _assigned(name: str, books: str) -> str:
+    """Nearest entry of every part, by trying all: (rid, part, p, idx, d)."""
+    return f"""{name} AS (
+  SELECT rid, part, any_value(p) AS p, min(struct_pack(d := d, idx := idx)) AS best FROM (
+    SELECT parts.rid, parts.part, parts.p, b.idx,
+           list_sum(list_transform(list_zip(parts.p, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d
+    FROM parts JOIN {books} b USING (part)) GROUP BY rid, part)"""
+
+
+def _moved(name: str, assigned: str, books: str) -> str:
+    """Entries replaced by the floor means of their parts."""
+    return f"""{name} AS (
+  SELECT b.part, b.idx, coalesce(m.e, b.e) AS e FROM {books} b LEFT JOIN (
+    SELECT part, idx, list(c ORDER BY pos) AS e FROM (
+      SELECT part, best.idx AS idx, pos, floor(sum(p[pos]) / count(*))::BIGINT AS c
+      FROM {assigned}, (SELECT unnest(range(1, len(p) + 1)) AS pos FROM (SELECT p FROM parts LIMIT 1))
+      GROUP BY part, best.idx, pos) GROUP BY part, idx) m USING (part, idx))"""
+
+
+ORACLE["op12_vector_codes"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT rid, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS p
+  FROM kept, (SELECT unnest(range(0, 16)) AS part)),
+b0 AS (SELECT part, rid AS idx, p AS e FROM parts WHERE rid < 64),
+{_assigned("a0", "b0")}, {_moved("b1", "a0", "b0")},
+{_assigned("a1", "b1")}, {_moved("b2", "a1", "b1")},
+{_assigned("a2", "b2")},
+codes AS (
+  SELECT rid, string_agg(printf('%02x', best.idx), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, idx)) FROM b2) AS codebooks_sha256
+FROM kept JOIN codes USING (rid)
+"""

@@ -35,16 +35,18 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([(i, f"http://h{i % 3}.example.org/en/{i}", t) for i, t in rows],
                           "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(i, [rng.random() for _ in range(64)], i % 3) for i in range(90)],
+                          "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d, dict(rows), shared
 
 
 def test_one_query_for_each_operator():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries()
 
 
-@pytest.mark.parametrize("name", ["op8_quality_rules"])
+@pytest.mark.parametrize("name", ["op8_quality_rules", "op12_vector_codes"])
 def test_parity(spark, name):
     a, b = compare(spark, duck(SF), name, E.queries()[name], E.oracle_sql()[name], SF)
     assert a == b
@@ -58,6 +60,8 @@ COLUMNS = {
     "op7_sentencepiece_codec": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op8_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op10_minhash_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
+    "op11_quality_ranking": ["doc_id", "held_out", "score", "predicted"],
+    "op13_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
@@ -123,7 +127,7 @@ def test_pipeline_stages(spark, tables, tmp_path):
 
 def test_empty_tables(spark, tables, tmp_path):
     d, _, _ = tables
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         spark.read.parquet(f"{d}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     for name, fn in E.queries().items():
         if name.startswith("op") or name == "pipeline":
