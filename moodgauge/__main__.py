@@ -5,7 +5,7 @@ the surveyed project).
     python -m moodgauge consensus-terms --responses R --out peers.json --k 6 --kind peers
     python -m moodgauge social-posts --pages P --terms keywords.json --out matched
     python -m moodgauge score-posts --in matched --out scored --lexicon lexicon.csv
-    python -m moodgauge score-news --raw-dir raw/news --out news_scored
+    python -m moodgauge score-news --raw-dir raw/news --weights weights.parquet --out news_scored
     python -m moodgauge report --scored scored --out reports/vader --group match_term
     python -m moodgauge labels --prices px.json --ticker NVDA --out labels
     python -m moodgauge merge --social S --news N --labels L --out merged
@@ -61,6 +61,7 @@ def main(argv: list[str] | None = None) -> None:
 
     sn = sub.add_parser("score-news")
     sn.add_argument("--raw-dir", required=True)
+    sn.add_argument("--weights", required=True, help="Parquet table of word, pos, neg, neu")
     sn.add_argument("--out", required=True)
 
     r = sub.add_parser("report")
@@ -101,7 +102,8 @@ def main(argv: list[str] | None = None) -> None:
         result["rows"] = jobs.score_posts_job(spark, a.inp, a.out, _lexicon(spark, a.lexicon),
                                               session=a.session, overwrite=a.overwrite)
     elif a.cmd == "score-news":
-        result["rows"] = jobs.score_news_job(spark, a.raw_dir, a.out, overwrite=a.overwrite)
+        result["rows"] = jobs.score_news_job(spark, a.raw_dir, a.out, weights=spark.read.parquet(a.weights),
+                                             overwrite=a.overwrite)
     elif a.cmd == "report":
         jobs.report_job(spark, a.scored, a.out, a.date_col, a.score_col, a.group, rows=a.rows,
                         overwrite=a.overwrite)

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 # The whitespace set of Python's ``str.isspace`` written as a
 # Java regex class, plus NUL (which the cleaner maps to a space first).
 # Java's own (?U)\s misses \x1c-\x1f, so the class is spelled out.
-WHITESPACE_RUN = "[\\x00\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+"
+WHITESPACE = "\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}"
+WHITESPACE_RUN = f"[\\x00{WHITESPACE}]+"
 # The same class without NUL, at either end of a string.
-STRIP_ENDS = "^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+\\z"
+STRIP_ENDS = f"^[{WHITESPACE}]+|[{WHITESPACE}]+\\z"
 
 # Words never accepted as keywords.
 BANNED_KEYWORDS = ["stock", "price", "market", "trading", "investing",
@@ -29,8 +30,11 @@ def _c(x) -> Column:
 
 
 def strip(col) -> Column:
-    """All white space off both ends, as Python's ``str.strip``."""
-    return F.regexp_replace(_c(col), STRIP_ENDS, "")
+    """All white space off both ends, as Python's ``str.strip``. Texts whose
+    first and last character are none are taken as they are."""
+    c = _c(col)
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(f"[{WHITESPACE}]"), F.regexp_replace(c, STRIP_ENDS, "")).otherwise(c)
 
 
 def clean_text(col) -> Column:

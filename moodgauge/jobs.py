@@ -108,12 +108,18 @@ def score_posts_job(spark: SparkSession, in_path: str, out_path: str, lexicon,
 
 
 def score_news_job(spark: SparkSession, raw_dir: str, out_path: str,
-                   scorer_factory: Callable | None = None,
+                   scorer_factory: Callable | None = None, weights: DataFrame | None = None,
                    glob: str = "yahoo_news_*.jsonl", overwrite: bool = False) -> int:
     """Newest raw news snapshot -> scored rows: ticker (or symbol)
     normalised, stable id from the first link present (or title|summary),
     text = title + summary (or description) + text merged. An article listed
-    under several tickers is scored once."""
+    under several tickers is scored once.
+
+    The model is a plug-in (``scorer_factory``) or the weight table of a
+    linear bag of words (``weights``: word, pos, neg, neu); one of them must
+    be given."""
+    if (scorer_factory is None) == (weights is None):
+        raise ValueError("give either a scorer or a weight table")
     raw = src.latest_snapshot(spark, raw_dir, glob, schemas.NEWS_RAW)
     ticker = norm_ticker(first_nonempty("ticker", "symbol"))
     link = first_nonempty("link", "permalink", "url", "article_url")
@@ -122,9 +128,9 @@ def score_news_job(spark: SparkSession, raw_dir: str, out_path: str,
     rows = rows.select(
         row_id("yahoo", "permalink", "title", "summary", F.col("ticker")).alias("id"),
         "ticker", "date", "permalink", merge_text("title", "summary", "body").alias("text"))
-    kw = {} if scorer_factory is None else {"scorer_factory": scorer_factory}
     once = rows.select(F.col("text").alias("key"), "text").distinct()
-    sc = scoring.model_score(once, "text", "key", **kw)
+    sc = (scoring.bag_score(once, weights, "text", "key") if scorer_factory is None
+          else scoring.model_score(once, "text", "key", scorer_factory))
     scored = rows.join(sc, rows["text"] == sc["key"], "inner")
     return sinks.write_jsonl(posts.scored_view(scored), out_path, _mode(overwrite))
 

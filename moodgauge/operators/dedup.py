@@ -32,8 +32,13 @@ def topk_per_key(df: DataFrame, keys: list[str], order, n: int,
 
 
 def dedupe_first(df: DataFrame, key, order) -> DataFrame:
-    """Keep the first row per key in ``order``; null keys are dropped."""
+    """Keep the first row per key in ``order``; null keys are dropped.
+
+    A text as key is replaced by its SHA-256, 32 bytes for a text of any
+    length, so no text is shuffled unless the caller wants it back."""
     kc = F.col(key) if isinstance(key, str) else key
+    if df.select(kc.alias("k")).schema["k"].dataType.simpleString() == "string":
+        kc = F.unhex(F.sha2(kc, 256))
     tmp = df.withColumn("__key", kc).where(F.col("__key").isNotNull())
     return topk_per_key(tmp, ["__key"], order, 1).drop("__key")
 

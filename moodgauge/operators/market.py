@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import session_day
+from ..session import checked_broadcast, cut_lineage
 
 
 def ohlc_bars(ticks: DataFrame, entity: str = "ticker", ts: str = "ts",
@@ -62,23 +63,26 @@ def session_dates(df: DataFrame, bars: DataFrame, ts: str = "ts",
     """Adds ``session_day`` and ``trade_date`` (the first bar date at or
     after the session day for the row's entity; null past the last bar).
 
-    The as-of step runs on distinct (entity, session_day) keys unioned with
-    the bar calendar (both one row per entity and day): a running minimum
-    over the union, in reverse date order, gives each key its next bar date.
-    The small key -> trade_date table is then equi-joined back to the rows.
+    The as-of table has a row for every day from an entity's first bar to its
+    last, made from the bars alone; it is broadcast after a check. Days
+    before the first bar count to the first bar.
     """
     rows = df.withColumn("session_day", session_day(F.col(ts), zone, close_hour))
-    keys = rows.select(F.col(entity).alias("ticker"), F.col("session_day").alias("d")).distinct()
-    cal = bars.select("ticker", F.col("date").alias("d")).distinct()
-    u = (keys.select("ticker", "d", F.lit(None).cast("date").alias("bar"))
-         .unionByName(cal.select("ticker", "d", F.col("d").alias("bar"))))
-    w = (Window.partitionBy("ticker").orderBy(F.col("d").desc(), F.col("bar").asc_nulls_last())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    asof = (u.withColumn("trade_date", F.min("bar").over(w))
-             .where(F.col("bar").isNull())
-             .select(F.col("ticker").alias(entity), F.col("d").alias("session_day"),
-                     "trade_date"))
-    return rows.join(asof, [entity, "session_day"], "left")
+    cal = bars.select(F.col("ticker").alias("__t"), F.col("date").alias("__bar")).distinct()
+    w = Window.partitionBy("__t").orderBy("__bar")
+    # the days after the bar before, up to this one
+    since = F.coalesce(F.date_add(F.lag("__bar").over(w), 1), F.col("__bar"))
+    asof = cut_lineage(cal.withColumn("__since", since).withColumn("__first", F.min("__bar").over(Window.partitionBy("__t")))
+                       .select("__t", "__bar", "__first", F.explode(F.sequence("__since", "__bar")).alias("__day")))
+    firsts = asof.select(F.col("__t").alias("__ft"), F.col("__first").alias("__fd")).distinct()
+    small, _ = checked_broadcast(asof.drop("__first"))
+    few, _ = checked_broadcast(firsts)
+    asof = small if small is not None else asof.drop("__first")
+    firsts = few if few is not None else firsts
+    j = rows.join(firsts, F.col(entity) == F.col("__ft"), "left")
+    j = j.join(asof, (F.col(entity) == F.col("__t")) & (F.col("session_day") == F.col("__day")), "left")
+    to = F.coalesce("__bar", F.when(F.col("session_day") < F.col("__fd"), F.col("__fd")))
+    return j.withColumn("trade_date", to).drop("__t", "__bar", "__day", "__ft", "__fd")
 
 
 def daily_spine(daily: DataFrame, key: str = "ticker", date_col: str = "date",

@@ -48,43 +48,73 @@ def prepare(df: DataFrame, date_col: str, score_col: str, id_col: str = "id",
 _SKETCH = 1_000
 
 
-def exact_quantiles(base: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Exact linear quantiles of ``score`` per key (keys must not be null):
-    ``keys`` and ``q``, an array in the order of ``probs``.
-
-    A fixed-size sketch brackets each quantile. In a second pass the rows
-    below a bracket collapse into one count and the values inside it into
-    counts per value, both before the shuffle, so a key with most of all rows
-    sends a few thousandths of them to the task that ranks."""
+def _sketch(base: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Written table, one row per key: ``qn`` (number of scores) and ``ends``,
+    the sketched bounds that hold each quantile of ``probs`` between them."""
     gap = 2.0 / _SKETCH
     ends = [max(p - gap, 0.0) for p in probs] + [min(p + gap, 1.0) for p in probs]
-    sketch = cut_lineage(base.groupBy(*keys).agg(
+    return cut_lineage(base.groupBy(*keys).agg(
         F.count("score").alias("qn"),
         F.percentile_approx("score", F.array(*[F.lit(e) for e in ends]), _SKETCH).alias("ends")))
+
+
+def _cells(base: DataFrame, sketch: DataFrame, keys: list[str], probs: list[float], fences: bool = False) -> DataFrame:
+    """Per key and quantile ``i``: ``v``, ``n`` for every value inside the
+    bracket, and one cell without a value for the rows below it.
+
+    With ``fences`` also what lies beyond the box's fences, as far as the
+    brackets tell: i = -1 below and i = -2 above, every value that may be
+    beyond, and one cell without a value for the others, of which ``lo`` and
+    ``hi`` are the extremes."""
     small, _ = checked_broadcast(sketch)
     rows = base.select(*keys, "score").join(small if small is not None else sketch, keys)
+    x, end, k = F.col("score"), F.col("ends"), len(probs)
     whole = F.col("qn") <= 10 * _SKETCH
-    cells = [F.when(whole | (F.col("score") <= F.col("ends")[i + len(probs)]), F.struct(
-        F.lit(i).alias("i"), F.when(whole | (F.col("score") >= F.col("ends")[i]), F.col("score")).alias("v")))
-        for i in range(len(probs))]
+    cells = [F.when(whole | (x <= end[i + k]), F.struct(
+        F.lit(i).alias("i"), F.when(whole | (x >= end[i]), x).alias("v"))) for i in range(k)]
+    if fences:      # the fences are 2.5 q1 - 1.5 q3 and 2.5 q3 - 1.5 q1
+        below = whole | (x <= 2.5 * end[k] - 1.5 * end[k - 1])
+        above = whole | (x >= 2.5 * end[k - 1] - 1.5 * end[k])
+        cells += [F.struct(F.lit(-1).alias("i"), F.when(below, x).alias("v")),
+                  F.struct(F.lit(-2).alias("i"), F.when(above, x).alias("v"))]
     cell = F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")
-    counts = rows.select(*keys, "qn", cell).groupBy(*keys, "qn", F.col("c.i").alias("i"), F.col("c.v").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"))
+    return rows.select(*keys, "qn", "score", cell).groupBy(*keys, "qn", F.col("c.i").alias("i"), F.col("c.v").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+
+
+def _ranked(cells: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """``keys`` and ``q``, the quantiles in the order of ``probs``, from
+    their cells."""
     # the rows below the bracket come first, as one null value
     upto = F.sum("n").over(Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()))
     p = F.element_at(F.array(*[F.lit(x) for x in probs]), F.col("i") + 1)
-    at = counts.withColumn("upto", upto).withColumn("pos", p * (F.col("qn") - 1))
+    at = cells.where("i >= 0").withColumn("upto", upto).withColumn("pos", p * (F.col("qn") - 1))
 
     def value(rank):
         return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
 
-    found = at.groupBy(*keys, "i").agg(value(F.floor("pos")).alias("lo"), value(F.ceil("pos")).alias("hi"),
+    found = at.groupBy(*keys, "i").agg(value(F.floor("pos")).alias("a"), value(F.ceil("pos")).alias("z"),
                                        F.first("pos").alias("pos"))
-    q = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))
+    missed = F.raise_error(F.lit("a quantile lies outside its sketched bracket")).cast("double")
+    q = F.when(F.col("a").isNull() | F.col("z").isNull(), missed).otherwise(
+        F.col("a") + (F.col("z") - F.col("a")) * (F.col("pos") - F.floor("pos")))
     return found.select(*keys, "i", q.alias("v")).groupBy(*keys).agg(
         F.array(*[F.max(F.when(F.col("i") == i, F.col("v"))) for i in range(len(probs))]).alias("q"))
 
 
+def exact_quantiles(base: DataFrame, keys: list[str], probs: list[float], sketch: DataFrame | None = None) -> DataFrame:
+    """Exact linear quantiles of ``score`` per key (keys must not be null):
+    ``keys`` and ``q``, an array in the order of ``probs``.
+
+    A fixed-size sketch brackets each quantile. In a second pass the rows
+    below a bracket collapse into one count and the values inside it into
+    counts per value, both before the shuffle, so a key with most of all rows
+    sends a few thousandths of them to the task that ranks. A quantile that
+    its bracket doesn't hold fails the job."""
+    sketch = _sketch(base, keys, probs) if sketch is None else sketch
+    return _ranked(_cells(base, sketch, keys, probs), keys, probs)
+
+
 def _stats():
     return [
         F.count("id").alias("n_posts"),
@@ -176,45 +206,79 @@ def recent_days(df: DataFrame, date_col: str, score_col: str, n: int = 14,
     """Rows of the last ``n`` distinct days that have data (per group).
 
     Days are ranked on the distinct (group, day) table, which holds one row
-    per group and day, and joined back; AQE broadcasts it when small.
+    per group and day; the days to keep, at most ``n`` rows per group, are
+    broadcast after a check, so the rows are not shuffled. Two reads.
     """
+    base, parts = _grouped(df, date_col, score_col, id_col, group)
+    keep = _last_days(base.select(*parts, "day").distinct(), parts, n)
+    small, _ = checked_broadcast(keep)
+    return base.join(small if small is not None else keep, parts + ["day"], "inner")
+
+
+def _grouped(df: DataFrame, date_col: str, score_col: str, id_col: str, group: str | None) -> tuple[DataFrame, list[str]]:
     base = prepare(df, date_col, score_col, id_col, group)
-    parts = ["grp"] if group else []
-    if group:
-        base = base.where(F.col("grp").isNotNull())
-    days = base.select(*parts, "day").distinct()
+    return (base.where(F.col("grp").isNotNull()), ["grp"]) if group else (base, [])
+
+
+def _last_days(days: DataFrame, parts: list[str], n: int) -> DataFrame:
     w = Window.partitionBy(*parts).orderBy(F.col("day").desc())
-    keep = days.withColumn("day_rank", F.dense_rank().over(w)).where(f"day_rank <= {n}")
-    return base.join(keep, parts + ["day"], "inner")
+    return days.withColumn("day_rank", F.dense_rank().over(w)).where(f"day_rank <= {n}")
 
 
-def _quartiles(base: DataFrame, parts: list[str], exact: bool = True) -> DataFrame:
-    keys, probs = [*parts, "day"], [0.25, 0.5, 0.75]
-    n = F.count("score").alias("n")
-    if exact:
-        qs = exact_quantiles(base, keys, probs).join(base.groupBy(*keys).agg(n), keys)
-    else:
-        sketch = F.percentile_approx("score", F.array(*[F.lit(p) for p in probs]), 10000)
-        qs = base.groupBy(*keys).agg(sketch.cast("array<double>").alias("q"), n)
-    return (qs.select(*parts, "day", "n", F.col("q")[0].alias("q1"),
-                    F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _boxes(q: DataFrame, keys: list[str]) -> DataFrame:
+    return (q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
             .withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("fence_lo", F.col("q1") - 1.5 * F.col("iqr"))
             .withColumn("fence_hi", F.col("q3") + 1.5 * F.col("iqr")))
 
 
+def _recent_sketch(base: DataFrame, parts: list[str], n_days: int) -> DataFrame:
+    """The sketch of every day, of which the recent ones stay: the days are
+    ranked on it, so they cost no read of their own."""
+    sketch = _sketch(base, [*parts, "day"], QUARTILES)
+    return _last_days(sketch, parts, n_days).drop("day_rank")
+
+
 def boxplot_summary(df: DataFrame, date_col: str, score_col: str, n_days: int = 14,
                     group: str | None = None, id_col: str = "id",
                     exact: bool = True) -> DataFrame:
     """I8: per recent day, linear quartiles, whiskers at the furthest value
     within 1.5 IQR of the box, and the outlier count. ``exact=False`` takes
-    the quartiles from a fixed-size sketch (for unrounded scores at scale)."""
-    base = recent_days(df, date_col, score_col, n_days, group, id_col)
-    parts = ["grp"] if group else []
-    qs = _quartiles(base, parts, exact)
-    j = base.join(qs, parts + ["day"], "inner")
+    the quartiles from a fixed-size sketch (for unrounded scores at scale).
+
+    Two reads: the sketch of each day, and one pass that counts the values
+    near the quartiles and those that may lie beyond the fences; the sketch
+    of the recent days is broadcast after a check."""
+    base, parts = _grouped(df, date_col, score_col, id_col, group)
+    keys = [*parts, "day"]
+    if not exact:
+        return _sketched_summary(base, parts, n_days)
+    cells = cut_lineage(_cells(base, _recent_sketch(base, parts, n_days), keys, QUARTILES, fences=True))
+    box = _boxes(_ranked(cells, keys, QUARTILES), keys)
+    # values beyond the fences are outliers; of the others the furthest counts
+    beyond = cells.where("i < 0").join(box, keys)
+    low, high = F.col("i") == -1, F.col("i") == -2
+    out = F.when(low, F.col("v") < F.col("fence_lo")).otherwise(F.col("v") > F.col("fence_hi"))
+    out = F.coalesce(out, F.lit(False))
+    return beyond.groupBy(*keys, F.col("qn").alias("n"), "q1", "median", "q3", "iqr").agg(
+        F.min(F.when(low & ~out, F.col("lo"))).alias("whisker_lo"),
+        F.max(F.when(high & ~out, F.col("hi"))).alias("whisker_hi"),
+        F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0)).alias("n_outliers"))
+
+
+def _sketched_summary(base: DataFrame, parts: list[str], n_days: int) -> DataFrame:
+    keys = [*parts, "day"]
+    q = F.percentile_approx("score", F.array(*[F.lit(p) for p in QUARTILES]), 10000).cast("array<double>").alias("q")
+    days = cut_lineage(base.groupBy(*keys).agg(q, F.count("score").alias("n")))
+    days = _last_days(days, parts, n_days)
+    box = _boxes(days, keys).join(days.select(*keys, "n"), keys)
+    small, _ = checked_broadcast(box)
     inside = F.col("score").between(F.col("fence_lo"), F.col("fence_hi"))
-    return j.groupBy(*parts, "day", "n", "q1", "median", "q3", "iqr").agg(
+    j = base.join(small if small is not None else box, keys, "inner")
+    return j.groupBy(*keys, "n", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("score"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("score"))).alias("whisker_hi"),
         F.count(F.when(~inside, F.lit(1))).alias("n_outliers"),
@@ -223,11 +287,15 @@ def boxplot_summary(df: DataFrame, date_col: str, score_col: str, n_days: int =
 
 def boxplot_outliers(df: DataFrame, date_col: str, score_col: str, n_days: int = 14,
                      group: str | None = None, id_col: str = "id") -> DataFrame:
-    """I8: the outlier points (outside 1.5 IQR) of the recent days."""
-    base = recent_days(df, date_col, score_col, n_days, group, id_col)
-    parts = ["grp"] if group else []
-    qs = _quartiles(base, parts).select(*parts, "day", "fence_lo", "fence_hi")
-    j = base.join(qs, parts + ["day"], "inner")
+    """I8: the outlier points (outside 1.5 IQR) of the recent days. Three
+    reads: sketch, quartiles, and the rows beyond the fences, which are
+    broadcast after a check."""
+    base, parts = _grouped(df, date_col, score_col, id_col, group)
+    keys = [*parts, "day"]
+    q = exact_quantiles(base, keys, QUARTILES, _recent_sketch(base, parts, n_days))
+    fences = cut_lineage(_boxes(q, keys).select(*keys, "fence_lo", "fence_hi"))
+    small, _ = checked_broadcast(fences)
+    j = base.join(small if small is not None else fences, keys, "inner")
     return j.where(~F.col("score").between(F.col("fence_lo"), F.col("fence_hi"))) \
             .select(*parts, "day", "id", "score")
 

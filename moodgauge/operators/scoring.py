@@ -4,22 +4,23 @@ H1 lexicon scoring: tokens (with their three predecessors) are exploded and
 hash-joined with the size-checked, broadcast lexicon; the sums are a partial
 aggregate per document.
 
-H2 model scoring runs a pluggable scorer in ``mapInPandas`` over Arrow
+H2 model scoring runs a pluggable scorer in ``mapInArrow`` over Arrow
 batches; the scorer is built once per Python worker. A linear bag of words
 needs no plug-in: its weight table, of any size, is joined with the tokens.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, word_tokens
-from ..session import MAX_BROADCAST_ROWS, checked_broadcast, ship_package
+from ..session import MAX_BROADCAST_ROWS, checked_broadcast, cut_lineage, ship_package
 
 # Fixed values (rule constants from Hutto & Gilbert, ICWSM 2014):
 NEGATION_SCALAR = -0.74      # multiplier for a negated word
@@ -155,28 +156,6 @@ def softmax_scores(df: DataFrame, pos, neg, neu, keep: list[str] | None = None)
 
 # ---------------------------------------------------------------- H2 ----
 
-class HashedBagScorer:
-    """Deterministic stand-in scorer: logits from a hashed bag of words. It
-    exists to exercise the plumbing; it claims no accuracy.
-
-    Plug-in protocol: ``scorer(texts: list[str]) -> ndarray (n, 3)`` of
-    logits in the order (positive, negative, neutral). Tokens of the whole
-    batch are hashed in one vectorised call.
-    """
-
-    def __init__(self, seed: str = "0123456789abcdef"):
-        self.key = seed
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 3))
-        toks = pd.Series(texts, dtype="object").str.lower().str.split().explode().dropna()
-        if len(toks):
-            h = pd.util.hash_array(toks.to_numpy(dtype=object), hash_key=self.key)
-            rows = toks.index.to_numpy()
-            np.add.at(out, (rows, (h % 3).astype(np.int64)), ((h >> 8) % 1000) / 1000.0)
-        return out
-
-
 def fit_bag_weights(docs: DataFrame, label_col: str, text_col: str = "text",
                     max_words: int | None = None) -> DataFrame:
     """Weights ``(word, pos, neg, neu)`` of a linear bag-of-words model: the
@@ -200,7 +179,28 @@ def fit_bag_weights(docs: DataFrame, label_col: str, text_col: str = "text",
 
 # copies of a weight table that is joined through a shuffle: the tokens of a
 # very common word go to so many tasks
-WORD_COPIES = 32
+WORD_COPIES = 8
+
+
+def _hits_of_many(rows: DataFrame, toks: DataFrame, own: list[str], w: DataFrame, most: int) -> DataFrame:
+    """Tokens with their weights from a table that is too large to broadcast:
+    the words that most texts have are, up to the ceiling; what is left,
+    counted per row and word, meets the rare words in a shuffle join, where a
+    word with many rows after all is dealt to several tasks."""
+    texts = rows.select(F.explode(F.array_distinct("toks")).alias("__word")).groupBy("__word").agg(F.count(F.lit(1)).alias("__in"))
+    used = cut_lineage(w.join(texts, "__word"))
+    common, _ = checked_broadcast(used.orderBy(F.col("__in").desc(), "__word").limit(most).drop("__in"), most)
+    if common is None:
+        common = F.broadcast(used.limit(0).drop("__in"))
+    rare = used.drop("__in").join(common.select("__word"), "__word", "left_anti")
+    copies = rare.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(WORD_COPIES - 1))))
+    near = toks.withColumn("n", F.lit(1)).join(common, "__word", "left")
+    # a text without a token, too, keeps a row
+    seen = near.where(F.col("__pos").isNotNull() | F.col("__word").isNull())
+    rest = near.where(F.col("__pos").isNull() & F.col("__word").isNotNull()).groupBy(*own, "__word").agg(F.sum("n").alias("n"))
+    rest = rest.withColumn("__copy", F.pmod(F.xxhash64("__row"), F.lit(WORD_COPIES)).cast("int")).join(
+        copies, ["__word", "__copy"], "left").drop("__copy")
+    return seen.select(*own, "n", "__pos", "__neg", "__neu").unionByName(rest.select(*own, "n", "__pos", "__neg", "__neu"))
 
 
 def bag_score(docs: DataFrame, weights: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -211,9 +211,9 @@ def bag_score(docs: DataFrame, weights: DataFrame, text_col: str = "text", id_co
     texts and the output are as in ``model_score``.
 
     Plan: a table of checked size is broadcast and looked up, so the sums are
-    a partial aggregate per row before the only shuffle. A larger one meets
-    the distinct tokens of each row, counted, in a shuffle join in which a
-    common word is dealt to ``WORD_COPIES`` tasks."""
+    a partial aggregate per row before the only shuffle. Of a larger one the
+    words that most texts have are broadcast, and only the rare ones meet the
+    tokens that are left, counted per row, in a shuffle join."""
     keep = list(keep or [])
     w = weights.select(F.col("word").alias("__word"), *[F.col(k).alias(f"__{k}") for k in ("pos", "neg", "neu")])
     small, _ = checked_broadcast(w, max_broadcast_rows)
@@ -228,10 +228,7 @@ def bag_score(docs: DataFrame, weights: DataFrame, text_col: str = "text", id_co
     if small is not None:
         hit = toks.withColumn("n", F.lit(1)).join(small, "__word", "left")
     else:
-        copies = w.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(WORD_COPIES - 1))))
-        toks = toks.groupBy(*own, "__word").agg(F.count(F.lit(1)).alias("n"))
-        hit = toks.withColumn("__copy", F.pmod(F.xxhash64("__row"), F.lit(WORD_COPIES)).cast("int")).join(
-            copies, ["__word", "__copy"], "left")
+        hit = _hits_of_many(rows, toks, own, w, max_broadcast_rows)
     n = F.sum(F.when(F.col("__pos").isNotNull(), F.col("n")))
     sums = hit.groupBy(*own).agg(*[
         F.coalesce(F.sum(F.col(f"__{k}") * F.col("n")) / n, F.lit(0.0)).alias(f"__{k}") for k in ("pos", "neg", "neu")])
@@ -260,15 +257,17 @@ def _content_key(factory: Callable) -> str:
     return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
 
-def model_score(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                scorer_factory: Callable = HashedBagScorer, max_tokens: int | None = None,
+def model_score(df: DataFrame, text_col: str, id_col: str, scorer_factory: Callable,
+                max_tokens: int | None = None,
                 batch_rows: int = 256, keep: list[str] | None = None,
                 scorer_key: str | None = None,
                 labels: tuple[str, str, str] = ("positive", "negative", "neutral")) -> DataFrame:
-    """H2: score text with a pluggable model over Arrow batches.
+    """Score text with a pluggable model over Arrow batches.
 
-    Blank (after strip) -> ``(neg 0, neu 1, pos 0, compound 0)`` without
-    calling the model; otherwise softmax over the three logits and
+    Plug-in protocol: ``scorer_factory()`` gives a scorer, and
+    ``scorer(texts: list[str])`` the (n, 3) logits of stripped, non-blank
+    texts. Blank (after strip) -> ``(neg 0, neu 1, pos 0, compound 0)``
+    without calling the model; otherwise softmax over the three logits and
     ``compound = pos - neg``. Output ``(id, [keep...], neg, neu, pos,
     compound)``; ``keep`` columns ride along in the same batches, so no join
     back is needed.
@@ -279,34 +278,69 @@ def model_score(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     digest of the pickled factory. ``labels`` says which of its logits is
     which.
     """
-    keep = list(keep or [])
+    cols = [id_col, *(keep or [])]
     key = scorer_key or _content_key(scorer_factory)
     place = [labels.index(x) for x in ("positive", "negative", "neutral")]
+    kinds = [df.schema[c].dataType.simpleString() for c in cols]
+    schema = ", ".join([f"own{i} {k}" for i, k in enumerate(kinds)] + ["neg double", "neu double", "pos double", "compound double"])
+
     def run(batches):
         scorer = _scorer(key, scorer_factory)
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").astype(str).str.strip()
-            neg = np.zeros(len(pdf)); pos = np.zeros(len(pdf)); neu = np.ones(len(pdf))
-            live = (texts != "").to_numpy()
-            if live.any():
-                cut = [t if max_tokens is None else " ".join(t.split()[:max_tokens]) for t in texts[live]]
-                parts = []
-                for s in range(0, len(cut), batch_rows):
-                    parts.append(np.asarray(scorer(cut[s:s + batch_rows]), dtype=float))
-                logits = np.vstack(parts)[:, place]
-                logits = logits - logits.max(axis=1, keepdims=True)
-                p = np.exp(logits)
-                p = p / p.sum(axis=1, keepdims=True)
-                pos[live], neg[live], neu[live] = p[:, 0], p[:, 1], p[:, 2]
-            out = {id_col: pdf[id_col]}
-            out.update({c: pdf[c] for c in keep})
-            out.update({"neg": neg, "neu": neu, "pos": pos, "compound": pos - neg})
-            yield pd.DataFrame(out)
+        for batch in batches:
+            texts = [(t or "").strip() for t in batch.column("text").to_pylist()]
+            live = [i for i, t in enumerate(texts) if t]
+            p = np.tile([0.0, 0.0, 1.0], (len(texts), 1))       # positive, negative, neutral
+            for lo in range(0, len(live), batch_rows):
+                at = live[lo:lo + batch_rows]
+                cut = [texts[i] if max_tokens is None else " ".join(texts[i].split()[:max_tokens]) for i in at]
+                logits = np.asarray(scorer(cut), dtype=float)[:, place]
+                x = np.exp(logits - logits.max(axis=1, keepdims=True))
+                p[at] = x / x.sum(axis=1, keepdims=True)
+            own = [batch.column(f"own{i}") for i in range(len(cols))]
+            scores = [pa.array(x) for x in (p[:, 1], p[:, 2], p[:, 0], p[:, 0] - p[:, 1])]
+            yield pa.record_batch(own + scores, names=[f"own{i}" for i in range(len(cols))] + ["neg", "neu", "pos", "compound"])
 
     ship_package(df.sparkSession)
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [id_col] + keep]
-    schema = ", ".join(fields + ["neg double", "neu double", "pos double", "compound double"])
-    return df.select(id_col, text_col, *keep).mapInPandas(run, schema)
+    src = df.select(*[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(cols)],
+                    F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = src.mapInArrow(run, schema)
+    return out.select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(cols)], "neg", "neu", "pos", "compound")
+
+
+MAX_PLUGIN_WORDS = 1_000_000
+
+
+class BagScorer:
+    """Plug-in with the weights of a linear bag-of-words model: the logits of
+    a text are the mean weights of its lower-cased letter/digit runs that are
+    in the table, or equal without one."""
+
+    def __init__(self, words: list[str], weights: np.ndarray):
+        self.row = {w: i for i, w in enumerate(words)}
+        self.weights = weights
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 3))
+        for i, t in enumerate(texts):
+            at = [self.row[w] for w in _RUNS.findall(t.lower()) if w in self.row]
+            if at:
+                out[i] = self.weights[at].mean(axis=0)
+        return out
+
+
+_RUNS = re.compile(r"[^\W_]+")
+
+
+def bag_scorer(weights: DataFrame) -> Callable | None:
+    """Factory of a ``BagScorer`` over ``weights`` (word, pos, neg, neu),
+    broadcast to the executors; None if the table has more than
+    ``MAX_PLUGIN_WORDS`` words (``bag_score`` takes any number)."""
+    if weights.limit(MAX_PLUGIN_WORDS + 1).count() > MAX_PLUGIN_WORDS:
+        return None
+    t = weights.select("word", "pos", "neg", "neu").toArrow()
+    shared = weights.sparkSession.sparkContext.broadcast(
+        (t["word"].to_pylist(), np.column_stack([t[c].to_numpy() for c in ("pos", "neg", "neu")])))
+    return lambda: BagScorer(*shared.value)
 
 
 def score_cache(df: DataFrame, cache: DataFrame, key: str,

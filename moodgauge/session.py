@@ -118,6 +118,17 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     return None, n
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores if its input comes in fewer parts than
+    there are cores (one small file, say): for work that spends far more on a
+    row than a shuffle of it costs. Inputs of many parts stay as they are."""
+    try:
+        cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect has neither
+        return df
+    return df if parts >= cores else df.repartition(cores)
+
+
 _SHIPPED: set = set()
 
 

@@ -29,28 +29,51 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     w.format(fmt).save(path)
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """B2: CSV with header that ``sources.read_csv`` gives back as it was:
+    texts with separators, quotes and line ends are quoted, white space is
+    kept, empty texts and nulls differ."""
+    from ..sources.files import CSV_OPTIONS
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+
+
 def write_report(report: DataFrame, path: str, group_col: str = "report_group",
-                 fmt: str = "csv", mode: str = "overwrite") -> None:
+                 fmt: str = "csv", mode: str = "overwrite", replace: str = "all") -> None:
     """One folder per group value plus the overall report, in one job.
 
-    The overall rows (null group) land in ``{group_col}=__overall__``; with
-    ``overwrite`` the target folder is replaced as a whole.
+    The overall rows (null group) land in ``{group_col}=__overall__``. With
+    ``overwrite`` the target folder is replaced as a whole, or, with
+    ``replace="groups"``, only the folders of the groups that ``report`` has
+    (dynamic partition overwrite): a later run leaves the others alone.
     """
     out = report.withColumn(group_col, F.coalesce(F.col(group_col), F.lit("__overall__")))
     out = out.repartition(group_col).sortWithinPartitions(group_col, "day")
-    write_table(out, path, fmt=fmt, mode=mode, partition_by=[group_col])
+    w = out.write.mode(mode).partitionBy(group_col)
+    if replace == "groups":
+        w = w.option("partitionOverwriteMode", "dynamic")
+    if fmt == "csv":
+        w = w.option("header", True)
+    w.format(fmt).save(path)
+
+
+MAX_MAP_ENTITIES = 10_000
 
 
-def write_entity_terms(terms: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Long ``(entity, ord, term)`` table -> one JSON map ``{entity:
-    [terms]}`` in one file, with term order fixed by ``ord``. The map is
-    configuration: it is held in one row."""
+def write_entity_terms(terms: DataFrame, path: str, mode: str = "overwrite", max_entities: int = MAX_MAP_ENTITIES) -> None:
+    """Long ``(entity, ord, term)`` table -> JSON maps ``{entity:
+    [terms]}`` with term order fixed by ``ord``. Up to ``max_entities`` go
+    into one file with one map; more are dealt by hash to as many maps as
+    that takes, a folder each, so no row holds more than about that many."""
     per_entity = terms.groupBy("entity").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))),
                     lambda s: s["term"]).alias("terms"))
-    entries = F.array_sort(F.collect_list(F.struct("entity", "terms")))
-    out = per_entity.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
-    out.coalesce(1).write.mode(mode).text(path)
+    value = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity", "terms"))))).alias("value")
+    maps = -(-terms.select("entity").distinct().count() // max_entities)
+    if maps <= 1:
+        per_entity.agg(value).coalesce(1).write.mode(mode).text(path)
+        return
+    dealt = per_entity.groupBy(F.pmod(F.xxhash64("entity"), F.lit(maps)).alias("map")).agg(value)
+    dealt.write.mode(mode).partitionBy("map").text(path)
 
 
 def strip_zone(df: DataFrame, cols: list[str], zone: str = "UTC") -> DataFrame:

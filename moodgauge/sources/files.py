@@ -19,6 +19,63 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType, bad_col: str = "bad_line") -> DataFrame:
+    """A1 beside the failing mode: every line comes back, a malformed one
+    with null fields and its text in ``bad_col`` (null for good lines), so
+    bad records are counted in the pass that reads the good ones."""
+    raw = T.StructType([*schema.fields, T.StructField(bad_col, T.StringType())])
+    df = (spark.read.schema(raw).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_col).json(path))
+    good = F.col(bad_col).isNull()
+    return df.select(*[F.when(good, F.col(f"`{f.name}`")).alias(f.name) for f in schema.fields], bad_col)
+
+
+# CSV that gives every text back: quotes doubled, records over several lines,
+# white space kept, empty texts quoted and nulls not
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "", "emptyValue": '""',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+# stands for a quoted empty text while it is read, as an unquoted one is null
+_EMPTY = "\x00empty\x00"
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A4: CSV written by ``sinks.write_csv`` (or in that form). Records may
+    span lines, so a file is one task; write as many files as tasks are
+    wanted."""
+    df = spark.read.schema(schema).options(**{**CSV_OPTIONS, "emptyValue": _EMPTY}).csv(path)
+    texts = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(*[F.when(c == _EMPTY, F.lit("")).otherwise(c).alias(n) if n in texts else c
+                       for n, c in zip(df.columns, cols)])
+
+
+def newest_snapshot(spark: SparkSession, directory: str, glob: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
+    """A2 for snapshots that are folders of files: rows of the
+    lexicographically last folder under ``directory`` that matches ``glob``
+    (its name carries the date window).
+
+    File paths alone are listed to find it; the scan is of the whole
+    directory under a filter on the file's own metadata, which Spark applies
+    to the file list, so files of other snapshots are not opened."""
+    name = F.element_at(F.split("path", "/"), -2)
+    like = "^" + glob.replace(".", "[.]").replace("*", ".*") + "$"
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+               .select(name.alias("name")).where(F.col("name").rlike(like)))
+    last = listing.agg(F.max("name").alias("n")).first()["n"]
+    if last is None:
+        raise FileNotFoundError(f"no {glob} under {directory}")
+    df = (spark.read.schema(schema).option("recursiveFileLookup", "true").option("mode", "FAILFAST")
+          .format(fmt).load(directory))
+    return df.where(F.col("_metadata.file_path").contains(f"/{last}/"))
+
+
+def read_report(spark: SparkSession, path: str, schema: T.StructType, group_col: str = "report_group") -> DataFrame:
+    """Report folders written by ``sinks.write_report`` as CSV; the overall
+    report has a null group."""
+    df = spark.read.schema(schema).option("header", True).csv(path)
+    return df.withColumn(group_col, F.nullif(F.col(group_col), F.lit("__overall__")))
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType | None = None, header: bool = True) -> DataFrame:
     """A4: CSV / Parquet / JSON scan."""
@@ -70,15 +127,16 @@ def read_entity_terms(spark: SparkSession, path: str) -> DataFrame:
               .select("entity", F.col("ord").cast("int"), F.col("term").cast("string")))
 
 
-def flatten_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def flatten_listing(spark: SparkSession, path: str | list[str], page_from: str = "file_name") -> DataFrame:
     """A5: landed listing pages (one JSON document per file) -> one row per
     post with its arrival-order key: ``source_rank``, ``page`` and ``pos``.
 
     ``path`` is one path or a list of paths in the order the sources were
     fetched; ``source_rank`` is the place in that list. ``page`` is the file
-    name with its numbers padded, so that page 10 comes after page 2."""
+    name with its numbers padded, so that page 10 comes after page 2; with
+    ``page_from="file_path"`` it is the whole path, for pages in folders."""
     paths = [path] if isinstance(path, str) else list(path)
-    name = F.regexp_replace(F.col("_metadata.file_name"), "(\\d+)", "000000000000000000$1")
+    name = F.regexp_replace(F.col(f"_metadata.{page_from}"), "(\\d+)", "000000000000000000$1")
     name = F.regexp_replace(name, "0*(\\d{18})(?!\\d)", "$1")
     out = None
     for rank, one in enumerate(paths):
@@ -116,20 +174,28 @@ def flatten_news(raw: DataFrame, keep_unparsed: bool = False) -> DataFrame:
     return out.withColumn("date", F.to_date("published_at"))
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
+def read_prices(spark: SparkSession, path: str, eager: bool = True) -> DataFrame:
     """Daily price lists (a JSON array of records per file, laid out in
     any way; ``path`` may be a folder or glob of many files, read in one
-    plan). ``ticker`` is the file name without its folders and extension, in
-    upper case. A JSON object payload (the vendor's error form) or an empty
-    list in any file is an error."""
+    plan). ``ticker`` is the name of a ``ticker=`` folder or else the file
+    name without its extension, in upper case. A JSON object payload (the
+    vendor's error form) or an empty list in any file is an error: at once
+    with ``eager``, else when the rows are read, without a pass of its own."""
     from ..functions.text import norm_ticker, strip
-    ticker = norm_ticker(F.regexp_extract(F.col("_metadata.file_name"), "^([^.]*)", 1))
-    text = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("v"), F.col("_metadata.file_path").alias("f"))
-    bad = text.where(~F.col("v").startswith("[") | F.col("v").rlike("^\\[\\s*\\]$")).select("f").first()
-    if bad is not None:
-        raise ValueError(f"price payload is not a list of rows: {bad['f']}")
-    df = spark.read.schema(schemas.PRICES).option("multiLine", True).json(path).withColumn("ticker", ticker)
-    if df.limit(1).count() == 0:
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/ticker=([^/]+)/", 1)
+    name = F.regexp_extract(F.col("_metadata.file_name"), "^([^.]*)", 1)
+    ticker = norm_ticker(F.when(folder != "", folder).otherwise(name))
+    text = spark.read.text(path, wholetext=True).select(
+        strip(F.col("value")).alias("v"), ticker.alias("ticker"), F.col("_metadata.file_path").alias("f"))
+    empty = ~F.col("v").startswith("[") | F.col("v").rlike("^\\[\\s*\\]$")
+    if eager:
+        bad = text.where(empty).select("f").first()
+        if bad is not None:
+            raise ValueError(f"price payload is not a list of rows: {bad['f']}")
+    rows = F.from_json("v", T.ArrayType(schemas.PRICES), {"mode": "FAILFAST"})
+    wrong = F.raise_error(F.concat(F.lit("price payload is not a list of rows: "), "f")).cast(T.ArrayType(schemas.PRICES))
+    df = text.select(F.explode(F.when(empty, wrong).otherwise(rows)).alias("r"), "ticker").select("r.*", "ticker")
+    if eager and df.limit(1).count() == 0:
         raise ValueError(f"no price rows in {path}")
     return df.withColumn("date", F.to_date(F.substring("date", 1, 10)))
 

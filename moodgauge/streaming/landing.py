@@ -9,6 +9,8 @@ sample std and var, whose buffers are central moments), no median.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +18,11 @@ from pyspark.sql import types as T
 
 def stream_landing(spark: SparkSession, directory: str, schema: T.StructType | str,
                    ts_col: str = "ts", id_col: str = "id", delay: str = "1 day",
-                   fmt: str = "json", max_files_per_trigger: int | None = None) -> DataFrame:
+                   fmt: str = "json", max_files_per_trigger: int | None = None,
+                   options: dict | None = None) -> DataFrame:
     """File-source stream with a watermark on ``ts_col`` and
     ``dropDuplicatesWithinWatermark(id)``."""
-    r = spark.readStream.schema(schema).format(fmt)
+    r = spark.readStream.schema(schema).format(fmt).options(**(options or {}))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     s = r.load(directory)
@@ -45,14 +48,35 @@ def stream_daily_stats(stream: DataFrame, ts_col: str = "ts", score_col: str = "
                       "score_mean", "score_std", "score_var")
 
 
+# Fixed value: Spark's state store on RocksDB, which keeps state off the heap
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB (a checkpoint stays
+    with the store it was made with)."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class LateRows(RuntimeError):
     """A bounded run dropped rows that were later than the watermark."""
 
 
-def _finish(query, strict: bool) -> int:
+def _finish(query, strict: bool, seen: dict | None = None) -> int:
     """Wait for the run and count the rows it dropped as late; with
-    ``strict`` such rows are an error, not a silent loss."""
+    ``strict`` such rows are an error, not a silent loss. ``seen`` gets the
+    rows that the state holds in the end."""
     query.awaitTermination()
+    if seen is not None:
+        last = [p for p in query.recentProgress if p.stateOperators][-1:]
+        seen["state_rows"] = sum(op.numRowsTotal for p in last for op in p.stateOperators)
     late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
     if strict and late:
         raise LateRows(f"{late} rows were later than the watermark; use a longer delay or larger batches")
@@ -60,7 +84,7 @@ def _finish(query, strict: bool) -> int:
 
 
 def run_available(df: DataFrame, checkpoint: str, sink_path: str,
-                  fmt: str = "parquet", strict: bool = False) -> int:
+                  fmt: str = "parquet", strict: bool = False, seen: dict | None = None) -> int:
     """Run a stream over everything landed so far (``availableNow``) into a
     file sink with its own checkpoint, then stop. Restarting with the same
     checkpoint resumes exactly where it stopped. Returns the rows dropped as
@@ -68,7 +92,7 @@ def run_available(df: DataFrame, checkpoint: str, sink_path: str,
     q = (df.writeStream.format(fmt).outputMode("append")
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(sink_path))
-    return _finish(q, strict)
+    return _finish(q, strict, seen)
 
 
 def run_complete_to_table(df: DataFrame, checkpoint: str, table_path: str, strict: bool = False) -> int:

@@ -6,6 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from scorers import hashed_bag
 from moodgauge.functions import time as tm
 from moodgauge.operators import (consensus, dedup, features, filters, market,
                                  match, scoring)
@@ -166,7 +167,7 @@ def test_short_series(spark):
 
 def test_blank_and_equal_logits(spark):
     df = spark.createDataFrame([(1, "   "), (2, None), (3, "some words")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in scoring.model_score(df, "text", "doc_id").collect()}
+    got = {r["doc_id"]: r for r in scoring.model_score(df, "text", "doc_id", hashed_bag()).collect()}
     for i in (1, 2):
         assert (got[i]["neg"], got[i]["neu"], got[i]["pos"], got[i]["compound"]) == (0.0, 1.0, 0.0, 0.0)
     assert abs(got[3]["neg"] + got[3]["neu"] + got[3]["pos"] - 1) < 1e-12

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from scorers import hashed_bag
 from moodgauge import jobs
 from moodgauge.schemas import SCORED
 from moodgauge.sinks.files import write_entity_terms
@@ -76,7 +77,7 @@ def test_news_labels_merge(spark, tmp_path):
             "summary": ""}]
     _write(str(tmp_path / "raw/yahoo_news_2026-02-10_2026-02-17.jsonl"),
            "\n".join(json.dumps(x) for x in raw))
-    n = jobs.score_news_job(spark, str(tmp_path / "raw"), str(tmp_path / "news"))
+    n = jobs.score_news_job(spark, str(tmp_path / "raw"), str(tmp_path / "news"), hashed_bag())
     assert n == 3
     news = {(r["ticker"], r["date"]): r for r in
             read_jsonl(spark, str(tmp_path / "news"), SCORED).collect()}
