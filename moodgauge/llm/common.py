@@ -30,9 +30,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# limits of an Arrow batch here: texts are long, and a worker keeps the memory
+# of its largest batch
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to those above."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        try:
+            low = now is not None and 0 < int(now) <= most
+        except ValueError:      # a size with a unit
+            low = False
+        if not low:
+            spark.conf.set(key, str(most))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """Apply ``fn`` to every Arrow batch; it yields dicts of columns."""
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
 
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,6 +70,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
             for cols in fn(batch):
                 yield pa.record_batch([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array)
                                        else cols[f.name].cast(f.type) for f in out], schema=out)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

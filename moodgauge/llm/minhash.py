@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodgauge.llm.common import checked_small, map_arrow, written
+from moodgauge.llm.common import checked_small, map_arrow, unused, written
 from moodgauge.llm.components import components
 from moodgauge.llm.words import blocks, mix, spans_hash, window_hash
 from moodgauge.session import ensure_checkpoint_dir
@@ -179,7 +181,7 @@ def links(sets: DataFrame, post: DataFrame) -> DataFrame:
 
 
 BLOCK_CLASSES = 512
-BLOCK_MEMBERS = 1_000_000
+BLOCK_MEMBERS = 500_000
 
 
 def _block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
@@ -256,7 +258,7 @@ def _compare(table: pa.Table) -> pa.Table:
 
 def _near(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: id, n_shingles, k1, k2, class_id, component_id
-    and kept.
+    and stays (whether the row's own text stands for its component).
 
     The nodes of the links are classes, numbered here; ids do not name them,
     as one id may be the smallest of several classes."""
@@ -282,52 +284,65 @@ def _near(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     given = F.col("id").isNotNull()
     stays = ~given | F.col("top").isNull() | (F.struct(F.col("id").alias("low"), "k1", "k2") == F.col("top"))
     return out.select("id", "n_shingles", "k1", "k2", F.when(given, F.coalesce("low", "id")).alias("class_id"),
-                      F.when(given, F.coalesce("top.low", "id")).alias("component_id"), stays.alias("kept"))
+                      F.when(given, F.coalesce("top.low", "id")).alias("component_id"), stays.alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, class_id (smallest id with the
-    same shingle set), component_id (smallest id reachable over links) and
-    kept (id = component_id; if that id has several shingle sets in the
-    component, the one with the smallest key).
+    same shingle set), component_id (smallest id reachable over links), kept
+    (id = component_id) and stays.
 
     Words are lower-cased (A-Z) runs of non-separators; a text of one to four
     words is one shingle; null texts and texts without words have no shingle
     and are linked with nothing. Rows without an id are linked with nothing,
     have null class and component and are kept. Rows that repeat an id are
-    answered each by its own text. Other columns are not read."""
+    answered each by its own text; where that id stands for a component with
+    several shingle sets of its own, ``stays`` is true for the one with the
+    smallest key alone. Other columns are not read."""
     ensure_checkpoint_dir(docs.sparkSession)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return _near(docs, id_col, text_col).select(
-        F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", "kept")
+        F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", kept.alias("kept"), "stays")
+
+
+def _hashable(docs: DataFrame) -> list:
+    """The cells of a row for a hash: maps, which have none, as text; a null
+    changes no hash, so its place goes in as well."""
+    out = []
+    for f in docs.schema:
+        c = F.col(f"`{f.name}`")
+        plain = not re.search("map<|variant|interval", f.dataType.simpleString())
+        out += [c if plain else F.to_json(F.struct(c)), c.isNull()]
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of every component, that of the smallest id; all
-    columns as they are. Rows that repeat an id are decided each by its own
-    text; of those with the same shingle set one stays (the one whose row
-    hash is smallest). Of equal rows without a shingle one stays. Rows
-    without an id all stay."""
+    columns as they are, of any name and type. Rows that repeat an id are
+    decided each by its own text; of those with the same shingle set one
+    stays (the one whose row hash is smallest). Of equal rows without a
+    shingle one stays. Rows without an id all stay."""
     ensure_checkpoint_dir(docs.sparkSession)
     near = written(_near(docs, id_col, text_col), "near")
     idc = F.col(f"`{id_col}`").cast("long")
+    gone_id, again_id = unused(docs, "gone"), unused(docs, "again")
     again = written(near.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-                    .where("n > 1").select(F.col("id").alias("__again")), "again")
-    gone = near.where("not kept").select(F.col("id").alias("__gone")).distinct()
+                    .where("n > 1").select(F.col("id").alias(again_id)), "again")
+    gone = near.where("not stays").select(F.col("id").alias(gone_id)).distinct()
     if not again.limit(1).count():
-        return docs.join(checked_small(gone, 2_000_000), idc == F.col("__gone"), "left_anti")
+        return docs.join(checked_small(gone, 2_000_000), idc == F.col(gone_id), "left_anti")
     again = checked_small(again, 2_000_000)
-    gone = gone.join(again, F.col("__gone") == F.col("__again"), "left_anti")
-    once = docs.join(again, idc == F.col("__again"), "left_anti")
-    once = once.join(checked_small(gone, 2_000_000), idc == F.col("__gone"), "left_anti")
-    # a null changes no hash, so its place goes in as well
-    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    gone = gone.join(again, F.col(gone_id) == F.col(again_id), "left_anti")
+    once = docs.join(again, idc == F.col(again_id), "left_anti")
+    once = once.join(checked_small(gone, 2_000_000), idc == F.col(gone_id), "left_anti")
+    cells = _hashable(docs)
     row = ["id", "h1", "h2"]
-    rep = docs.join(again, idc == F.col("__again"), "left_semi").select(
+    rep = docs.join(again, idc == F.col(again_id), "left_semi").select(
         idc.alias("id"), F.xxhash64(*cells).alias("h1"), F.xxhash64(F.lit(1), *cells).alias("h2"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rep = written(rep.groupBy(*row).agg(F.first("row").alias("row")), "repeated")
     keyed = written(_row_keys(rep.select(*row, F.col(f"row.`{text_col}`").cast("string").alias("text"))), "keyed")
-    kept = near.where("kept and k1 is not null").join(again, F.col("id") == F.col("__again"), "left_semi")
+    kept = near.where("stays and k1 is not null").join(again, F.col("id") == F.col(again_id), "left_semi")
     pick = keyed.where("k1 is not null").groupBy("id", "k1", "k2").agg(F.min(F.struct("h1", "h2")).alias("h"))
     pick = pick.join(kept.select("id", "k1", "k2").distinct(), ["id", "k1", "k2"], "left_semi")
     pick = pick.select("id", "h.h1", "h.h2").unionAll(keyed.where("k1 is null").select(*row))

@@ -8,13 +8,15 @@ ledger and never reads a text again.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StructField, StructType
 
-from moodgauge.llm.common import map_arrow
+from moodgauge.llm.common import map_arrow, small_batches, unused
 from moodgauge.llm.words import blocks, mix, spans_hash, window_hash
 from moodgauge.session import ship_package
 
@@ -148,15 +150,30 @@ def ablations(led: DataFrame, policy: str | tuple[str, ...] = DEFAULT_POLICY) ->
 def keep_documents(docs: DataFrame, policy: str = DEFAULT_POLICY, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text passes the
-    policy. Decided row by row, so ids may be null or repeated."""
-    ship_package(docs.sparkSession)
-
-    @arrow_udf(MEASURES)
-    def measured(text: pa.Array) -> pa.Array:
-        m = measure_texts(text)
-        return pa.StructArray.from_arrays([pa.array(v) for v in m.values()], names=list(m))
-
-    led = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                      measured(F.col(text_col).cast("string")).alias("m"))
-    led = led.select("row", "m.*").withColumn("fail_bits", fail_bits())
-    return led.where(passes(policy)).select("row.*")
+    policy. Decided row by row, so ids may be null or repeated. Rows go
+    through the workers batch by batch with their measurements beside them:
+    nothing is queued or joined."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    small_batches(spark)
+    name, words = unused(docs, "measures"), unused(docs, "words")
+    src = docs.withColumn(words, F.col(f"`{text_col}`").cast("string"))
+    same = docs.schema[text_col].dataType.simpleString() == "string"
+    src = docs if same else src
+    at = src.columns.index(text_col if same else words)
+    fields = StructType.fromDDL(MEASURES)
+
+    def run(batches):
+        for batch in batches:
+            m = measure_texts(batch.column(at))
+            found = pa.StructArray.from_arrays([pa.array(v) for v in m.values()], names=list(m))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+        pa.default_memory_pool().release_unused()
+
+    led = src.mapInArrow(run, StructType([*src.schema.fields, StructField(name, fields)]))
+    bits = [F.when(F.expr(re.sub(r"\b([a-z]+_[a-z_]+)\b", rf"`{name}`.\1", cond)), F.lit(1 << i)).otherwise(F.lit(0))
+            for i, (_, cond) in enumerate(RULES)]
+    fail = bits[0]
+    for b in bits[1:]:
+        fail = fail.bitwiseOR(b)
+    return led.where(fail.bitwiseAND(F.lit(mask(policy))) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

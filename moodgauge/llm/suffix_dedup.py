@@ -1,4 +1,4 @@
-"""Repeated passages through sparse suffix arrays.
+"""Repeated passages through sparse suffixes.
 
 A full suffix array keeps one suffix per word. Here only the suffixes at
 minimiser positions are kept: the word whose GRAM-word hash is smallest in
@@ -6,15 +6,20 @@ some run of WINDOW consecutive grams. Two equal passages of GRAM + WINDOW - 1
 = 50 words choose the same positions, so no such passage is lost while about
 one word in sixteen is kept.
 
-1. Sort the kept suffixes by the hash of their first GRAM words. A suffix
-   whose neighbours in that order are all different cannot lie in a repeated
+1. Bring equal suffixes together by the hash of their first GRAM words. A
+   suffix that no other shares these words with cannot lie in a repeated
    passage and is dropped.
 2. Extend the others: to the left as far as they stay the smallest of their
    window, and to the right to the full 50 words, giving the 50-word windows
-   that the suffix stands for. Every window of a text has exactly one such
-   suffix, so comparing these windows compares every pair of passages that
-   meet at any of them, without a pair ever being written.
+   that the suffix stands for. Windows are equal if the hashes of their
+   suffix and of their 50 words are (128 bits together).
 3. Merge the repeated windows of a text into its longest passages.
+
+Sorting the suffixes and comparing each with its neighbour alone would lose
+passages: the neighbour is the suffix with the longest match to the right,
+while a passage that reaches far to the left may be shared with another one.
+Grouping by suffix and window compares every suffix with all that share its
+words, without writing a pair, so it takes the place of the sorted order.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from moodgauge.llm.common import map_arrow, written
+from moodgauge.llm.common import map_arrow, small_batches, unused, written
 from moodgauge.llm.words import blocks, window_hash
 from moodgauge.session import ensure_checkpoint_dir, ship_package
 
@@ -107,8 +112,8 @@ def windows_at(src: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tkey, start, win, first_id, first_tkey): windows that occur at two
-    places, with the text that keeps them: the smallest (id, key of text)."""
+    """(id, tkey, start, gram, win, first_id): windows that occur at two
+    places, with the id that keeps them, the smallest."""
     suffixes = kept_suffixes(docs, id_col, text_col)
     grams = written(suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     src = _source(docs, id_col, text_col)
@@ -120,17 +125,17 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         met = windows_at(src.join(texts, F.col("tkey").eqNullSafe(F.col("t")) & F.col("id").eqNullSafe(F.col("i")),
                                   "left_semi"), grams)
     # read twice rather than written: the windows are several times the hashes
-    flat = (met.select("id", "tkey", F.posexplode("wins").alias("j", "win"), "start")
-            .select("id", "tkey", (F.col("start") + F.col("j")).cast("int").alias("start"), "win"))
+    flat = (met.select("id", "tkey", "gram", F.posexplode("wins").alias("j", "win"), "start")
+            .select("id", "tkey", (F.col("start") + F.col("j")).cast("int").alias("start"), "gram", "win"))
     low = F.coalesce("id", F.lit(-(1 << 63)))
     # equal rows have equal places and do not repeat each other
     place = F.xxhash64(low, "tkey", "start")
-    twice = flat.groupBy("win").agg(
+    twice = flat.groupBy("gram", "win").agg(
         F.min(low).alias("first_id"), F.min(place).alias("p0"), F.max(place).alias("p1")
-    ).where("p0 < p1").select("win", "first_id")
+    ).where("p0 < p1").select("gram", "win", "first_id")
     # written, so that both sides of the join are shuffled for it and a window
     # that very many texts have is split over tasks
-    return flat.join(written(twice, "twice"), "win")
+    return flat.join(written(twice, "twice"), ["gram", "win"])
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,9 +194,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with every occurrence of a repeated passage but the first cut
     out of the text; ``length_col`` gets the new length of a text that
     changed. Rows of which no word is left go; all others stay as they are."""
+    row, tkey, spans, new = (unused(docs, c) for c in ("of_id", "of_text", "spans", "shorter"))
     found = written(passages(docs, id_col, text_col).where(F.size("cut") > 0)
-                    .select(F.col(id_col).alias("__id"), F.col("text_key").alias("__tkey"), F.col("cut").alias("__cut")), "passages")
+                    .select(F.col(id_col).alias(row), F.col("text_key").alias(tkey), F.col("cut").alias(spans)), "passages")
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     @arrow_udf("string")
     def without(text: pa.Array, cut: pa.Array) -> pa.Array:
@@ -200,25 +207,25 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`")
     key = _text_key(text.cast("string"))
     small = found.limit(200_001).count() <= 200_000
-    side = F.broadcast(found) if small and _spans_bounded(found) else found
-    j = docs.join(side, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__tkey")), "left")
-    same = j.where(F.col("__cut").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
-    changed = j.where(F.col("__cut").isNotNull()).withColumn("__new", without(text.cast("string"), F.col("__cut")))
-    changed = changed.where(F.length(F.regexp_replace("__new", "[\\x20\\x09-\\x0D]+", "")) > 0)
+    side = F.broadcast(found) if small and _spans_bounded(found, spans) else found
+    j = docs.join(side, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(row)) & (key == F.col(tkey)), "left")
+    same = j.where(F.col(spans).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    changed = j.where(F.col(spans).isNotNull()).withColumn(new, without(text.cast("string"), F.col(spans)))
+    changed = changed.where(F.length(F.regexp_replace(new, "[\\x20\\x09-\\x0D]+", "")) > 0)
     cols = []
     for f in docs.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.name == text_col:
-            c = F.col("__new")
+            c = F.col(new)
         elif f.name == length_col:
-            c = F.length("__new")
+            c = F.length(new)
         cols.append(c.cast(f.dataType).alias(f.name))
     return same.unionAll(changed.select(*cols))
 
 
-def _spans_bounded(found: DataFrame) -> bool:
+def _spans_bounded(found: DataFrame, spans: str) -> bool:
     """At most a million spans in all: 16 MB."""
-    return (found.agg(F.sum(F.size("__cut"))).first()[0] or 0) <= 1_000_000
+    return (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= 1_000_000
 
 
 def _without(text: str | None, cut: list[dict] | None) -> str | None:

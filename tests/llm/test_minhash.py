@@ -110,7 +110,9 @@ def test_rows_that_repeat_an_id_with_other_texts(spark):
             (3, d, "x"), (3, d, "x"), (3, None, "x"), (3, None, "x"), (3, None, None), (3, "", "x")]
     rows += [(7, prose(rng, 60), "z") for _ in range(40)]           # one id, forty texts
     df = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(4)
-    near = {(r.doc_id, r.class_id, r.component_id, r.kept) for r in minhash.near_duplicates(df.where("text != ''")).collect()}
+    near = {(r.doc_id, r.class_id, r.component_id, r.stays) for r in minhash.near_duplicates(df.where("text != ''")).collect()}
+    # of the two shingle sets that id 2 has in its component one stays; both are kept by the id
+    assert all(r.kept == (r.doc_id == r.component_id) for r in minhash.near_duplicates(df).collect())
     assert {(1, 1, 1, True), (2, 1, 1, False), (2, 2, 2, True), (2, 2, 2, False), (3, 2, 2, False),
             (3, 3, 3, True), (4, 4, 3, False)} <= near
     got = [tuple(r) for r in minhash.keep_one(df).collect()]
@@ -119,3 +121,15 @@ def test_rows_that_repeat_an_id_with_other_texts(spark):
     assert len(by_b) == 1 and by_b[0][0] == 2                       # one of the two texts stays
     assert set(got) - set(by_b) == {(1, a, "x"), (3, c, "x"), (3, d, "x"), (3, None, "x"), (3, None, None), (3, "", "x"),
                                     *[r for r in rows if r[0] == 7]}
+
+
+def test_columns_of_any_name_and_type(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, a, {"k": 1}, 1, 2), (2, a, {"k": 2}, 3, 4), (3, b, None, 5, 6), (3, b, {"x": 1, "y": 2}, 5, 6), (3, None, {"z": 1}, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, again map<string,int>, gone int, __gone int")
+    got = minhash.keep_one(df)
+    assert got.columns == df.columns
+    out = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert out == sorted([(1, a), (3, b), (3, None)], key=repr)
+    assert sorted(r.doc_id for r in minhash.keep_one(df.where("doc_id < 3")).collect()) == [1]

@@ -55,3 +55,12 @@ def test_empty_table(no_docs):
 @pytest.mark.parametrize("policy", list(quality.POLICIES))
 def test_every_policy_names_rules(policy):
     assert 0 < quality.mask(policy) < 1 << len(quality.RULES)
+
+
+def test_keep_documents_with_columns_of_any_kind(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, good, {"a": 1}, 5, [1.5]), (2, "short", {"b": 2}, 6, None), (None, good, None, None, [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, measures map<string,int>, n_words int, words array<double>")
+    got = quality.keep_documents(df)
+    assert got.columns == df.columns and got.schema == df.schema
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, (rows[0], rows[2])))

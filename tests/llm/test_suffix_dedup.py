@@ -85,3 +85,13 @@ def test_minimisers_are_smallest_grams():
 def test_empty_table(no_docs):
     assert suffix_dedup.passages(no_docs).count() == 0
     assert suffix_dedup.cut_repeats(no_docs).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    rng = random.Random(31)
+    shared = prose(rng, 60)
+    rows = [(1, f"{prose(rng, 10)} {shared}", 1, {"a": 1}), (2, f"{shared} tail", 2, None), (3, None, 3, {"b": 2})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int, of_id map<string,int>")
+    got = {r.doc_id: r for r in suffix_dedup.cut_repeats(df).collect()}
+    assert got[1].text == rows[0][1] and got[2].text.strip() == "tail" and got[3].text is None
+    assert (got[2].spans, got[1].of_id, got[3].of_id) == (2, {"a": 1}, {"b": 2})
