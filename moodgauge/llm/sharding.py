@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from moodgauge.llm.common import scratch, written
+from moodgauge.llm.common import checked_small, scratch, written
 from moodgauge.session import ensure_checkpoint_dir, ship_package
 
 SHARDS = 40
@@ -42,38 +42,80 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return np.array(order, np.int64)
 
 
+def _bucket(n: int):
+    return F.pmod(F.col("place"), F.lit(n)).cast("long")
+
+
+def _tallied(rows: DataFrame, n: int) -> DataFrame:
+    return rows.groupBy(_bucket(n).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+
+
+def _offsets(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(bucket, offset): the rows in the buckets before; and all rows."""
+    # one row per bucket
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    out = written(_tallied(rows, n).select(
+        "bucket", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")), "buckets")
+    return out.select("bucket", "offset"), out.agg(F.sum("rows")).first()[0] or 0
+
+
+def placed(docs: DataFrame, seed: int, id_col: str, text_col: str, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """Rows (place, tie, size, record) and the number of buckets that the
+    places are dealt to.
+
+    A row's place is decided by its id alone, so that counting the buckets
+    reads narrow columns. Where a bucket comes out several times too large,
+    ids with a quarter of a bucket or more are looked for: their rows are
+    placed by the hash of the whole row, and if equal rows are as many, one
+    by one. The places are then written, so that all readers see the same."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.col(f"`{text_col}`").cast("string")
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
+    place = F.xxhash64(F.lit(seed), key)
+    if docs.where(F.col(f"`{id_col}`").isNull()).limit(1).count():
+        place = F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.lit(seed), whole)).otherwise(place)
+    total = docs.agg(F.sum(record_size(text))).first()[0] or 0
+    n = max(1, -(-total // bucket_bytes))
+    rows = docs.select(place.alias("place"), whole.alias("tie"), record_size(text).alias("size"), row.alias("record"))
+    heavy = written(_tallied(rows, n).where(F.col("bytes") > 4 * bucket_bytes).select("bucket"), "heavy")
+    if n == 1 or not heavy.limit(1).count():
+        return rows, n
+    keyed = docs.select(place.alias("place"), key.alias("key"), whole.alias("tie"), record_size(text).alias("size"))
+    large = keyed.withColumn("bucket", _bucket(n)).join(checked_small(heavy, 1_000_000), "bucket", "left_semi")
+    equal = written(large.groupBy("key", "tie").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "equal-rows")
+    # a single large row can't be spread
+    many = (F.col("bytes") >= bucket_bytes // 4) & (F.col("n") > 1)
+    ids = equal.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).where(many)
+    ids = checked_small(written(ids.select("key", F.lit(True).alias("hot_id")), "hot-ids"), 1_000_000)
+    ties = checked_small(written(equal.where(many).select("key", "tie", F.lit(True).alias("hot_row")), "hot-rows"), 1_000_000)
+    rows = docs.select(place.alias("place"), key.alias("key"), whole.alias("tie"), record_size(text).alias("size"), row.alias("record"))
+    rows = rows.join(ids, "key", "left").join(ties, ["key", "tie"], "left")
+    by_row = F.xxhash64(F.lit(seed), "key", "tie")
+    one_by_one = F.xxhash64(F.lit(seed), "key", "tie", F.monotonically_increasing_id())
+    new = F.when(F.col("hot_row"), one_by_one).when(F.col("hot_id"), by_row).otherwise(F.col("place"))
+    return written(rows.select(new.alias("place"), "tie", "size", "record"), "placed"), n
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id",
                         text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows of ``docs`` as a struct column ``record``, with ``shard``,
     ``slot`` (gapless from 0 within the shard) and ``size``.
 
     Counts of shards differ by one row at most. Rows that repeat an id fall
-    into one bucket; ties of id are ordered by a hash of the whole row, so
-    only rows equal in every column are interchangeable. Null ids are spread
-    by that hash, null texts have size 16, an empty table gives no rows, and
-    names of other columns may be any."""
+    into one bucket, unless they would fill it: see ``placed``. Ties of id
+    are ordered by a hash of the whole row (maps aside), so only rows equal
+    in every column are interchangeable. Null ids are spread by that hash,
+    null texts have size 16, an empty table gives no rows, and names of other
+    columns may be any. ``size`` and the buckets count the text; wide other
+    columns need a smaller ``bucket_bytes``."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    text = F.col(f"`{text_col}`").cast("string")
-    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    # the place of a row is decided by its id alone, so that counting the
-    # buckets reads one narrow column
-    place = F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))
-    if docs.where(F.col(f"`{id_col}`").isNull()).limit(1).count():
-        place = F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.lit(seed), whole)).otherwise(place)
-    total = docs.agg(F.sum(record_size(text))).first()[0] or 0
-    n = max(1, -(-total // bucket_bytes))
-    bucket = F.pmod(place, F.lit(n)).cast("long")
-    counts = docs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
-    # one row per bucket: the rows before it
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(counts.select("bucket", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")), "buckets")
-    n_rows = offsets.agg(F.sum("rows")).first()[0] or 0
-    offsets = offsets.select("bucket", "offset")
-    scattered = docs.select(bucket.alias("bucket"), place.alias("place"), whole.alias("tie"), record_size(text).alias("size"),
-                            row.alias("record")).join(F.broadcast(offsets) if n <= 100_000 else offsets, "bucket")
+    rows, n = placed(docs, seed, id_col, text_col, bucket_bytes)
+    offsets, n_rows = _offsets(rows, n)
+    scattered = rows.withColumn("bucket", _bucket(n)).join(
+        F.broadcast(offsets) if n <= 100_000 else offsets, "bucket")
     each, more = divmod(n_rows, shards)
 
     def permuted(table: pa.Table) -> pa.Table:

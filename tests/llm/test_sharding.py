@@ -44,5 +44,25 @@ def test_fisher_yates_is_uniform():
     assert np.corrcoef(sharding.fisher_yates(5000, [9]), np.arange(5000))[0, 1] < 0.05
 
 
-def test_crc_of_texts():
-    assert zlib.crc32(b"") == 0
+def test_hot_ids_and_equal_rows_are_spread(spark):
+    rows = [(i, f"text {i} " * 3) for i in range(300)]
+    rows += [(7, f"other {i} " * 3) for i in range(400)]        # one id, many texts
+    rows += [(8, "the same " * 3)] * 300 + [(None, "the same " * 3)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed, n = sharding.placed(df, 1, "doc_id", "text", 2_000)
+    sizes = [r.bytes for r in sharding._tallied(placed, n).collect()]
+    assert sum(sizes) == sum(len(t) + 16 for _, t in rows) and max(sizes) < 8_000
+    got = sharding.shuffle_into_shards(df, shards=7, bucket_bytes=2_000).collect()
+    assert Counter((r.record.doc_id, r.record.text) for r in got) == Counter(rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 7
+
+
+def test_crc_of_texts(spark):
+    from moodgauge.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op4_sharding"](spark, sf).collect():
+        assert r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode())
