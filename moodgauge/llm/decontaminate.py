@@ -21,16 +21,19 @@ Search of a batch of passages, all in array arithmetic:
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from moodgauge.llm.common import map_arrow, written
-from moodgauge.llm.words import blocks, window_hash
+from moodgauge.llm.words import blocks, string_array, window_hash
 from moodgauge.session import ensure_checkpoint_dir, ship_package
 
 K1, B = 1.2, 0.75
@@ -43,6 +46,45 @@ MIN_STRIDE = 64
 # items per index; a larger benchmark is searched index by index
 INDEX_WORDS = 2_000_000
 
+# scripts that are written without spaces: each of their code points is a word
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x4DBF),
+             (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+
+def _separator_ranges() -> list[tuple[int, int]]:
+    """Runs of non-ASCII spaces, punctuation, symbols and controls."""
+    out: list[tuple[int, int]] = []
+    for c in range(0x80, 0x10000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "ZPS" or kind == "Cc":
+            if out and out[-1][1] == c - 1:
+                out[-1] = out[-1][0], c
+            else:
+                out.append((c, c))
+    return out
+
+
+_SEPARATORS = _separator_ranges()
+_SEPARATOR = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in _SEPARATORS) + "]")
+_LETTER = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in _UNSPACED) + "]")
+# the same characters for Arrow's regular expressions
+_CHANGED = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in _SEPARATORS + _UNSPACED) + "]"
+
+
+def spaced(column) -> pa.Array:
+    """A column of texts in which non-ASCII separators are spaces, and code
+    points of unspaced scripts stand between spaces. Texts without such
+    characters are as they were."""
+    texts = string_array(column)
+    at = np.flatnonzero(pc.match_substring_regex(texts, _CHANGED).to_numpy(zero_copy_only=False)) if len(texts) else []
+    if not len(at):
+        return texts
+    out = texts.to_pylist()
+    for i in at:
+        out[i] = _LETTER.sub(r" \g<0> ", _SEPARATOR.sub(" ", out[i]))
+    return pa.array(out, pa.large_string())
+
+
 # letters and digits make words here: ASCII punctuation separates them
 _PUNCT = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -227,7 +269,7 @@ def _item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         ids = batch.column("item")
-        for b in blocks(batch.column("text"), separators=_PUNCT):
+        for b in blocks(spaced(batch.column("text")), separators=_PUNCT):
             yield {"item": ids.slice(b.first, b.n_texts),
                    "words": pa.ListArray.from_arrays(pa.array(b.word_at, pa.int32()), pa.array(b.word_hash(lower=True).view(np.int64)))}
 
@@ -265,7 +307,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 
 def _search_texts(found: list[Index], column):
-    for b in blocks(column, separators=_PUNCT):
+    for b in blocks(spaced(column), separators=_PUNCT):
         wh = b.word_hash(lower=True)
         for index in found:
             for text, item, *scores in search(index, b, wh):
@@ -280,7 +322,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     words, 0.5 or more) of the best passage. An answer is the last quarter of
     an item's words; of a single word there is none, which overlaps in full.
 
-    Words are lower-cased (A-Z) runs of letters, digits and non-ASCII bytes.
+    Words are lower-cased (A-Z) runs between white space, punctuation and
+    symbols of any script; each code point of a script that is written
+    without spaces (Chinese, Japanese, Thai, ...) is a word.
     Null and empty texts and items match nothing; an empty benchmark gives no
     rows; repeated rows and items are answered each; ids may be null. Work is
     row-local: nothing but the index (bounded, see INDEX_WORDS) is moved."""

@@ -111,3 +111,14 @@ def test_empty_tables(spark, bench, no_docs):
     assert dc.leaks(no_docs, b).count() == 0 == dc.leaks(some, none).count()
     assert dc.keep_clean(some, none).count() == 1 and dc.keep_clean(no_docs, b).count() == 0
     assert dc.leaks(some, none).columns == dc.leaks(some, b).columns
+
+
+def test_scripts_without_spaces_and_other_separators(spark):
+    rng = random.Random(2)
+    kana = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E00 + 900)) for _ in range(n))
+    item, words = kana(60), [f"word{rng.randrange(9999)}" for _ in range(30)]
+    b = spark.createDataFrame([(1, item), (2, " ".join(words))], "item_id long, text string")
+    rows = [(1, kana(100) + item + "。" + kana(100)), (2, kana(260)), (3, "\u3000".join(["x", *words, "y"])),
+            (4, "\u00ab" + "\u2014".join(words) + "\u00bb"), (5, "\u3000".join(f"other{i}" for i in range(40)))]
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()}
+    assert got == {(1, 1), (3, 2), (4, 2)}
