@@ -1,18 +1,18 @@
 """Language identification by cross-parsing entropy.
 
-For every language the distinct words of labelled texts, joined by spaces,
-make one suffix automaton. A word to judge is parsed against it from left to
-right into the longest pieces that occur there; the fewer phrases, the closer
-the language. Phrase counts are normalised by the length of the training
-text (a phrase costs log2 of the places it can be copied from). Phrases end
-at word ends, so a word is parsed once and its counts are used again.
+The labelled texts of every language, lower-cased, with one space between
+their runs of letters, make one suffix automaton. A text to judge is written
+the same way and parsed from left to right, across its words, into the
+longest pieces that occur in the language's text; the fewer phrases, the
+closer the language. Phrase counts are normalised by the length of the
+learned text (a phrase costs log2 of the places it can be copied from).
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,28 +22,32 @@ from pyspark.sql import functions as F
 from moodgauge.llm.common import checked_small, map_arrow
 from moodgauge.session import ensure_checkpoint_dir
 
-# bounds of what is learned: texts per language, and words of them
+# bounds of what is learned: texts and characters per language, and
+# characters of all languages together, shared evenly
 TEXTS_PER_LANGUAGE = 400
-WORDS_PER_LANGUAGE = 20_000
-WORD_CHARS = 40         # longer training words are left out
+CHARS_PER_LANGUAGE = 120_000
+CHARS_IN_ALL = 1_200_000
 UNDETERMINED = "und"
 _TOKEN = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 400_000
 
 
-def words(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _TOKEN.findall(text.lower())
+def letters(text: str) -> str:
+    """Lower-cased runs of letters with a space before, between and after
+    them; empty without letters."""
+    runs = _TOKEN.findall(text.lower())
+    joined = " ".join(runs)
+    if not joined.replace(" ", "").isalpha():       # digits of other kinds
+        joined = " ".join(filter(None, ("".join(filter(str.isalpha, r)) for r in runs)))
+    return f" {joined} " if joined else ""
 
 
 class Automaton:
     """Suffix automaton: from the root, every substring of the text is a
-    path, and only those."""
+    path, and only those. A state is the dict of the states after it."""
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
         link, length, last = [-1], [0], 0
-        nexts = self.next
+        nexts: list[dict] = [{}]
         for c in text:
             cur = len(nexts)
             nexts.append({})
@@ -67,96 +71,77 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
+        for state in nexts:
+            for c, to in state.items():
+                state[c] = nexts[to]
+        self.root = nexts[0]
 
     def phrases(self, text: str) -> int:
         """Number of phrases of the greedy parse: longest matches, or single
         characters that occur nowhere."""
-        nexts, n, state = self.next, 0, 0
+        root = state = self.root
+        n = 0
         for c in text:
-            to = nexts[state].get(c)
+            to = state.get(c)
             if to is None:          # the open phrase ends before c
-                n += state != 0
-                to = nexts[0].get(c)
+                n += state is not root
+                to = root.get(c)
                 if to is None:      # c is a phrase of its own
                     n += 1
-                    to = 0
+                    to = root
             state = to
-        return n + (state != 0)
+        return n + (state is not root)
 
 
 class Model:
     """Automata of all learned languages, in the order of their names."""
 
-    def __init__(self, vocabulary: dict[str, list[str]]):
-        self.languages = sorted(vocabulary)
-        texts = [" " + " ".join(vocabulary[k]) + " " for k in self.languages]
-        self.automata = [Automaton(t) for t in texts]
-        self.cost = np.log2([len(t) + 1 for t in texts])
-        self.known: dict[str, int] = {}
-        self.counts: list[tuple[int, ...]] = []
-
-    def place(self, word: str) -> int:
-        at = self.known.get(word)
-        if at is None:
-            if len(self.counts) >= _REMEMBERED:
-                self.known.clear()
-                self.counts.clear()
-            letters = "".join(c for c in word if c.isalpha())
-            marked = f" {letters} "
-            self.counts.append(tuple(a.phrases(marked) for a in self.automata) if letters else (0,) * len(self.automata))
-            at = self.known[word] = len(self.counts) - 1
-        return at
+    def __init__(self, learned: dict[str, str]):
+        self.languages = sorted(learned)
+        self.automata = [Automaton(learned[k]) for k in self.languages]
+        self.cost = np.log2([len(learned[k]) + 1 for k in self.languages])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); the score is how much cheaper the best parse is
         than the second (0: a tie, which the first name in order wins)."""
-        found = Counter(words(text or ""))
-        if not found or not self.languages:
-            return UNDETERMINED, 0.0
-        if len(self.counts) + len(found) > _REMEMBERED:
-            self.known.clear()
-            self.counts.clear()
-        if len(found) > _REMEMBERED:    # a text of very many words: by parts
-            rows = np.array([[a.phrases(f" {w} ") for a in self.automata] for w in found])
-        else:
-            places = [self.place(w) for w in found]
-            rows = np.array([self.counts[p] for p in places])
-        total = (np.fromiter(found.values(), np.int64, len(found)) @ rows) * self.cost
-        if not total.any():
+        seen = letters(text or "")
+        if not seen or not self.languages:
             return UNDETERMINED, 0.0
+        total = np.array([a.phrases(seen) for a in self.automata]) * self.cost
         best = int(np.argmin(total))
         rest = np.delete(total, best)
         score = 1.0 if not len(rest) else float(1 - total[best] / rest.min())
         return self.languages[best], min(max(score, 0.0), 1.0)
 
 
-def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """Words of a bounded sample of labelled texts: of every language the
-    TEXTS_PER_LANGUAGE texts whose id hashes lowest, and of those the
-    WORDS_PER_LANGUAGE words that most texts have."""
+def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
+    """The text that each language is learned from: of a bounded sample of
+    its labelled texts, the TEXTS_PER_LANGUAGE whose id hashes lowest, whole
+    texts in that order until the language's characters are used up; the text
+    that crosses the bound is cut there. Every language with a letter in some
+    labelled text has a sample."""
     text = F.col(text_col).cast("string")
     known = (docs.select(F.col(id_col).alias("id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
-             .where("lang is not null and text is not null"))
+             .where("lang is not null and text is not null").where(F.col("text").rlike("\\p{L}")))
     # by count and hash first, so that few rows more than needed are ranked,
-    # however many texts and input partitions a language has
-    seen = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    place = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
-    place = F.pmod(place, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = known.join(checked_small(seen, 10_000), "lang").where(place * F.col("n") < 4.0 * TEXTS_PER_LANGUAGE)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, F.xxhash64("text"), "id"))
-    sample = near.withColumn("r", rank).where(F.col("r") <= TEXTS_PER_LANGUAGE).select("lang", "text")
-
-    def run(batch: pa.RecordBatch):
-        for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            own = sorted({w for w in words(t) if len(w) <= WORD_CHARS and w.isalpha()})
-            yield {"lang": [lang] * len(own), "word": own}
-
-    counts = map_arrow(sample, run, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    # however many texts a language has; the lowest hash is always among them,
+    # also where one id or row is most of a language
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    seen = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("low"))
+    seen = seen.select(F.col("lang").alias("of"), "n", "low")
+    near = known.join(checked_small(seen, 10_000), F.col("lang") == F.col("of")).where(
+        (place * F.col("n") < 4.0 * TEXTS_PER_LANGUAGE) | (place == F.col("low")))
+    by = Window.partitionBy("lang").orderBy(place, F.xxhash64("text"), "id")
+    sample = near.withColumn("r", F.row_number().over(by)).where(F.col("r") <= TEXTS_PER_LANGUAGE)
+    chars = min(CHARS_PER_LANGUAGE, CHARS_IN_ALL // max(seen.count(), 1))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("r").rowsBetween(
+        Window.unboundedPreceding, -1))
+    sample = sample.withColumn("left", F.lit(chars) - F.coalesce(before, F.lit(0))).where("left > 0")
     found: dict[str, list[str]] = {}
-    for r in counts.withColumn("r", top).where(F.col("r") <= WORDS_PER_LANGUAGE).select("lang", "word").collect():
-        found.setdefault(r.lang, []).append(r.word)
-    return {k: sorted(v) for k, v in found.items()}
+    for r in sample.select("lang", "r", F.expr("substring(text, 1, int(left))").alias("text")).orderBy("lang", "r").collect():
+        found.setdefault(r.lang, []).append(letters(r.text))
+    joined = {k: "".join(v).replace("  ", " ") for k, v in found.items()}
+    return {k: v for k, v in joined.items() if v}
 
 
 _MODELS: dict[str, Model] = {}
@@ -165,23 +150,26 @@ _MODELS: dict[str, Model] = {}
 def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, lang_pred and score, learned
-    from the texts and languages of ``learn`` (a bounded sample of it).
+    from the texts and languages of ``learn`` (a bounded sample of it: at
+    most 400 texts and 120,000 characters a language, 1.2 million in all).
 
     Texts that are null or have no letter, and all texts if nothing was
-    learned, are ``und`` with score 0. Whole texts are parsed; ids, languages
-    and other columns of ``docs`` are no input of a prediction; ids may be
-    null or repeated. Work is row-local."""
+    learned, are ``und`` with score 0. Whole texts are parsed, at any length
+    of their runs of letters; ids, languages and other columns of ``docs``
+    are no input of a prediction; ids may be null or repeated. Work is
+    row-local."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    vocabulary = training_words(learn, id_col, text_col, lang_col)
-    key = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
-    shared = spark.sparkContext.broadcast(vocabulary)   # at most WORDS_PER_LANGUAGE words each
+    learned = training_texts(learn, id_col, text_col, lang_col)
+    key = hashlib.sha256(repr(sorted(learned.items())).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast(learned)      # at most CHARS_IN_ALL characters
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch):
         if key not in _MODELS:      # one model per worker process
             _MODELS.clear()
             _MODELS[key] = Model(shared.value)
+            gc.freeze()             # its many states need no further visits
         model = _MODELS[key]
         for at in range(0, batch.num_rows, 512):
             rows = batch.slice(at, 512)

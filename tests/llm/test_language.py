@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -18,24 +19,37 @@ def spoken():
     return [(i, speak(rng, lang, rng.randrange(1, 60)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
 
 
-def brute_phrases(training, word):
-    text, n, at = " " + " ".join(training) + " ", 0, 0
-    word = f" {word} "
-    while at < len(word):
+def brute_phrases(learned, text):
+    n, at = 0, 0
+    while at < len(text):
         size = 1
-        while at + size < len(word) and word[at:at + size + 1] in text:
+        while at + size < len(text) and text[at:at + size + 1] in learned:
             size += 1
         n, at = n + 1, at + size
     return n
 
 
+def brute_letters(text):
+    kept = "".join(c if c.isalpha() else " " for c in text.lower())
+    return f" {' '.join(kept.split())} " if kept.strip() else ""
+
+
+def brute_predict(learned, text):
+    """Whole-text parse by substring tests alone."""
+    seen = brute_letters(text or "")
+    if not seen:
+        return "und", 0.0
+    cost = sorted((brute_phrases(t, seen) * math.log2(len(t) + 1), k) for k, t in learned.items())
+    return cost[0][1], 1 - cost[0][0] / cost[1][0]
+
+
 def test_automaton_finds_longest_matches():
     rng = random.Random(7)
-    training = sorted({speak(rng, "bb", 1).lower() for _ in range(60)})
-    a = lg.Automaton(" " + " ".join(training) + " ")
+    learned = lg.letters(speak(rng, "bb", 60))
+    a = lg.Automaton(learned)
     for _ in range(300):
-        word = edit(rng, speak(rng, rng.choice(list(SYLLABLES)), 1).lower(), 0.1)
-        assert a.phrases(f" {word} ") == brute_phrases(training, word)
+        text = lg.letters(edit(rng, speak(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 9)), 0.1))
+        assert a.phrases(text) == brute_phrases(learned, text)
     assert a.phrases("") == 0 and lg.Automaton("").phrases("ab") == 2
 
 
@@ -47,6 +61,40 @@ def test_held_out_accuracy(spark, spoken):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_whole_texts_equal_brute_force(spark, spoken):
+    df = spark.createDataFrame(spoken, "doc_id long, text string, lang string")
+    learn = df.where("doc_id < 60")
+    learned = {}
+    for k in SYLLABLES:     # every text fits the bound, in whatever order
+        learned[k] = lg.training_texts(learn, "doc_id", "text", "lang")[k]
+        own = sorted(brute_letters(t).strip() for i, t, lang in spoken if i < 60 and lang == k)
+        assert sorted(learned[k].split()) == sorted(" ".join(own).split())
+    for r in lg.identify(df, learn).collect():
+        lang, score = brute_predict(learned, spoken[r.doc_id][1])
+        assert (r.lang_pred, round(r.score, 9)) == (lang, round(score, 9))
+
+
+def test_long_runs_and_hot_rows_are_learned(spark):
+    """A language of one endless run of letters, one whose rows are all the
+    same, and one without ids."""
+    rows = ([(i, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 40, "ja") for i in range(5)]
+            + [(77, "karo miten roka", "aa")] * 6000 + [(None, "sch\u00e4 ungkeit", "bb")] * 3 + [(9, "12 34", "none")])
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(lg.training_texts(learn, "doc_id", "text", "lang")) == {"ja", "aa", "bb"}
+    ask = spark.createDataFrame([(1, "\u672c\u8a9e\u306e\u6587"), (2, "miten karo"), (3, "ung sch\u00e4")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in lg.identify(ask, learn).collect()} == {1: "ja", 2: "aa", 3: "bb"}
+
+
+def test_learned_text_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lg, "CHARS_PER_LANGUAGE", 50)
+    learn = spark.createDataFrame([(i, "karo miten " * 9, k) for i, k in enumerate(["aa", "bb"] * 4)],
+                                  "doc_id long, text string, lang string")
+    got = lg.training_texts(learn, "doc_id", "text", "lang")
+    assert set(got) == {"aa", "bb"} and all(0 < len(v) <= 52 for v in got.values())
+    monkeypatch.setattr(lg, "CHARS_IN_ALL", 60)
+    assert all(0 < len(v) <= 32 for v in lg.training_texts(learn, "doc_id", "text", "lang").values())
+
+
 def test_odd_texts(spark, docs, corpus, spoken):
     learn = spark.createDataFrame([*spoken, (900, None, "aa"), (901, "x", None), (None, "karo", "aa")],
                                   "doc_id long, text string, lang string")
