@@ -41,6 +41,10 @@ def letters(text: str) -> str:
     return f" {joined} " if joined else ""
 
 
+# the state before a text, and after a character that was not learned
+_NOWHERE: dict = {}
+
+
 class Automaton:
     """Suffix automaton: from the root, every substring of the text is a
     path, and only those. A state is the dict of the states after it."""
@@ -71,26 +75,29 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        for state in nexts:
+        # copied in the order of their lengths: short states are met most
+        # often and lie close together in memory
+        order = sorted(range(len(nexts)), key=length.__getitem__)
+        states: list[dict] = [{}] * len(nexts)
+        for s in order:
+            states[s] = dict(nexts[s])
+        for state in states:
             for c, to in state.items():
-                state[c] = nexts[to]
-        self.root = nexts[0]
+                state[c] = states[to]
+        self.root = states[0]
 
     def phrases(self, text: str) -> int:
         """Number of phrases of the greedy parse: longest matches, or single
         characters that occur nowhere."""
-        root = state = self.root
+        root, state = self.root, _NOWHERE
         n = 0
         for c in text:
-            to = state.get(c)
-            if to is None:          # the open phrase ends before c
-                n += state is not root
-                to = root.get(c)
-                if to is None:      # c is a phrase of its own
-                    n += 1
-                    to = root
-            state = to
-        return n + (state is not root)
+            if c in state:
+                state = state[c]
+            else:                   # a phrase starts with c
+                n += 1
+                state = root[c] if c in root else _NOWHERE
+        return n
 
 
 class Model:

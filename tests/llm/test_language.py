@@ -50,7 +50,7 @@ def test_automaton_finds_longest_matches():
     for _ in range(300):
         text = lg.letters(edit(rng, speak(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 9)), 0.1))
         assert a.phrases(text) == brute_phrases(learned, text)
-    assert a.phrases("") == 0 and lg.Automaton("").phrases("ab") == 2
+    assert a.phrases("") == 0 and lg.Automaton("").phrases("ab") == 2 and lg.Automaton("a").phrases("bab") == 3
 
 
 def test_held_out_accuracy(spark, spoken):
