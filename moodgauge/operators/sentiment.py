@@ -65,9 +65,10 @@ def _capitals(token: str) -> Column:
 def clause_tokens(rows: DataFrame, own: list[str], text_col: str, contrasts: list[str]) -> DataFrame:
     """One row per token of a text: the columns ``own``, pos (place among
     tokens and marks), t (as written), p1, p2, p3 (the tokens before it in
-    its clause, else null), and of the text: mixed (some tokens in capitals,
-    not all), turn (place of the first contrast word, null without one). A
-    text that begins with a mark, or has no token, has a row without t."""
+    its clause, else null), and of the text: words (how many tokens), mixed
+    (some tokens in capitals, not all), turn (place of the first contrast
+    word, null without one). A text that begins with a mark (pos 1), or has no
+    token (pos null), has a row without t."""
     toks = rows.select(*own, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_TOKENS), 0).alias("toks"))
     words = F.size(F.filter("toks", lambda t: ~t.rlike(_MARK)))
     loud = F.size(F.filter("toks", lambda t: (F.length(t) > 1) & t.rlike(_CAPITALS)))
@@ -75,8 +76,9 @@ def clause_tokens(rows: DataFrame, own: list[str], text_col: str, contrasts: lis
     turn = F.least(*places, F.lit(None).cast("long")) if places else F.lit(None).cast("long")
     toks = toks.withColumn("low", F.transform("toks", F.lower))
     # what is of the whole text is computed before the explode, once
-    toks = toks.select(*own, ((loud > 0) & (loud < words)).alias("mixed"), turn.alias("turn"), _neighbours(F.col("toks")).alias("cells"))
-    out = toks.select(*own, "mixed", "turn", F.posexplode_outer("cells").alias("at", "c"))
+    toks = toks.select(*own, words.alias("words"), ((loud > 0) & (loud < words)).alias("mixed"), turn.alias("turn"),
+                       _neighbours(F.col("toks")).alias("cells"))
+    out = toks.select(*own, "words", "mixed", "turn", F.posexplode_outer("cells").alias("at", "c"))
     mark = F.col("c.t").rlike(_MARK)
     out = out.where(F.col("c.t").isNull() | ~mark | (F.col("at") == 0))
     # a mark before a token ends its neighbourhood
@@ -84,7 +86,7 @@ def clause_tokens(rows: DataFrame, own: list[str], text_col: str, contrasts: lis
     for k in (1, 2, 3):
         alive = alive & F.col(f"c.p{k}").isNotNull() & ~F.col(f"c.p{k}").rlike(_MARK)
         before.append(F.when(alive, F.col(f"c.p{k}")).alias(f"p{k}"))
-    return out.select(*own, "mixed", "turn", (F.col("at") + 1).alias("pos"), F.when(~mark, F.col("c.t")).alias("t"), *before)
+    return out.select(*own, "words", "mixed", "turn", (F.col("at") + 1).alias("pos"), F.when(~mark, F.col("c.t")).alias("t"), *before)
 
 
 def sentiment_rules(docs: DataFrame, lexicon: DataFrame, idioms: DataFrame | None = None, id_col: str = "doc_id",
@@ -101,9 +103,11 @@ def sentiment_rules(docs: DataFrame, lexicon: DataFrame, idioms: DataFrame | Non
     Ids may be null or repeated, every row is answered; other columns are not
     read.
 
-    Plan: tokens and neighbours are row-local; lookups are broadcast hash
-    joins after a size check; sums are partial aggregates per row before the
-    only shuffle, which carries one narrow row per text."""
+    Plan: tokens, neighbours and what the rules make of them are row-local;
+    lookups are broadcast hash joins after a size check; sums are partial
+    aggregates per row before a shuffle of one narrow row per text. Past the
+    check, tokens meet the lexicon through a shuffle, without their
+    neighbours, and those without a valence go no further."""
     boost = _lit_map(boosters or {})
     negs = F.array(*[F.lit(w) for w in negations or []]).cast("array<string>")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -118,16 +122,13 @@ def sentiment_rules(docs: DataFrame, lexicon: DataFrame, idioms: DataFrame | Non
         return df.select(F.col(df.columns[0]).alias(key), F.col(df.columns[1]).cast("double").alias(value)).where(
             F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
 
-    hit = _lookup(toks, table(lexicon, "lt", "v1"), "lt", "v1", max_broadcast_rows)
-    v = F.col("v1")
+    idiom = F.lit(None).cast("double")
     if idioms is not None:
         g2, g3 = F.concat_ws(" ", "lp1", "lt"), F.concat_ws(" ", "lp2", "lp1", "lt")
-        hit = hit.withColumn("g2", F.when(F.col("lp1").isNotNull(), g2)).withColumn("g3", F.when(F.col("lp2").isNotNull(), g3))
-        hit = _lookup(hit, table(idioms, "g2", "v2"), "g2", "v2", max_broadcast_rows)
-        hit = _lookup(hit, table(idioms, "g3", "v3"), "g3", "v3", max_broadcast_rows)
-        v = F.coalesce("v3", "v2", "v1")
-    v0 = F.coalesce(v, F.lit(0.0))
-    sign = F.signum(v0)
+        toks = toks.withColumn("g2", F.when(F.col("lp1").isNotNull(), g2)).withColumn("g3", F.when(F.col("lp2").isNotNull(), g3))
+        toks = _lookup(toks, table(idioms, "g2", "v2"), "g2", "v2", max_broadcast_rows)
+        toks = _lookup(toks, table(idioms, "g3", "v3"), "g3", "v3", max_broadcast_rows)
+        idiom = F.coalesce("v3", "v2")
     loud = F.when(F.col("mixed") & _capitals("t"), F.lit(CAPS_PUSH)).otherwise(0.0)
     push = F.lit(0.0)
     for k, decay in enumerate(BOOST_DECAY, 1):
@@ -137,14 +138,23 @@ def sentiment_rules(docs: DataFrame, lexicon: DataFrame, idioms: DataFrame | Non
     denied = F.lit(False)
     for k in (1, 2, 3):
         denied = denied | F.coalesce(F.array_contains(negs, F.col(f"lp{k}")), F.lit(False))
-    x = v0 + sign * loud + sign * push
-    x = F.when(denied, x * NEGATION_SCALAR).otherwise(x)
-    x = F.when(F.col("pos") < F.col("turn"), x * CONTRAST[0]).when(F.col("pos") > F.col("turn"), x * CONTRAST[1]).otherwise(x)
+    weight = F.when(F.col("pos") < F.col("turn"), CONTRAST[0]).when(F.col("pos") > F.col("turn"), CONTRAST[1]).otherwise(1.0)
+    # one row of every text, its head, carries what is of the text
+    head = F.coalesce(F.col("pos") == 1, F.lit(True))
+    cells = toks.select("__row", "pos", "lt", idiom.alias("idiom"), loud.alias("loud"), push.alias("push"), denied.alias("denied"),
+                        weight.alias("weight"), F.when(head, F.struct("id", "ex", "qu", "words")).alias("head"))
+    hit = _lookup(cells, table(lexicon, "lt", "v1"), "lt", "v1", max_broadcast_rows)
+    v0 = F.coalesce("idiom", "v1", F.lit(0.0))
+    sign = F.signum(v0)
+    x = v0 + sign * F.col("loud") + sign * F.col("push")
+    x = F.when(F.col("denied"), x * NEGATION_SCALAR).otherwise(x) * F.col("weight")
     x = F.when(v0 == 0, F.lit(0.0)).otherwise(x)
-    j = hit.select(*own, x.alias("x"), F.col("t").isNotNull().alias("word")).groupBy(*own).agg(
-        F.sum("x").alias("s"), F.sum(F.when(F.col("x") > 0, F.col("x") + 1).otherwise(0.0)).alias("ps"),
+    j = hit.select("__row", "head", x.alias("x")).where("x != 0 or head is not null").groupBy("__row").agg(
+        F.first("head", ignorenulls=True).alias("h"), F.sum("x").alias("s"),
+        F.sum(F.when(F.col("x") > 0, F.col("x") + 1).otherwise(0.0)).alias("ps"),
         F.sum(F.when(F.col("x") < 0, 1 - F.col("x")).otherwise(0.0)).alias("ns"),
-        F.count(F.when(F.col("word") & (F.col("x") == 0), 1)).cast("double").alias("nu"))
+        F.count(F.when(F.col("x") != 0, 1)).alias("hits"))
+    j = j.select("h.id", "h.ex", "h.qu", "s", "ps", "ns", (F.col("h.words") - F.col("hits")).cast("double").alias("nu"))
     stress = F.least("ex", F.lit(EXCLAIM[1])) * EXCLAIM[0] + F.when(F.col("qu") > QUESTION[1], F.lit(QUESTION[2])).when(
         F.col("qu") > 1, F.col("qu") * QUESTION[0]).otherwise(0.0)
     zero = F.lit(0.0)
