@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import MAX_BROADCAST_ROWS, checked_broadcast
+from ..session import checked_broadcast
 from .scoring import BOOST_DECAY, NEGATION_SCALAR, NORMALIZE_ALPHA, _lit_map, _neighbours
 
 # Fixed values (rule constants from Hutto & Gilbert, ICWSM 2014):
@@ -41,6 +41,10 @@ _TOKENS = "[\\p{L}\\p{N}]+|[.,;:!?\\n]"
 _MARK = "^[.,;:!?\\n]$"
 _CAPITALS = "^[\\p{Lu}\\p{N}]*\\p{Lu}[\\p{Lu}\\p{N}]*$"
 
+# most rows of a table that is broadcast, if they are also below the session's
+# bound on bytes: a row here is a word and a number
+TABLE_ROWS = 1_000_000
+
 # copies of a table that is joined through a shuffle: the tokens of a very
 # common word go to so many tasks
 TABLE_COPIES = 16
@@ -48,11 +52,14 @@ TABLE_COPIES = 16
 
 def _lookup(rows: DataFrame, table: DataFrame, key: str, value: str, max_rows: int) -> DataFrame:
     """``rows`` with ``value`` of ``table`` (key, value), null where there is
-    none: broadcast after a check, else a shuffle join in which a common key
-    is dealt to several tasks."""
+    none: broadcast after a check, else through a shuffle."""
     small, _ = checked_broadcast(table, max_rows)
-    if small is not None:
-        return rows.join(small, key, "left")
+    return rows.join(small, key, "left") if small is not None else _shuffled(rows, table, key)
+
+
+def _shuffled(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The left join of a table of any size: a common key is dealt to several
+    tasks."""
     copies = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(TABLE_COPIES - 1))))
     own = F.pmod(F.xxhash64("__row", "pos"), F.lit(TABLE_COPIES)).cast("int")
     return rows.withColumn("__copy", own).join(copies, [key, "__copy"], "left").drop("__copy")
@@ -91,7 +98,7 @@ def clause_tokens(rows: DataFrame, own: list[str], text_col: str, contrasts: lis
 
 def sentiment_rules(docs: DataFrame, lexicon: DataFrame, idioms: DataFrame | None = None, id_col: str = "doc_id",
                     text_col: str = "text", negations: list[str] | None = None, boosters: dict | None = None,
-                    contrasts: list[str] | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                    contrasts: list[str] | None = None, max_broadcast_rows: int = TABLE_ROWS) -> DataFrame:
     """``(id, neg, neu, pos, compound)``, one row per row of ``docs``, by the
     rules above.
 
@@ -129,6 +136,12 @@ def sentiment_rules(docs: DataFrame, lexicon: DataFrame, idioms: DataFrame | Non
         toks = _lookup(toks, table(idioms, "g2", "v2"), "g2", "v2", max_broadcast_rows)
         toks = _lookup(toks, table(idioms, "g3", "v3"), "g3", "v3", max_broadcast_rows)
         idiom = F.coalesce("v3", "v2")
+    # one row of every text, its head, carries what is of the text
+    head = F.coalesce(F.col("pos") == 1, F.lit(True))
+    lex = table(lexicon, "lt", "v1")
+    small, _ = checked_broadcast(lex, max_broadcast_rows)
+    if small is not None:   # the rules are worked out only where they apply
+        toks = toks.join(small, "lt", "left").where(F.coalesce(idiom, "v1").isNotNull() | head)
     loud = F.when(F.col("mixed") & _capitals("t"), F.lit(CAPS_PUSH)).otherwise(0.0)
     push = F.lit(0.0)
     for k, decay in enumerate(BOOST_DECAY, 1):
@@ -139,11 +152,10 @@ def sentiment_rules(docs: DataFrame, lexicon: DataFrame, idioms: DataFrame | Non
     for k in (1, 2, 3):
         denied = denied | F.coalesce(F.array_contains(negs, F.col(f"lp{k}")), F.lit(False))
     weight = F.when(F.col("pos") < F.col("turn"), CONTRAST[0]).when(F.col("pos") > F.col("turn"), CONTRAST[1]).otherwise(1.0)
-    # one row of every text, its head, carries what is of the text
-    head = F.coalesce(F.col("pos") == 1, F.lit(True))
     cells = toks.select("__row", "pos", "lt", idiom.alias("idiom"), loud.alias("loud"), push.alias("push"), denied.alias("denied"),
-                        weight.alias("weight"), F.when(head, F.struct("id", "ex", "qu", "words")).alias("head"))
-    hit = _lookup(cells, table(lexicon, "lt", "v1"), "lt", "v1", max_broadcast_rows)
+                        weight.alias("weight"), F.when(head, F.struct("id", "ex", "qu", "words")).alias("head"),
+                        *(["v1"] if small is not None else []))
+    hit = cells if small is not None else _shuffled(cells, lex, "lt")
     v0 = F.coalesce("idiom", "v1", F.lit(0.0))
     sign = F.signum(v0)
     x = v0 + sign * F.col("loud") + sign * F.col("push")
