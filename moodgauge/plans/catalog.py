@@ -206,9 +206,9 @@ def q_row_id(spark, sf_dir):
 def q_news_rows(spark, sf_dir):
     """A6 + D1 + F6: flatten landed news items, buffering the first
     max(3 x 20, 300) items per ticker before the date filter, then keep 20."""
-    out = sources.news_rows(news_items(spark, sf_dir), "page_id", start="2024-01-25",
+    out = sources.news_rows(news_items(spark, sf_dir), "ord", start="2024-01-25",
                             end="2024-01-05", limit=20)
-    return out.select("page_id", "ticker", "date",
+    return out.select("page_id", "event_id", "ticker", "date",
                       F.col("published_at").cast("timestamp_ntz").alias("published_at"),
                       "title", "link", "publisher", "summary")
 
@@ -405,10 +405,12 @@ def q_lexicon_score(spark, sf_dir):
 
 @query("softmax_scores")
 def q_softmax_scores(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    # logit order of the model's labels: positive, negative, neutral
-    emb = F.col("embedding")
-    return normalize(scoring.softmax_scores(e, emb[0], emb[1], emb[2], keep=["vec_id"]))
+    # logit order of the model's labels: positive, negative, neutral; each is
+    # the sum of every third component
+    sums = [F.expr(f"aggregate(filter(embedding, (x, i) -> i % 3 = {k}), 0D, (s, x) -> s + coalesce(double(x), 0D))")
+            for k in range(3)]
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(f"l{k}") for k, c in enumerate(sums)])
+    return normalize(scoring.softmax_scores(e, "l0", "l1", "l2", keep=["vec_id"]))
 
 
 @query("score_cache")
@@ -539,7 +541,7 @@ def q_merge_all(spark, sf_dir):
     lab = market.vol_label(market.realized_vol(market.log_returns(bars), n=20, year=252), horizon=1)
     ev = _events(spark, sf_dir)
     social = ev.select(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"), "value")
-    items = sources.flatten_news(news_items(spark, sf_dir)).select("ticker", "date", (F.col("page_id") * 40).alias("event_id"))
+    items = sources.flatten_news(news_items(spark, sf_dir)).select("ticker", "date", "event_id")
     dim = features.symbol_map(spark, ["EN", "FR", "DE", "ES"], ["click", "view", "purchase", "signup"])
     news = features.attach_symbol(items.join(ev.select("event_id", "value"), "event_id"), dim, "ticker")
     news = news.where(F.col("symbol").isNotNull()).select(F.col("symbol").alias("ticker"), "date", "value")

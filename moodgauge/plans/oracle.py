@@ -511,8 +511,12 @@ ORACLE["lexicon_score"] = _LEXICON
 ORACLE["score_cache"] = _LEXICON
 
 ORACLE["softmax_scores"] = """
-WITH l AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS p, CAST(embedding[2] AS DOUBLE) AS n,
-                  CAST(embedding[3] AS DOUBLE) AS u FROM embeddings),
+WITH c AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) % 3 AS k FROM embeddings),
+s AS (SELECT vec_id, sum(CAST(x AS DOUBLE)) FILTER (k = 1) AS p, sum(CAST(x AS DOUBLE)) FILTER (k = 2) AS n,
+             sum(CAST(x AS DOUBLE)) FILTER (k = 0) AS u FROM c GROUP BY vec_id),
+l AS (SELECT vec_id, CASE WHEN embedding IS NOT NULL THEN coalesce(p, 0) END AS p,
+             CASE WHEN embedding IS NOT NULL THEN coalesce(n, 0) END AS n,
+             CASE WHEN embedding IS NOT NULL THEN coalesce(u, 0) END AS u FROM embeddings LEFT JOIN s USING (vec_id)),
 e AS (SELECT vec_id, exp(p - greatest(p, n, u)) AS ep, exp(n - greatest(p, n, u)) AS en,
              exp(u - greatest(p, n, u)) AS eu FROM l)
 SELECT vec_id, round(en / (ep + en + eu), 6) AS neg, round(eu / (ep + en + eu), 6) AS neu,
@@ -699,10 +703,10 @@ WINDOW w AS (PARTITION BY is_overall, grp ORDER BY day
 """
 
 ORACLE["news_rows"] = "WITH " + NEWS_ITEMS_SQL + """,
-buf AS (SELECT *, row_number() OVER (PARTITION BY upper(trim(ticker)) ORDER BY page_id) AS rn
+buf AS (SELECT *, row_number() OVER (PARTITION BY upper(trim(ticker)) ORDER BY nth, page_id) AS rn
         FROM news_items),
 parsed AS (
-  SELECT page_id, upper(trim(ticker)) AS ticker, title, publisher,
+  SELECT page_id, event_id, nth, upper(trim(ticker)) AS ticker, title, publisher,
          coalesce(nullif(canonical, ''), nullif(click, '')) AS link,
          coalesce(nullif(description, ''), NULL) AS summary,
          CASE WHEN regexp_full_match(pub, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')
@@ -711,8 +715,8 @@ parsed AS (
 kept AS (SELECT *, CAST(published_at AS DATE) AS date FROM parsed
          WHERE published_at IS NOT NULL
            AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'),
-lim AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY page_id) AS r2 FROM kept)
-SELECT page_id, ticker, date, CAST(published_at AS TIMESTAMP) AS published_at, title, link,
+lim AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY nth, page_id) AS r2 FROM kept)
+SELECT page_id, event_id, ticker, date, CAST(published_at AS TIMESTAMP) AS published_at, title, link,
        publisher, summary
 FROM lim WHERE r2 <= 20
 """
@@ -822,7 +826,7 @@ lab AS (SELECT *, lead(rv) OVER (PARTITION BY ticker ORDER BY date) AS rv_1d FRO
 soc AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS d, value FROM events WHERE ts IS NOT NULL),
 dim AS (SELECT unnest(['EN', 'FR', 'DE', 'ES']) AS entity, unnest(['click', 'view', 'purchase', 'signup']) AS symbol),
 news AS (SELECT dim.symbol AS ticker, CAST(e.ts AS DATE) AS d, e.value
-         FROM news_items n JOIN dim ON dim.entity = upper(n.ticker) JOIN events e ON e.event_id = n.page_id * 40
+         FROM news_items n JOIN dim ON dim.entity = upper(n.ticker) JOIN events e ON e.event_id = n.event_id
          WHERE n.pub IS NOT NULL AND n.pub <> 'not a date'),
 sd AS (SELECT ticker, date, avg(value) AS v, count(*) AS n FROM (
   SELECT ticker, value, (SELECT min(date) FROM bars b WHERE b.ticker = s.ticker AND b.date >= s.d) AS date FROM soc s)

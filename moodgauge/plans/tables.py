@@ -40,11 +40,11 @@ def normalize(df: DataFrame, digits: int = 6) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed model responses ``(entity, run, attempt, text)``.
 
-    From the assistant turns of ``conversations``: entity = ``E{conv_id % 5}``
-    (five entities), run = conversation, attempt = rank of the turn among the
-    conversation's assistant turns (1-based, by turn number).
+    Every turn of ``conversations`` is a response: entity = ``E{conv_id % 5}``
+    (five entities), run = conversation, attempt = rank of the turn in its
+    conversation (1-based, by turn number).
     """
-    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    conv = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     return conv.select(
         F.concat(F.lit("E"), (F.col("conv_id") % 5).cast("string")).alias("entity"),
@@ -59,7 +59,7 @@ responses AS (
   SELECT 'E' || CAST(conv_id % 5 AS VARCHAR) AS entity, conv_id AS run,
          CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS attempt,
          text
-  FROM conversations WHERE role = 'assistant'
+  FROM conversations
 )"""
 
 
@@ -120,42 +120,48 @@ social_listing AS (
 )"""
 
 
+# events per page: the news items that a page is the article of
+ITEMS_PER_PAGE = 40
+
+
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed vendor news items (input of A6) as nested records, from pages
-    and the event with id ``40 x page_id`` (events are 40 times as many as
-    pages, so the items spread over the whole month): ticker = language code
-    of the URL path,
+    """Landed vendor news items (input of A6) as nested records, one per
+    event, whose article is the page ``event_id div 40`` (a page without an
+    event is an item without a time): ticker = language code of the URL path,
     pubDate = the event instant as ISO text (``Z`` suffix; the 'error'
     events carry an unparsable text), title = the page title, summary empty
     and description = the first heading, canonical URL only for https pages,
-    click-through URL = the page URL, provider = the host. Arrival order =
-    page_id."""
-    p = table(spark, sf_dir, "pages").withColumn("event_id", F.col("page_id") * 40)
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    j = p.join(ev, "event_id", "left")
+    click-through URL = the page URL, provider = the host. Arrival order
+    ``ord``: the first items of all pages, then their second ones, ...; the
+    parts of a page are taken from its html once, before the join."""
+    url = F.col("url")
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", "url",
+        F.regexp_extract(url, "^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("ticker"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("description"),
+        F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("host"))
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "ts", "event_type", F.expr(f"event_id div {ITEMS_PER_PAGE}").alias("page_id"))
+    j = p.join(ev, "page_id", "left")
+    nth = F.coalesce(F.col("event_id") % ITEMS_PER_PAGE, F.lit(0))
     iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     pub = F.when(F.col("event_type") == "error", F.lit("not a date")).otherwise(iso)
-    url = F.col("url")
     return j.select(
-        "page_id",
-        F.regexp_extract(url, "^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("ticker"),
+        "page_id", "event_id", F.struct(nth.alias("nth"), "page_id").alias("ord"), "ticker",
         F.struct(
-            pub.alias("pubDate"),
-            F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-            F.lit("").alias("summary"),
-            F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("description"),
+            pub.alias("pubDate"), "title", F.lit("").alias("summary"), "description",
             F.struct(F.when(url.startswith("https://"), url).alias("url")).alias("canonicalUrl"),
             F.struct(url.alias("url")).alias("clickThroughUrl"),
-            F.struct(F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("displayName"))
-             .alias("provider"),
+            F.struct(F.col("host").alias("displayName")).alias("provider"),
         ).alias("content"),
     )
 
 
-NEWS_ITEMS_SQL = """
+NEWS_ITEMS_SQL = f"""
 news_items AS (
-  SELECT p.page_id,
-         regexp_extract(p.url, '^[a-z]+://[^/]+/([a-z]{2})/', 1) AS ticker,
+  SELECT p.page_id, e.event_id, coalesce(e.event_id % {ITEMS_PER_PAGE}, 0) AS nth,
+         regexp_extract(p.url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) AS ticker,
          CASE WHEN e.event_type = 'error' THEN 'not a date'
               ELSE strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || 'Z' END AS pub,
          regexp_extract(p.html, '<title>([^<]*)</title>', 1) AS title,
@@ -163,5 +169,5 @@ news_items AS (
          CASE WHEN starts_with(p.url, 'https://') THEN p.url END AS canonical,
          p.url AS click,
          regexp_extract(p.url, '^[a-z]+://([^/?#]+)', 1) AS publisher
-  FROM pages p LEFT JOIN events e ON e.event_id = p.page_id * 40
+  FROM pages p LEFT JOIN events e ON e.event_id // {ITEMS_PER_PAGE} = p.page_id
 )"""
