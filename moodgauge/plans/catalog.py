@@ -272,7 +272,8 @@ def q_union_pools(spark, sf_dir):
 
 
 def _matches(spark, sf_dir, method="theta"):
-    d = _docs(spark, sf_dir).select("doc_id", "text")
+    # matching costs far more than a shuffle of a small file
+    d = spread(_docs(spark, sf_dir).select("doc_id", "text"))
     return match.match_entities(d, entity_terms(spark), "text", k=KEYWORD_COUNT,
                                 method=method)
 
@@ -426,7 +427,7 @@ def q_score_cache(spark, sf_dir):
 def _bag_model(spark, sf_dir):
     """All documents, and a linear bag-of-words model fitted on the labelled
     ones (toxic: negative; else good: positive; else neutral)."""
-    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    docs = spread(_docs(spark, sf_dir).select("doc_id", "text"))
     kind = (F.when(F.col("toxic") == 1, F.lit("negative")).when(F.col("quality") == 1, F.lit("positive"))
              .otherwise(F.lit("neutral")))
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", kind.alias("kind")), "doc_id")
@@ -448,7 +449,7 @@ def q_model_plugin(spark, sf_dir):
     scorer = scoring.bag_scorer(weights)
     if scorer is None:
         return normalize(scoring.bag_score(docs, weights, "text", "doc_id"))
-    return normalize(scoring.model_score(spread(docs), "text", "doc_id", scorer))
+    return normalize(scoring.model_score(docs, "text", "doc_id", scorer))
 
 
 @query("sentiment_rules")

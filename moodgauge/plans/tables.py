@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -79,7 +81,7 @@ def social_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     the same id; permalink = path of the page URL (site-relative), url = the
     page URL; over_18 = toxic label; score = n_chars.
     """
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 # the operators join through a shuffle.
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 32 << 20
+# files of less are gone through before a shuffle of them has paid
+SPREAD_BYTES = 4 << 20
 
 
 def build_session(master: str | None = None, app: str = "moodgauge",
@@ -34,6 +37,9 @@ def build_session(master: str | None = None, app: str = "moodgauge",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # methods past the size that the JVM compiles run as plain iterators,
+        # which it does compile
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         # checkpoint files of materialised intermediates are removed once the
@@ -118,15 +124,24 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     return None, n
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over the cores if its input comes in fewer parts than
-    there are cores (one small file, say): for work that spends far more on a
-    row than a shuffle of it costs. Inputs of many parts stay as they are."""
+def spread(df: DataFrame, least_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """``df``, read from files, dealt over the cores if its input comes in
+    fewer parts than there are cores (one file of one row group, say): for
+    work that spends far more on a row than a shuffle of it costs. Inputs of
+    many parts, which is what large ones are, and files of less than
+    ``least_bytes`` in all stay as they are."""
     try:
         cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
     except Exception:  # Spark Connect has neither
         return df
-    return df if parts >= cores else df.repartition(cores)
+    if parts >= cores:
+        return df
+    try:
+        files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+        size = files.agg(F.sum("file_size")).first()[0] or 0
+    except AnalysisException:  # not straight from files
+        return df.repartition(cores)
+    return df if size < least_bytes else df.repartition(cores)
 
 
 _SHIPPED: set = set()
