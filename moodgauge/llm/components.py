@@ -6,14 +6,44 @@ vertex of its component. A pass is two partial aggregations and two joins
 (hot vertices are combined before the shuffle, and AQE splits them in the
 joins); its edges are written to the shared folder, so neither plans nor
 recovery grow with the number of passes.
+
+A table of few edges, as a count shows, is settled by one task instead: there
+the jobs of the passes cost far more than the edges.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodgauge.llm.common import written
+from moodgauge.llm.common import ship_package, written
+
+# distinct edges that one task takes; more go through the passes
+FEW_EDGES = 250_000
+
+
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable from each) of undirected edges."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, z = at[:len(u)], at[len(u):]
+    low = np.arange(len(nodes))
+    while True:
+        x, y = low[a], low[z]
+        if (x == y).all():
+            return nodes, nodes[low]
+        # the larger root of an edge hangs on the smaller, then all on roots
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+
+
+def _settle(batches):
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if parts:
+        node, root = smallest_reachable(*(np.concatenate(x) for x in zip(*parts)))
+        yield pa.record_batch({"node": pa.array(node, pa.int64()), "component": pa.array(root, pa.int64())})
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,6 +72,9 @@ def components(edges: DataFrame) -> DataFrame:
     table gives an empty result."""
     e = written(edges.where("u != v").select(F.greatest("u", "v").cast("long").alias("u"),
                                              F.least("u", "v").cast("long").alias("v")).distinct(), "edges")
+    if e.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        ship_package(e.sparkSession)
+        return e.coalesce(1).mapInArrow(_settle, "node long, component long")
     while True:
         # done when no vertex has two targets and no target has one itself
         state = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))

@@ -101,6 +101,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_few_edges_are_settled_by_one_task(spark, monkeypatch):
+    """One written table for a chain that takes several passes; more edges
+    than one task takes go through the passes and give the same."""
+    from moodgauge.llm import components as own
+    rng = random.Random(7)
+    rows = [(i, i + 1) for i in range(200)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(120)]
+    edges = spark.createDataFrame(rows + [(5, 5), (None, 3), (-4, 250)], "u long, v long").repartition(3)
+    made, write = [], own.written
+    monkeypatch.setattr(own, "written", lambda df, name: made.append(name) or write(df, name))
+    few = sorted(map(tuple, own.components(edges).collect()))
+    assert len(made) == 1
+    monkeypatch.setattr(own, "FEW_EDGES", 10)
+    assert sorted(map(tuple, own.components(edges).collect())) == few and len(made) > 2
+
+
 def test_rows_that_repeat_an_id_with_other_texts(spark):
     rng = random.Random(8)
     a, b, c, d = (prose(rng, 80) for _ in range(4))
