@@ -5,9 +5,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from moodgauge.operators import sentiment as se
 from moodgauge.operators.scoring import BOOST_DECAY
+from moodgauge.session import key_filter
 
 LEX = {"good": 1.9, "bad": -2.5, "great": 3.1, "fine": 0.8}
 IDIOMS = {"bad good": 2.2, "not so bad": 1.1, "so bad": -3.0}
@@ -93,3 +95,32 @@ def test_lexicon_of_labels(spark):
     got = {r.term: r.valence for r in se.label_lexicon(spark.createDataFrame(rows, "text string, good int"), "good").collect()}
     assert got == {"up": 4.0, "down": -4.0, "day": pytest.approx(-4 / 7)}
     assert se.label_lexicon(spark.createDataFrame([], "text string, good int"), "good").count() == 0
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_tokens_that_need_no_shuffle_stay_out_of_it(spark, monkeypatch, counted):
+    """Past the broadcast ceiling neither tokens that the lexicon lacks nor,
+    if counts are known, its most common terms meet it in a shuffle."""
+    terms = [("good", 1.0, 9000), ("bad", -1.0, 8000), *[(f"w{i}", 1.5, 2) for i in range(50)]]
+    docs = spark.createDataFrame([(i, f"good w{i} not bad! " + "plain " * 200) for i in range(50)] + [(None, ""), (3, "none here")],
+                                 "doc_id long, text string")
+    lex = spark.createDataFrame(terms, "w string, v double, n long")
+    want = se.sentiment_rules(docs, lex).collect()
+    sent, shuffled = [], se._shuffled
+    monkeypatch.setattr(se, "_shuffled", lambda rows, *a: sent.append(rows.count()) or shuffled(rows, *a))
+    got = se.sentiment_rules(docs, lex, max_broadcast_rows=2, count_col="n" if counted else None).collect()
+    plain = lambda rows: sorted(repr([r.doc_id, *(round(x, 9) + 0.0 for x in r[1:])]) for r in rows)
+    assert plain(got) == plain(want) and len(got) == 52
+    # of 10,252 tokens: one row of every text, the rare terms, and the common ones too where no counts are known
+    assert sent[-1] < 120 if counted else sent[-1] < 240
+
+
+@pytest.mark.parametrize("longs", [1, 1 << 12])
+def test_key_filter_loses_no_key(spark, longs):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(3000)] + [(None,)], "k string")
+    rows = spark.createDataFrame([(f"k{i}",) for i in range(9000)], "v string")
+    test = key_filter(keys, "k", max_longs=longs)
+    passed = {r.v for r in rows.where(test(F.col("v"))).collect()}
+    assert {f"k{i}" for i in range(3000)} <= passed
+    assert longs == 1 or len(passed) < 3600
+    assert rows.where(key_filter(keys.limit(0), "k")(F.col("v"))).count() == 0
