@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodgauge.llm.common import map_arrow, written
+from moodgauge.llm.common import checked_small, map_arrow, written
 from moodgauge.llm.quality import measure_texts
 from moodgauge.llm.words import blocks, mix
-from moodgauge.session import ensure_checkpoint_dir
+from moodgauge.session import ensure_checkpoint_dir, key_filter
 
-MAX_LABELLED = 20_000       # texts of each label that are fitted on, chosen by hash
+MAX_BROADCAST = 250_000     # narrow rows
 PARTNERS = 4                # pairs of each text of the more common label
 REGULARISATION = 1e-4
 
@@ -123,12 +123,15 @@ class Ranking:
 
 
 def sampled_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-                   most: int = MAX_LABELLED) -> DataFrame:
-    """(id, label, weight): about ``most`` ids of each label 0 and 1, chosen
-    by a hash of the id, and how many ids each stands for. Null ids, other
-    labels and repeated rows don't count."""
+                   most: int | None = None) -> DataFrame:
+    """(id, label, weight): every id of the labels 0 and 1, each of weight 1;
+    or, if the caller gives ``most``, about so many of each label, chosen by a
+    hash of the id, and how many ids each stands for. Null ids, other labels
+    and repeated rows don't count."""
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     own = own.where("id is not null and label in (0, 1)").distinct()
+    if most is None:
+        return own.withColumn("weight", F.lit(1.0))
     n = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = {k: min(1.0, most / v) for k, v in n.items()}
     place = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000))
@@ -140,20 +143,22 @@ def sampled_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "
 
 
 def labelled_features(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table (label, weight, key, x) of the distinct labelled texts:
-    the sample is bounded and broadcast, texts stay where they are; equal
-    texts of a label are one row."""
+    """Written table (label, weight, key, x) of the distinct labelled texts;
+    equal texts of a label are one row. Texts stay where they are: those that
+    have no label are left out by a filter of the ids, and the features of
+    the others, not their texts, meet the labels."""
+    sample = written(sample, "labels")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.join(F.broadcast(sample), "id").select(
-        "label", "weight", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    src = src.where(F.col("id").isNotNull() & key_filter(sample, "id")(F.col("id"))).select(
+        "id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
 
     def run(batch: pa.RecordBatch):
         x = features(batch.column("text"))
         at = np.arange(0, x.size + 1, x.shape[1])
-        yield {**{c: batch.column(c) for c in ("label", "weight", "key")},
+        yield {**{c: batch.column(c) for c in ("id", "key")},
                "x": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.ravel()))}
 
-    rows = map_arrow(src, run, "label int, weight double, key long, x array<double>")
+    rows = map_arrow(src, run, "id long, key long, x array<double>").join(checked_small(sample, MAX_BROADCAST), "id")
     return written(rows.groupBy("label", "key").agg(F.sum("weight").alias("weight"), F.first("x").alias("x")), "labelled")
 
 
@@ -174,6 +179,45 @@ def preference_pairs(rows: DataFrame, partners: int = PARTNERS) -> DataFrame:
     return side(1, "win").join(side(0, "lose"), ["turn", "bucket"]).select("win", "lose")
 
 
+BINS, FEW_VALUES = 4096, 10_000
+
+
+def weighted_percentile(rows: DataFrame, share: float) -> float:
+    """What ``percentile(x, share, n)`` gives over ``rows`` (x, n), without
+    all values in one task: the range that holds the rank is cut into bins,
+    whose sums come to the driver, until few values are in it."""
+    lo, hi, total = rows.agg(F.min("x"), F.max("x"), F.sum("n")).first()
+    place = (total - 1) * share
+    first, last = int(np.floor(place)), int(np.ceil(place))
+    below, many = 0, rows.count()
+    while many > FEW_VALUES and lo < hi:
+        width = (hi - lo) / BINS
+        if not lo + width > lo:
+            break       # neighbouring numbers
+        bins = rows.where(F.col("x").between(lo, hi)).groupBy(
+            F.least(F.floor((F.col("x") - lo) / width), F.lit(BINS - 1)).alias("b")).agg(
+            F.sum("n").alias("w"), F.count(F.lit(1)).alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect()
+        upto = below + np.cumsum([r["w"] for r in bins])
+        a, z = np.searchsorted(upto, [first, last], side="right")
+        if a < z:       # the two ranks lie on both sides of a bin's end
+            return (last - place) * bins[a]["hi"] + (place - first) * bins[z]["lo"]
+        below, lo, hi, many = (upto[a - 1] if a else below), bins[a]["lo"], bins[a]["hi"], bins[a]["rows"]
+    # equal values are one row; the loop left few different ones
+    values = rows.where(F.col("x").between(lo, hi)).groupBy("x").agg(F.sum("n").alias("w")).orderBy("x").collect()
+    upto = below + np.cumsum([r["w"] for r in values])
+    x, y = (values[i]["x"] for i in np.searchsorted(upto, [first, last], side="right"))
+    return x if x == y else (last - place) * x + (place - first) * y
+
+
+def _differences(batch: pa.RecordBatch):
+    win, lose, turned = (batch.column(c) for c in ("win", "lose", "turned"))
+    turned = turned.to_numpy()
+    n = np.diff(win.offsets.to_numpy())
+    x = (win.flatten().to_numpy() - lose.flatten().to_numpy()) * np.repeat(1.0 - 2.0 * turned, n)
+    at = np.concatenate([[0], np.cumsum(n)])
+    yield {"label": 1.0 - turned, "x": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x))}
+
+
 def fit(rows: DataFrame) -> Ranking:
     """Ranking learned from ``labelled_features``. Without texts of both
     labels there are no pairs, and every text scores the share of label 1
@@ -186,21 +230,17 @@ def fit(rows: DataFrame) -> Ranking:
     if not worse or not better:
         return Ranking(None, 0.5 if worse == better else better / (worse + better))
     # a pair turned round has the opposite label; the halves balance
-    turned = F.pmod(F.xxhash64("win", "lose"), F.lit(2))
-    sign = F.when(turned == 0, 1.0).otherwise(-1.0)
-    pairs = preference_pairs(rows).select(
-        (F.lit(1.0) - turned).alias("label"),
-        array_to_vector(F.zip_with("win", "lose", lambda a, z: (a - z) * sign)).alias("features"))
-    pairs = written(pairs, "pairs")
+    pairs = preference_pairs(rows).select("win", "lose", F.pmod(F.xxhash64("win", "lose"), F.lit(2)).cast("int").alias("turned"))
+    pairs = written(map_arrow(pairs, _differences, "label double, x array<double>"), "pairs")
+    pairs = pairs.select("label", array_to_vector("x").alias("features"))
     weights = LogisticRegression(fitIntercept=False, standardization=True, regParam=REGULARISATION,
                                  maxIter=100, tol=1e-6).fit(pairs).coefficients.toArray()
     weights = np.round(weights, 6)
     dot = F.aggregate(F.zip_with("x", F.lit(weights.tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    # half way between the last text turned down and the first accepted;
-    # a thousandth of a text is the unit of weight
+    # half way between the last text turned down and the first accepted
     cut = (worse - 0.5) / max(worse + better - 1, 1)
-    at = rows.agg(F.percentile(dot, min(max(cut, 0.0), 1.0), F.greatest(F.lit(1), F.round(F.col("weight")).cast("int"))).alias("t"))
-    return Ranking(weights, float(at.first()["t"]))
+    strengths = written(rows.select(dot.alias("x"), F.greatest(F.lit(1), F.round("weight")).cast("long").alias("n")), "strengths")
+    return Ranking(weights, float(weighted_percentile(strengths, min(max(cut, 0.0), 1.0))))
 
 
 def score_documents(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

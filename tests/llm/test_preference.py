@@ -107,3 +107,22 @@ def test_features_of_whole_texts(corpus):
 def test_empty_tables(spark, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert pf.rank_quality(no_docs, labels).count() == 0
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    n = 45_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(0, n, 2).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    rows = pf.labelled_features(docs, pf.sampled_labels(labels))
+    assert rows.count() == n // 2 and rows.agg(F.sum("weight")).first()[0] == n // 2
+
+
+@pytest.mark.parametrize("share", [0.0, 0.013, 0.5, 0.77777, 1.0])
+def test_percentile_without_a_table_of_all_values(spark, share, monkeypatch):
+    monkeypatch.setattr(pf, "FEW_VALUES", 50)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, 1500), rng.lognormal(0, 4, 1000), np.repeat(0.25, 800)])
+    rows = spark.createDataFrame([(float(v), int(w)) for v, w in zip(x, rng.integers(1, 5, len(x)))], "x double, n long")
+    two = spark.range(200).select((F.col("id") % 2).cast("double").alias("x"), F.lit(1).cast("long").alias("n"))
+    assert pf.weighted_percentile(two, 0.5) == 0.5
+    assert pf.weighted_percentile(rows, share) == pytest.approx(rows.agg(F.percentile("x", share, F.col("n"))).first()[0], rel=1e-12)
