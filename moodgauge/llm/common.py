@@ -26,13 +26,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps never
     recompute it, and losing an executor loses none of it."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # limits of an Arrow batch here: texts are long, and a worker keeps the memory
 # of its largest batch
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+# bytes of a row group of a table written between steps: a task holds one
+GROUP_BYTES = 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -28,8 +28,9 @@ from moodgauge.llm.common import map_arrow
 MARK = "▁"
 # fixed values of the model file's format: piece types
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-# parts longer than this are not remembered; the memory is emptied when full
-PART_CHARS, PARTS = 64, 500_000
+# parts longer than this are not remembered; of the others, so many at most, and
+# fewer where pieces are returned: executors then hold their columns as well
+PART_CHARS, PARTS, PARTS_BESIDE_PIECES = 64, 500_000, 160_000
 
 
 # --------------------------------------------------------------------------
@@ -341,17 +342,23 @@ codecs.register_error("bytewise", _bytewise)
 
 
 class _Parts(dict):
-    """Part -> its ids as bytes, merged when first seen."""
+    """Part -> its ids as bytes, merged when first seen. When half of ``most``
+    are held they become the older half, and the older ones that were not met
+    again since go: common parts stay, and memory is bounded."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, codec: Codec, most: int = PARTS):
         super().__init__()
-        self.codec = codec
+        self.codec, self.most = codec, most
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        got = self.codec.merge(part)
-        ids = struct.pack(f"<{len(got)}I", *got)
+        ids = self.older.get(part)
+        if ids is None:
+            got = self.codec.merge(part)
+            ids = struct.pack(f"<{len(got)}I", *got)
         if len(part) <= PART_CHARS:
-            if len(self) >= PARTS:
+            if len(self) >= self.most // 2:
+                self.older = dict(self)
                 self.clear()
             self[part] = ids
         return ids
@@ -393,6 +400,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batch: pa.RecordBatch):
         codec = codec_of(shared.value, key)
+        codec.parts.most = PARTS_BESIDE_PIECES if pieces else PARTS
         edge = struct.pack("<I", codec.begin), struct.pack("<I", codec.end)
         for at in range(0, batch.num_rows, 256):
             rows = batch.slice(at, 256)

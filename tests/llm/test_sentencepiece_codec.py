@@ -136,3 +136,18 @@ def test_extra_spaces_are_removed():
     text, source = codec.Normaliser(model).aligned("  ab  c\t\td ")
     assert text == "▁X▁c▁d"
     assert source.tolist() == [2, 2, 2, 2, 4, 4, 4, 6, 7, 7, 7, 9, 10]
+
+
+def test_remembered_parts_are_bounded_and_common_ones_stay(pair):
+    mine = codec.Codec(codec.read_model(MODEL))
+    mine.parts.most = 8
+    merged, merge = [], mine.merge
+    mine.merge = lambda part: merged.append(part) or merge(part)
+    for i, t in enumerate(odd_texts(300)):
+        assert mine.encode(f"{t} common") == pair[0].encode(f"{t} common")
+        assert mine.encode(f"word{i} common") == pair[0].encode(f"word{i} common")
+        assert len(mine.parts) + len(mine.parts.older) <= 8
+    merged.clear()
+    for i in range(100):
+        mine.encode(f"once{i} common")
+    assert merged.count(f"{codec.MARK}common") <= 1 and len(merged) <= 101
