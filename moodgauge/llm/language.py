@@ -29,18 +29,30 @@ CHARS_PER_LANGUAGE = 120_000
 CHARS_IN_ALL = 1_200_000
 UNDETERMINED = "und"
 _TOKEN = re.compile(r"[^\W\d_]+")
+# the same for texts of Latin-1 alone: a space for what is no letter, and the
+# digits of other kinds, which _TOKEN takes into a run, go
+_LATIN = bytes(c if chr(c).isalpha() else 0x20 for c in range(256))
+_LATIN_DIGITS = bytes(c for c in range(256) if _TOKEN.match(chr(c)) and not chr(c).isalpha())
 
 
 def letters(text: str) -> str:
     """Lower-cased runs of letters with a space before, between and after
     them; empty without letters."""
-    runs = _TOKEN.findall(text.lower())
+    low = text.lower()
+    try:
+        runs = low.encode("latin-1").translate(_LATIN, _LATIN_DIGITS).decode("latin-1").split()
+        return f" {' '.join(runs)} " if runs else ""
+    except UnicodeEncodeError:
+        runs = _TOKEN.findall(low)
     joined = " ".join(runs)
     if not joined.replace(" ", "").isalpha():       # digits of other kinds
         joined = " ".join(filter(None, ("".join(filter(str.isalpha, r)) for r in runs)))
     return f" {joined} " if joined else ""
 
 
+# characters parsed by every language, and between two looks at the costs
+HEAD, STRETCH = 256, 256
+
 # the state before a text, and after a character that was not learned
 _NOWHERE: dict = {}
 
@@ -89,15 +101,23 @@ class Automaton:
     def phrases(self, text: str) -> int:
         """Number of phrases of the greedy parse: longest matches, or single
         characters that occur nowhere."""
-        root, state = self.root, _NOWHERE
+        return self.parse(text, _NOWHERE)[0]
+
+    def parse(self, text: str, state: dict) -> tuple[int, dict]:
+        """Number of phrases that start in ``text``, which follows a text that
+        led to ``state``, and the state after it."""
+        root = self.root
         n = 0
         for c in text:
             if c in state:
                 state = state[c]
             else:                   # a phrase starts with c
                 n += 1
-                state = root[c] if c in root else _NOWHERE
-        return n
+                try:
+                    state = root[c]
+                except KeyError:    # asked once: no text leads back to the root
+                    state = root[c] = _NOWHERE
+        return n, state
 
 
 class Model:
@@ -114,12 +134,31 @@ class Model:
         seen = letters(text or "")
         if not seen or not self.languages:
             return UNDETERMINED, 0.0
-        total = np.array([a.phrases(seen) for a in self.automata]) * self.cost
+        total = self._totals(seen)
         best = int(np.argmin(total))
         rest = np.delete(total, best)
         score = 1.0 if not len(rest) else float(1 - total[best] / rest.min())
         return self.languages[best], min(max(score, 0.0), 1.0)
 
+    def _totals(self, seen: str) -> np.ndarray:
+        """Cost of the parse by every language. Languages that are ahead after
+        the first characters are parsed first; the others stop once they cost
+        more than the second best, and what they cost so far stands for them:
+        neither the best two nor their costs depend on it."""
+        heads = [a.parse(seen[:HEAD], _NOWHERE) for a in self.automata]
+        total = np.array([n for n, _ in heads]) * self.cost
+        second = [np.inf, np.inf]       # the lowest two of whole parses
+        for i in np.argsort(total, kind="stable"):
+            n, state = heads[i]
+            for at in range(HEAD, len(seen), STRETCH):
+                if n * self.cost[i] > second[1]:
+                    break
+                more, state = self.automata[i].parse(seen[at:at + STRETCH], state)
+                n += more
+            total[i] = n * self.cost[i]
+            second = sorted([*second, total[i]])[:2]
+        return total
+
 
 def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
     """The text that each language is learned from: of a bounded sample of

@@ -115,3 +115,36 @@ def test_ties_and_nothing_learned(spark, no_docs):
     assert lg.identify(one, learn.where("false")).first().lang_pred == "und"
     assert lg.identify(one, learn.where("lang = 'b'")).first().score == 1.0
     assert lg.identify(no_docs, learn).count() == 0
+
+
+def test_parse_stops_past_the_second_best_language(monkeypatch):
+    """Same answer as whole parses; a language that can no longer be one of
+    the best two is not parsed to the end."""
+    rng = random.Random(5)
+    learned = {k: lg.letters(speak(rng, k, 200)) for k in SYLLABLES} | {"dd": " zq zx" * 3000 + " "}
+    model = lg.Model(learned)
+    read = dict.fromkeys(learned, 0)
+    whole = lg.Automaton.parse
+
+    def counted(self, text, state):
+        read[model.languages[model.automata.index(self)]] += len(text)
+        return whole(self, text, state)
+
+    monkeypatch.setattr(lg.Automaton, "parse", counted)
+    for n in (1, 40, 3000):
+        for lang in SYLLABLES:
+            text = edit(rng, speak(rng, lang, n), 0.05)
+            read = dict.fromkeys(learned, 0)
+            got = model.predict(text)
+            want = brute_predict(learned, text)
+            assert (got[0], round(got[1], 9)) == (want[0], round(want[1], 9))
+    assert read["cc"] == len(lg.letters(text)) and read["dd"] < 0.9 * read["cc"]
+
+
+def test_letters_of_every_character():
+    """The short way for Latin-1 gives what the long way gives."""
+    for text in map(chr, range(0x3000)):
+        for around in (text, f"Ab{text}cD", f"a {text} b", f"5{text}_{text}É"):
+            long = lg.letters(around + " \u0416")       # a letter past Latin-1
+            short = lg.letters(around + " z")
+            assert short.rstrip().removesuffix("z") == long.rstrip().removesuffix("\u0436")
