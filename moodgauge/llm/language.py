@@ -214,8 +214,12 @@ def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col
     def run(batch: pa.RecordBatch):
         if key not in _MODELS:      # one model per worker process
             _MODELS.clear()
-            _MODELS[key] = Model(shared.value)
-            gc.freeze()             # its many states need no further visits
+            gc.disable()            # its many states need no visits
+            try:
+                _MODELS[key] = Model(shared.value)
+                gc.freeze()
+            finally:
+                gc.enable()
         model = _MODELS[key]
         for at in range(0, batch.num_rows, 512):
             rows = batch.slice(at, 512)
