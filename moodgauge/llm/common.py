@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodgauge.session import ensure_checkpoint_dir, ship_package
+from moodgauge.session import ensure_checkpoint_dir, ship_package, small_batches
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,26 +30,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# limits of an Arrow batch here: texts are long, and a worker keeps the memory
-# of its largest batch
-BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 # bytes of a row group of a table written between steps: a task holds one
 GROUP_BYTES = 32 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's limits of Arrow batches to those above."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
-                      ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, None)
-        try:
-            low = now is not None and 0 < int(now) <= most
-        except ValueError:      # a size with a unit
-            low = False
-        if not low:
-            spark.conf.set(key, str(most))
-
-
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a longer one, that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

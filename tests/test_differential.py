@@ -139,6 +139,25 @@ def test_grams_equal_theta_on_many_terms(spark):
     assert _matches(match.match_entities(d, terms, method="grams", max_broadcast_rows=300)) == a
 
 
+def test_hits_of_entities_are_in_no_shuffle_and_blocks_change_no_row(spark, monkeypatch):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    d = d.unionByName(d.limit(20)).repartition(3)
+    terms = _vocabulary(spark, d)
+    # terms of many entities, one twice, and one longer than a window of text
+    long = " ".join(d.where("length(text) > 200").orderBy("doc_id").first()["text"].split())[:90]
+    terms = terms.unionByName(terms.limit(200).withColumn("entity", F.concat("entity", F.lit("b"))))
+    terms = terms.unionByName(terms.limit(9)).unionByName(
+        spark.createDataFrame([("long", 0, long)], terms.schema))
+    a = _matches(match.match_entities(d, terms, method="theta"))
+    monkeypatch.setattr(match, "TERM_BLOCK", 150)
+    monkeypatch.setattr(match, "PAIR_BLOCK", 150)
+    b = match.match_entities(d, terms, method="grams")
+    assert _matches(b) == a
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and not [x for x in dealt if "entity" in x]
+
+
 ODD_TEXTS = ["İİİ buy NVIDIA now", "\u212aelvin and ſaid", "ΣΑΣ σας ς", "Deep  Learning, deep learning!", "c++ C++x xc++",
              "a$name $NAME", "µ Μ μ", "\tİstanbul\n", " \u2003 ", "ﬆop ﬅop", "ΐ ΐ"]
 ODD_TERMS = {"kelvin": ["said", "istanbul"], "name": ["deep learning", "c++", "σας"], "µ": ["ﬅ", "ΐ"], "NVIDIA": ["ii"]}
