@@ -42,8 +42,10 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch; it yields dicts of columns."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str,
+              done: Callable[[], None] | None = None) -> DataFrame:
+    """Apply ``fn`` to every Arrow batch; it yields dicts of columns. ``done``
+    is called in the worker at the end of a task."""
     ship_package(df.sparkSession)
     small_batches(df.sparkSession)
 
@@ -52,11 +54,15 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for batch in batches:
-            for cols in fn(batch):
-                yield pa.record_batch([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array)
-                                       else cols[f.name].cast(f.type) for f in out], schema=out)
-        pa.default_memory_pool().release_unused()
+        try:
+            for batch in batches:
+                for cols in fn(batch):
+                    yield pa.record_batch([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array)
+                                           else cols[f.name].cast(f.type) for f in out], schema=out)
+        finally:
+            if done is not None:
+                done()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

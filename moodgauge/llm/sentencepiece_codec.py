@@ -29,8 +29,9 @@ MARK = "▁"
 # fixed values of the model file's format: piece types
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 # parts longer than this are not remembered; of the others, so many at most, and
-# fewer where pieces are returned: executors then hold their columns as well
-PART_CHARS, PARTS, PARTS_BESIDE_PIECES = 64, 500_000, 160_000
+# fewer where pieces are returned: executors then hold their columns as well, and
+# a worker that waits for its next task holds none
+PART_CHARS, PARTS, PARTS_BESIDE_PIECES = 64, 500_000, 40_000
 
 
 # --------------------------------------------------------------------------
@@ -363,6 +364,10 @@ class _Parts(dict):
             self[part] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 _CODECS: dict[str, Codec] = {}
 
@@ -375,6 +380,11 @@ def codec_of(model: dict, key: str) -> Codec:
     return _CODECS[key]
 
 
+def forget_parts(key: str) -> None:
+    if key in _CODECS:
+        _CODECS[key].parts.forget()
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
                      pieces: bool = True) -> DataFrame:
     """One row per input row: ``id_col``, n_tokens (begin and end included),
@@ -423,5 +433,5 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     out["decoded"].append(decoded)
             yield {"id": rows.column("id"), **out}
 
-    got = map_arrow(src, run, schema)
+    got = map_arrow(src, run, schema, (lambda: forget_parts(key)) if pieces else None)
     return got.withColumnRenamed("id", id_col) if id_col != "id" else got

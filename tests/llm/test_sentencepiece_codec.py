@@ -151,3 +151,21 @@ def test_remembered_parts_are_bounded_and_common_ones_stay(pair):
     for i in range(100):
         mine.encode(f"once{i} common")
     assert merged.count(f"{codec.MARK}common") <= 1 and len(merged) <= 101
+
+
+def test_a_waiting_worker_holds_no_parts_of_the_last_task(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and other{i % 7} words") for i in range(400)], "doc_id long, text string")
+    codec.encode_documents(docs.repartition(4), MODEL).collect()
+
+    def held(batches):
+        import pyarrow as pa
+
+        from moodgauge.llm import sentencepiece_codec
+
+        for _ in batches:
+            pass
+        parts = [c.parts for c in sentencepiece_codec._CODECS.values()]
+        yield pa.record_batch([pa.array([len(parts)]), pa.array([sum(len(p) + len(p.older) for p in parts)])], ["codecs", "parts"])
+
+    got = spark.range(8).repartition(4).mapInArrow(held, "codecs long, parts long").collect()
+    assert not [r for r in got if r["parts"]]
