@@ -182,6 +182,43 @@ def test_all_methods_equal_python_re_on_odd_characters(spark, monkeypatch):
     assert _matches(match.match_entities(docs, terms, method="token")) == sorted(whole)
 
 
+def test_grams_search_in_batches_equals_theta_on_odd_texts_and_columns(spark, monkeypatch):
+    monkeypatch.setattr(match, "FEW_TERMS", 0)
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 700)))          # more characters than classes
+    texts = ODD_TEXTS + [many, many[::-1], "x" * 41 + many[:40], "thunderstorm\nthunderstruck thunders", "\U0001f600 Name"]
+    rows = [(i, t, [t, None], f"{i}") for i, t in enumerate(texts + [None, texts[3]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags array<string>, months string").repartition(2)
+    # a column that Arrow cannot carry
+    docs = docs.select("doc_id", "text", "tags", F.expr("make_ym_interval(0, cast(months AS int))").alias("span"))
+    kept = {**ODD_TERMS, "cjk": list(many[::3]), "long": ["x" * 41, many[:17], many[5:40], "x" * 42, "storm\nthunder"],
+            "thunder": ["thunders", "thunderstorm", "thunderstruck", "thunderstorms"], "ties": ["thunderstruck", "thunder"]}
+    # of hits at one place the least ord wins, and a null one comes first
+    terms = spark.createDataFrame([(e, None if t == "thunderstruck" else i, t) for e, ts in kept.items()
+                                   for i, t in enumerate(ts)], "entity string, ord int, term string")
+
+    def rows_of(method, **more):
+        found = match.match_entities(docs, terms, method=method, **more)
+        return found, sorted(str(r) for r in found.select(*[F.col(c).cast("string") for c in found.columns]).collect())
+
+    want = rows_of("theta")[1]
+    assert len(want) >= 20
+    found, got = rows_of("grams")
+    assert got == want
+    assert found.columns == ["doc_id", "text", "tags", "span", "entity", "matched_term"]
+    monkeypatch.setattr(match, "NAMES", 1)
+    monkeypatch.setattr(match, "STRETCH", 7)
+    want = rows_of("theta", keep=["doc_id"])[1]
+    found, got = rows_of("grams", keep=["doc_id"])
+    assert got == want
+    # no column but the kept is read after the search, and no candidate is a row of a join
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "Join" not in plan
+    assert "text" not in plan[:plan.index("Exchange")]
+    # bytes that are no text stand beside hits
+    docs = spark.sql("SELECT 1L AS doc_id, cast(X'FF204E616D65' AS STRING) AS text UNION ALL SELECT 2L, 'no \u4e00'")
+    assert rows_of("grams", keep=["doc_id"])[1] == rows_of("theta", keep=["doc_id"])[1] != []
+
+
 def test_fold_equals_python_ignorecase_on_every_bmp_char(spark):
     chars = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) <= 0xDFFF]
     df = spark.createDataFrame([(c,) for c in chars], "c string")
